@@ -35,14 +35,16 @@ def ratio_when(value: str, test: Column) -> Column:
     return F.try_divide(F.sum(F.when(test, F.col(value)).otherwise(F.lit(0))), F.sum(value))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics, per group.
 
     Counts distinct values first and finds the order statistics by a distributed running count, so
-    a group never has to fit into one task or one aggregation buffer.
+    a group never has to fit into one task or one aggregation buffer. ``weight`` names a column that says how
+    many times a row counts.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("__n"))
     scanned = ordered_scan(counts, [value], keys, running={"__upto": "__n"})
     totals = scanned.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     if keys:

@@ -53,15 +53,17 @@ def item_matrix(df: DataFrame, item: str, feature: Sequence[str], value: str | N
 def _adder(keys: list[str], width: int, kind: str, presence: bool):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
         step = max(1, BATCH_CELLS // width)
         limit = max(1, 16 * BATCH_CELLS // (width * width))
 
         def flush():
-            arrays = [pa.array([k[i] for k in sums]) for i in range(len(keys))]
+            arrays = [pa.array([k[i] for k in sums], type=kinds[i]) for i in range(len(keys))]
             flat = pa.array([m.ravel() for m in sums.values()], type=pa.list_(pa.float64()))
             return pa.RecordBatch.from_arrays([*arrays, flat], names=[*keys, "__m"])
 
         for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 lists = part.column("__i")

@@ -67,18 +67,23 @@ def kernel_density(df: DataFrame, x: str, y: str, grid: Grid, bandwidth: float |
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[object, list] = {}
+        kind = None
 
         def flush():
-            first = [pa.array(list(sums))] if group else []
+            first = [pa.array(list(sums), type=kind)] if group else []
             counts = pa.array([n for n, _ in sums.values()], type=pa.int64())
             flat = pa.array([z.ravel() for _, z in sums.values()], type=pa.list_(pa.float64()))
             return pa.RecordBatch.from_arrays([*first, counts, flat], names=[*([group] if group else []), "__n", "__z"])
 
         for batch in batches:
             xs, ys = batch.column("__x").to_numpy(), batch.column("__y").to_numpy()
-            labels = np.array(batch.column(group).to_pylist(), dtype=object) if group else None
-            for g in (dict.fromkeys(labels) if group else [None]):
-                at = np.array([v == g for v in labels]) if group else slice(None)
+            parts = [(None, slice(None))]
+            if group:
+                kind = batch.schema.field(group).type
+                coded = batch.column(group).dictionary_encode(null_encoding="encode")
+                codes = coded.indices.to_numpy()
+                parts = [(g, codes == i) for i, g in enumerate(coded.dictionary.to_pylist())]
+            for g, at in parts:
                 kx = np.exp(-0.5 * ((gx[None, :] - xs[at][:, None]) / sx) ** 2)
                 ky = np.exp(-0.5 * ((gy[None, :] - ys[at][:, None]) / sy) ** 2)
                 known = sums.get(g)

@@ -56,13 +56,13 @@ def top_n(df: DataFrame, n: int, weight: str, keys: Sequence[str] = (), bottom:
     """
     present = df.where(F.col(weight).isNotNull())
     order = F.col(weight).asc() if bottom else F.col(weight).desc()
-    counts = present.groupBy(*keys, weight).agg(F.count(F.lit(1)).alias("__n"))
+    counts = present.groupBy(*keys, weight).agg(F.count(F.lit(1)).alias("__same"))
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
     if keys:
         leading = counts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
     else:
         leading = counts.orderBy(order).limit(n)
-    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("__same").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = leading.withColumn("__before", before).where(F.col("__before") < n)
     edge = F.max(weight) if bottom else F.min(weight)
     if keys:
