@@ -13,12 +13,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
 from .levels import list_levels
 
 MAX_ITEMS = 2_000   # the item-by-item matrix of a task then takes at most 32 MB
 BATCH_CELLS = 4_000_000
 
 
+def _cells(df, item, feature, value, keys, items, kind, presence) -> DataFrame:
+    """Summed matrices as rows (keys, __p, total); place ``width * width`` holds the number of features."""
+    if len(items) > MAX_ITEMS:
+        raise ValueError(f"more than {MAX_ITEMS} items")
+    place = F.array_position(F.array(*[F.lit(i) for i in items]), F.col(item)) - 1
+    amount = F.lit(1.0) if value is None else F.sum(value).cast("double")
+    one = df.select(*keys, *feature, place.cast("int").alias("__i"), *([value] if value else [])).where("__i >= 0")
+    one = one.groupBy(*keys, *feature, "__i").agg(amount.alias("__v"))
+    # one row per feature with at most one entry per listed item
+    rows = one.groupBy(*keys, *feature).agg(F.collect_list(F.struct("__i", "__v")).alias("__e"))
+    rows = rows.select(*keys, F.col("__e.__i").alias("__i"), F.col("__e.__v").alias("__v"))
+    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "__m array<double>"])
+    partial = rows.mapInArrow(_adder(keys, len(items), kind, presence), schema)
+    return partial.select(*keys, F.posexplode("__m").alias("__p", "__v")).groupBy(*keys, "__p").agg(F.sum("__v").alias("total"))
+
+
+def _pairs(cells: DataFrame, keys, items) -> DataFrame:
+    names, width = F.array(*[F.lit(i) for i in items]), len(items)
+    return cells.where(F.col("__p") < width * width).select(
+        *keys, names[F.expr(f"int(__p div {width})")].alias("item_a"), names[F.expr(f"int(__p % {width})")].alias("item_b"), "total")
+
+
 def item_matrix(df: DataFrame, item: str, feature: Sequence[str], value: str | None = None, keys: Sequence[str] = (),
                 items: list | None = None, kind: str = "dot", right: str | None = None) -> DataFrame:
     """Sum over features of a product (``dot``) or squared difference (``sqdist``) for all ordered item pairs.
@@ -30,36 +53,21 @@ def item_matrix(df: DataFrame, item: str, feature: Sequence[str], value: str | N
     Result: keys, item_a, item_b, total. Pairs that never meet have total 0 in ``dot`` form.
     """
     items = list_levels(df, item, MAX_ITEMS) if items is None else list(items)
-    if len(items) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
-    keys, feature, width = list(keys), list(feature), len(items)
-    place = F.array_position(F.array(*[F.lit(i) for i in items]), F.col(item)) - 1
-    amount = F.lit(1.0) if value is None else F.sum(value).cast("double")
-    one = df.select(*keys, *feature, place.cast("int").alias("__i"), *([value] if value else [])).where("__i >= 0")
-    one = one.groupBy(*keys, *feature, "__i").agg(amount.alias("__v"))
-    # one row per feature with at most `width` entries
-    rows = one.groupBy(*keys, *feature).agg(F.collect_list(F.struct("__i", "__v")).alias("__e"))
-    rows = rows.select(*keys, F.col("__e.__i").alias("__i"), F.col("__e.__v").alias("__v"))
-    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "__m array<double>"])
-    partial = rows.mapInArrow(_adder(keys, width, kind, right == "presence"), schema)
-
-    cells = partial.select(*keys, F.posexplode("__m").alias("__p", "__v"))
-    total = cells.groupBy(*keys, "__p").agg(F.sum("__v").alias("total"))
-    names = F.array(*[F.lit(i) for i in items])
-    return total.select(*keys, names[F.expr(f"int(__p div {width})")].alias("item_a"),
-                        names[F.expr(f"int(__p % {width})")].alias("item_b"), "total")
+    cells = _cells(df, item, list(feature), value, list(keys), items, kind, right == "presence")
+    return _pairs(cells, list(keys), items)
 
 
 def _adder(keys: list[str], width: int, kind: str, presence: bool):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
+        features: dict[tuple, int] = {}
         kinds: list[pa.DataType] = []
         step = max(1, BATCH_CELLS // width)
         limit = max(1, 16 * BATCH_CELLS // (width * width))
 
         def flush():
             arrays = [pa.array([k[i] for k in sums], type=kinds[i]) for i in range(len(keys))]
-            flat = pa.array([m.ravel() for m in sums.values()], type=pa.list_(pa.float64()))
+            flat = pa.array([np.append(m.ravel(), features[k]) for k, m in sums.items()], type=pa.list_(pa.float64()))
             return pa.RecordBatch.from_arrays([*arrays, flat], names=[*keys, "__m"])
 
         for batch in batches:
@@ -82,9 +90,10 @@ def _adder(keys: list[str], width: int, kind: str, presence: bool):
                     else:
                         add_up = block.T @ ((block != 0).astype(float) if presence else block)
                     sums[g] = sums[g] + add_up if g in sums else add_up
+                    features[g] = features.get(g, 0) + len(at)
                 if len(sums) > limit:
                     yield flush()
-                    sums = {}
+                    sums, features = {}, {}
         if sums:
             yield flush()
 
@@ -99,9 +108,10 @@ def pairwise_phi(df: DataFrame, item: str, feature: str, items: list | None = No
     Columns: item1, item2, n_both, correlation.
     """
     items = list_levels(df, item, MAX_ITEMS) if items is None else list(items)
-    known = df.where(F.col(item).isin(items)) if len(items) <= MAX_ITEMS else df
-    total = known.agg(F.count_distinct(feature).cast("double").alias("n")).scalar()
-    both = item_matrix(df.select(item, feature), item, [feature], items=items)
+    # one small row set, read four times below
+    cells = materialise(_cells(df, item, [feature], None, [], items, "dot", False))
+    total = cells.where(F.col("__p") == len(items) ** 2).select("total").scalar()
+    both = _pairs(cells, [], items)
     own = both.where(F.col("item_a") == F.col("item_b"))
     pairs = (both.where(F.col("item_a") != F.col("item_b"))
              .join(own.select("item_a", F.col("total").alias("na")), "item_a")
