@@ -83,22 +83,3 @@ def lab_to_rgb(l: Column, a: Column, b: Column) -> Column:
               .otherwise(F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055)
              for v in _mix(RGB_FROM_XYZ, xyz)]
     return F.struct(*[v.alias(n) for v, n in zip(curve, "rgb")])
-
-
-def average_hex(c: ColumnOrName, space: str = "hls", circular_hue: bool = False) -> Column:
-    """Aggregate: mean colour of a group, averaged per component in ``hls`` or ``lab``.
-
-    The plain hue mean ignores the wrap at 360 degrees; ``circular_hue`` averages directions instead.
-    """
-    rgb = hex_to_rgb(c)
-    if space == "lab":
-        lab = rgb_to_lab(rgb["r"], rgb["g"], rgb["b"])
-        back = lab_to_rgb(F.avg(lab["l"]), F.avg(lab["a"]), F.avg(lab["b"]))
-    else:
-        hls = rgb_to_hls(rgb["r"], rgb["g"], rgb["b"])
-        hue = F.avg(hls["h"])
-        if circular_hue:
-            turn = F.radians(hls["h"])
-            hue = F.pmod(F.degrees(F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn)))), F.lit(360.0))
-        back = hls_to_rgb(hue, F.avg(hls["l"]), F.avg(hls["s"]))
-    return rgb_to_hex(back["r"], back["g"], back["b"])

@@ -98,8 +98,5 @@ def hex_byte(c: ColumnOrName) -> Column:
 def format_kg(grams: ColumnOrName) -> Column:
     """Mass label in kilograms: one decimal below 100 kg, none from there on; half-even."""
     kg = as_col(grams) / 1000
-    rounded = F.when(kg < 100, F.bround(kg, 1)).otherwise(F.bround(kg, 0))
-    # %s would print 12.0; a whole number is shown without its decimal
-    text = F.when(rounded == F.floor(rounded), F.format_string("%d", rounded.cast("long"))) \
-            .otherwise(F.format_string("%.1f", rounded))
-    return F.concat(text, F.lit("kg"))
+    light, heavy = F.format_string("%.1fkg", F.bround(kg, 1)), F.format_string("%dkg", F.bround(kg, 0).cast("long"))
+    return F.when(kg < 100, light).otherwise(heavy)

@@ -38,13 +38,14 @@ def _first_choices(papers: DataFrame, removed: list[str]) -> DataFrame:
 def instant_runoff(votes: DataFrame, ballot: str, rank: str, candidate: str) -> DataFrame:
     """Ranking of every round until a candidate holds more than half of the live ballots.
 
-    Candidates are ordered by total, then by name. The last one with votes is removed; it stays in the ranking with
-    total 0 behind the others, latest removal first. Share is the total over all live ballots of the round.
+    Round 0 is the first count. Candidates are ordered by total, then by name. The last one with votes is removed; it
+    stays in the ranking with total 0 behind the others, latest removal first. The majority is looked for after each
+    removal, so there is at least one. Share is the total over all live ballots of the round.
     Columns: round, position, candidate, total, share.
     """
     spark = votes.sparkSession
     papers = materialise(preference_lists(votes, ballot, rank, candidate))
-    rows, removed, number = [], [], 1
+    rows, removed, number = [], [], 0
     while True:
         counts = _first_choices(papers, removed).limit(MAX_CANDIDATES + 1).collect()
         if len(counts) > MAX_CANDIDATES:
@@ -53,7 +54,7 @@ def instant_runoff(votes: DataFrame, ballot: str, rank: str, candidate: str) ->
         alive = sum(t for _, t in ranking)
         board = ranking + [(c, 0) for c in reversed(removed)]
         rows += [(number, i + 1, c, t, t / alive if alive else None) for i, (c, t) in enumerate(board)]
-        if not ranking or ranking[0][1] * 2 > alive or len(ranking) == 1:
+        if len(ranking) < 2 or (number > 0 and ranking[0][1] * 2 > alive):
             break
         removed = [*removed, ranking[-1][0]]
         number += 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
 from .ordered import ordered_scan
 from .windows import with_group_stats
 
@@ -18,11 +19,13 @@ def marimekko(df: DataFrame, keys: list[tuple[str, str]], value: str, bounded: b
     are few (they are drawn); the bands then come from plain windows over the aggregated table.
     """
     names = [k for k, _ in keys]
-    out = df.groupBy(*[c for pair in keys for c in pair]).agg(F.sum(value).alias("total"))
+    # every level reads the aggregated table
+    base = materialise(df.groupBy(*[c for pair in keys for c in pair]).agg(F.sum(value).alias("total")))
+    out = base
     for i in range(1, len(keys) + 1):
         parent, here, order = names[: i - 1], names[:i], keys[i - 1][1]
-        level = out.groupBy(*here, order).agg(F.sum("total").alias("__t"))
-        level = with_group_stats(level, parent, __parent=F.sum("__t"))
+        level = base.groupBy(*here, order).agg(F.sum("total").alias("__t"))
+        level = with_group_stats(level, parent, base, __parent=F.sum("total"))
         level = level.withColumn(f"pct_{i}", F.coalesce(F.try_divide(F.col("__t"), F.col("__parent")), F.lit(0.0)))
         level = ordered_scan(level, [order], parent, running={f"max_{i}": f"pct_{i}"}, bounded=bounded)
         level = level.withColumn(f"min_{i}", F.col(f"max_{i}") - F.col(f"pct_{i}"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import clamp, divide
+from ..session import materialise
 from .reshape import longer, wider
 from .windows import with_group_stats, zscore
 
@@ -31,10 +32,11 @@ def chisq_residuals(df: DataFrame, row: str, column: str, columns: Sequence) ->
     Columns: row, column, observed, expected, residual.
     """
     counts = df.groupBy(row).pivot(column, list(columns)).agg(F.count(F.lit(1))).na.fill(0)
-    cells = longer(counts, [str(c) for c in columns], column, "observed")
-    cells = with_group_stats(cells, [row], __row=F.sum("observed"))
-    cells = with_group_stats(cells, [column], __col=F.sum("observed"))
-    cells = with_group_stats(cells, [], __all=F.sum("observed"))
+    # the table of counts is small against its input and read four times
+    table = materialise(longer(counts, [str(c) for c in columns], column, "observed"))
+    cells = with_group_stats(table, [row], __row=F.sum("observed"))
+    cells = with_group_stats(cells, [column], table, __col=F.sum("observed"))
+    cells = with_group_stats(cells, [], table, __all=F.sum("observed"))
     expected = divide(F.col("__row").cast("double") * F.col("__col"), F.col("__all"))
     return (cells.withColumn("expected", expected)
             .withColumn("residual", divide(F.col("observed") - F.col("expected"), F.sqrt("expected")))

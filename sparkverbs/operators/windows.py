@@ -11,17 +11,19 @@ from .joins import join_on
 from .ordered import ordered_scan
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: Sequence[str], source: DataFrame | None = None, **aggregates: Column) -> DataFrame:
     """Aggregates of the group on each row.
 
     The aggregate is combined before its shuffle and joined back, so a group of any size is spread over
     tasks; a small result is broadcast by the measured size. Without keys the values come from a scalar subquery.
+    ``source`` names the table to aggregate if it is not ``df``: for several statistics of one table in a row, so
+    that the later ones do not repeat the joins of the earlier ones.
     """
-    names = list(aggregates)
+    names, source = list(aggregates), df if source is None else source
     if not keys:
-        one = df.agg(F.struct(*[a.alias(n) for n, a in aggregates.items()]).alias("s")).scalar()
+        one = source.agg(F.struct(*[a.alias(n) for n, a in aggregates.items()]).alias("s")).scalar()
         return df.withColumns({n: one[n] for n in names})
-    stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
+    stats = source.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
     kept = df.drop(*[n for n in names if n in df.columns])
     return join_on(kept, stats, keys, "inner", null_safe=True)
 

@@ -9,6 +9,7 @@ from ..functions.nulls import if_else
 from ..functions.numeric import linear_scale
 from ..functions.text import words
 from ..operators import ballots, cooccurrence, density, frames, graph, partition, rings, stats
+from ..operators.colours import with_hex, with_rgb, with_space
 from ..operators.aggregates import count_by, exact_quantiles, top_counts
 from ..operators.joins import expand_until, rows_in, rows_not_in
 from ..operators.ordered import number_rows
@@ -413,9 +414,8 @@ def quadrant_offset(t):
 @query("hsl_triangle", HLS_SQL + """
 SELECT p_partkey, round(CASE WHEN l > 0.5 THEN (2 - 2 * l) * s ELSE 2 * l * s END, 6) AS x, round(2 / tan(pi() / 3) * l - 1 / tan(pi() / 3), 6) AS y FROM full_hls""")
 def hsl_triangle(t):
-    rgb = colour.hex_to_rgb("hex")
-    rows = part_colours(t).withColumn("c", colour.rgb_to_hls(rgb["r"], rgb["g"], rgb["b"]))
-    at = geometry.shade_triangle(F.col("c.s"), F.col("c.l"))
+    rows = with_space(with_rgb(part_colours(t), "hex"))
+    at = geometry.shade_triangle(F.col("hls.s"), F.col("hls.l"))
     return rows.select("p_partkey", F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
 
 
@@ -473,14 +473,9 @@ def hex_to_rgb(t):
 
 @query("rgb_hls_roundtrip", HLS_SQL + "SELECT p_partkey, round(h, 4) AS h, round(l, 6) AS l, round(s, 6) AS s, hex AS via_hls, hex AS via_lab FROM full_hls")
 def rgb_hls_roundtrip(t):
-    rgb = colour.hex_to_rgb("hex")
-    rows = part_colours(t).withColumn("rgb", rgb)
-    parts = [F.col(f"rgb.{n}") for n in "rgb"]
-    rows = rows.withColumn("hls", colour.rgb_to_hls(*parts)).withColumn("lab", colour.rgb_to_lab(*parts))
-    a = colour.hls_to_rgb(F.col("hls.h"), F.col("hls.l"), F.col("hls.s"))
-    b = colour.lab_to_rgb(F.col("lab.l"), F.col("lab.a"), F.col("lab.b"))
-    return rows.select("p_partkey", F.round("hls.h", 4).alias("h"), F.round("hls.l", 6).alias("l"), F.round("hls.s", 6).alias("s"),
-                       colour.rgb_to_hex(a["r"], a["g"], a["b"]).alias("via_hls"), colour.rgb_to_hex(b["r"], b["g"], b["b"]).alias("via_lab"))
+    rows = with_rgb(part_colours(t), "hex")
+    rows = with_hex(with_hex(with_space(with_space(rows, "hls"), "lab"), "hls", "via_hls"), "lab", "via_lab")
+    return rows.select("p_partkey", F.round("hls.h", 4).alias("h"), F.round("hls.l", 6).alias("l"), F.round("hls.s", 6).alias("s"), "via_hls", "via_lab")
 
 
 # --- iteration and frames -------------------------------------------------------------------------
@@ -489,12 +484,12 @@ IRV_SQL = """
 WITH RECURSIVE n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
 v AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rank FROM n),
 r AS (
-  SELECT 1 AS round, []::VARCHAR[] AS gone, (SELECT list({c: c, n: k} ORDER BY k DESC, c) FROM (SELECT event_type AS c, count(*) AS k FROM v WHERE rank = 1 GROUP BY 1)) AS board
+  SELECT 0 AS round, []::VARCHAR[] AS gone, (SELECT list({c: c, n: k} ORDER BY k DESC, c) FROM (SELECT event_type AS c, count(*) AS k FROM v WHERE rank = 1 GROUP BY 1)) AS board
   UNION ALL
   SELECT round + 1, x.gone2, (SELECT list({c: c, n: k} ORDER BY k DESC, c) FROM (SELECT c, count(*) AS k FROM
       (SELECT user_id, arg_min(event_type, rank) AS c FROM v WHERE NOT list_contains(x.gone2, event_type) GROUP BY 1) GROUP BY 1))
   FROM (SELECT round, board, list_append(gone, board[-1].c) AS gone2 FROM r
-        WHERE len(board) > 1 AND board[1].n * 2 <= list_sum(list_transform(board, lambda b: b.n))) x),
+        WHERE len(board) > 1 AND (round = 0 OR board[1].n * 2 <= list_sum(list_transform(board, lambda b: b.n)))) x),
 b AS (SELECT round, unnest(list_concat(list_transform(board, lambda e: {c: e.c, n: e.n}), list_transform(list_reverse(gone), lambda g: {c: g, n: 0::BIGINT}))) AS e,
         unnest(range(1, len(board) + len(gone) + 1)) AS position, list_sum(list_transform(board, lambda e: e.n)) AS alive FROM r),
 rounds AS (SELECT round::INT AS round, position::INT AS position, e.c AS candidate, e.n::BIGINT AS total, round(e.n / alive::DOUBLE, 6) AS share FROM b)

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import nulls
-from ..functions.colour import average_hex
 from ..operators import aggregates as a
+from ..operators.colours import average_colour
 from ..operators.windows import first_rows, with_group_stats
 from .registry import query
 
@@ -160,4 +160,4 @@ q AS (SELECT p_brand,
 SELECT p_brand, '#' || lpad(lower(to_hex(round_even(r * 255, 0)::BIGINT)), 2, '0') || lpad(lower(to_hex(round_even(g * 255, 0)::BIGINT)), 2, '0')
        || lpad(lower(to_hex(round_even(b * 255, 0)::BIGINT)), 2, '0') AS avg_color FROM q""")
 def avg_color(t):
-    return part_colours(t).groupBy("p_brand").agg(average_hex("hex").alias("avg_color"))
+    return average_colour(part_colours(t), "hex", ["p_brand"])

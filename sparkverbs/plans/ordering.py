@@ -70,10 +70,9 @@ SELECT n_regionkey, n_nationkey, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY
 def share_of_parent(t):
     n = count_by(t.customer, "c_nationkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     n = n.select("n_regionkey", "n_nationkey", "n")
-    out = w.share_of(n, "n", ["n_regionkey"])
-    out = w.with_group_stats(out, ["n_regionkey"], parent=F.sum("n"))
-    out = w.with_group_stats(out, [], total=F.sum("n"))
-    return out.select("n_regionkey", "n_nationkey", "n", F.round("share", 6).alias("share"),
+    out = w.with_group_stats(n, ["n_regionkey"], parent=F.sum("n"))
+    out = w.with_group_stats(out, [], n, total=F.sum("n"))
+    return out.select("n_regionkey", "n_nationkey", "n", F.round(F.col("n") / F.col("parent"), 6).alias("share"),
                       F.round(F.col("parent") / F.col("total"), 6).alias("parent_share"))
 
 

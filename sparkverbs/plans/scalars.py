@@ -96,9 +96,8 @@ def regex_class(t):
 
 
 @query("format_kg", """
-WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 3125 / 1000 AS kg FROM lineitem),
-r AS (SELECT *, CASE WHEN kg < 100 THEN round_even(kg, 1) ELSE round_even(kg, 0) END AS v FROM k)
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v = floor(v) THEN printf('%d', v::BIGINT) ELSE printf('%.1f', v) END || 'kg' AS mass FROM r""")
+WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 3125 / 1000 AS kg FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN kg < 100 THEN printf('%.1fkg', round_even(kg, 1)) ELSE printf('%dkg', round_even(kg, 0)::BIGINT) END AS mass FROM k""")
 def format_kg(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", s.format_kg(F.col("l_quantity") * 3125).alias("mass"))
 

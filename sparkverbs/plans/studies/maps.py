@@ -44,7 +44,7 @@ def study_plastic(t):
 
 
 # Thresholds of the meteorite study, at the size of this data.
-GROUPS, FENCE, BEST = 50, 2.0, 3
+GROUPS, CLASSES, FENCE, BEST = 50, 4, 2.0, 3
 
 
 @query("study_meteor", """
@@ -52,21 +52,23 @@ WITH p AS (SELECT p_partkey, p_name AS grp, CASE WHEN regexp_matches(p_type, '^S
 l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS mass, grp, class FROM lineitem JOIN p ON l_partkey = p_partkey WHERE l_quantity > 0),
 kg AS (SELECT grp FROM l GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 50),
 kc AS (SELECT class FROM l GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 4),
-k AS (SELECT * FROM l WHERE grp IN (SELECT grp FROM kg) AND class IN (SELECT class FROM kc)),
+k AS (SELECT * REPLACE (CASE WHEN class IN (SELECT class FROM kc) THEN class ELSE 'Other' END AS class) FROM l WHERE grp IN (SELECT grp FROM kg)),
 s AS (SELECT grp, count(DISTINCT l_partkey) AS group_size, median(mass) AS m, quantile_cont(mass, 0.75) - quantile_cont(mass, 0.25) AS w FROM k GROUP BY 1),
 f AS (SELECT k.*, group_size FROM k JOIN s USING (grp) WHERE abs(mass - m) <= 2 * w AND group_size >= 20),
-t AS (SELECT * FROM f QUALIFY rank() OVER (PARTITION BY grp ORDER BY mass DESC) <= 3)
-SELECT l_orderkey, l_linenumber, l_partkey, grp, class, group_size, mass,
-  CASE WHEN round_even(mass / 1000, 1) = floor(round_even(mass / 1000, 1)) THEN printf('%d', round_even(mass / 1000, 1)::BIGINT)
-       WHEN mass / 1000 >= 100 THEN printf('%d', round_even(mass / 1000, 0)::BIGINT) ELSE printf('%.1f', round_even(mass / 1000, 1)) END || 'kg' AS label FROM t""")
+t AS (SELECT * FROM f QUALIFY rank() OVER (PARTITION BY grp ORDER BY mass DESC) <= 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY mass DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey, grp, class, group_size, mass, rank, rank || '. ' || grp || ' (' ||
+  CASE WHEN mass / 1000 < 100 THEN printf('%.1fkg', round_even(mass / 1000, 1)) ELSE printf('%dkg', round_even(mass / 1000, 0)::BIGINT) END || ')' AS label FROM n""")
 def study_meteor(t):
-    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), F.trim(s.replace_all(s.replace_all("p_name", r"\d+"), r"\(.*\)")).alias("grp"),
+    name = s.replace_all(s.replace_all(s.replace_all("p_name", r"\d"), r"\(.*\)"), r"\s\w$")
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), F.trim(name).alias("grp"),
                           s.classify("p_type", [("^S", "S"), ("^PROMO", "P")]).alias("class"))
     finds = t.lineitem.where("l_quantity > 0").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("mass"))
-    rows = lump(lump(finds.join(parts, "l_partkey"), "grp", GROUPS), "class", 4).where("grp <> 'Other' and class <> 'Other'")
+    rows = lump(lump(finds.join(parts, "l_partkey"), "grp", GROUPS), "class", CLASSES).where("grp <> 'Other'")
     sized = with_group_stats(rows, ["grp"], group_size=F.count_distinct("l_partkey"))
-    inside = within_fence(sized, "mass", ["grp"], FENCE).where("group_size >= 20")
-    return top_n(inside, BEST, "mass", ["grp"]).withColumn("label", s.format_kg("mass"))
+    inside = within_fence(sized, "mass", ["grp"], FENCE).where(F.col("group_size") >= 20)
+    best = number_rows(top_n(inside, BEST, "mass", ["grp"]), [F.col("mass").desc(), "l_orderkey", "l_linenumber", "l_partkey"], ["grp"], name="rank")
+    return best.withColumn("label", s.paste("rank", F.lit(". "), "grp", F.lit(" ("), s.format_kg("mass"), F.lit(")")))
 
 
 UFO_SQL = """

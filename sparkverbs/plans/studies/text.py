@@ -2,14 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ...functions import colour, geometry
+from ...functions import geometry
 from ...functions.categories import cut
-from ...functions.numeric import divide
 from ...functions.text import title_case
 from ...operators import cooccurrence, graph, stats
 from ...operators.aggregates import count_by, top_counts
+from ...operators.colours import average_colour, with_rgb, with_space
 from ...operators.joins import join_on, rows_in, rows_not_in
-from ...operators.levels import MAX_LEVELS  # noqa: F401
 from ...operators.reshape import split_rows, tokens
 from ...operators.windows import first_rows, scale_max
 from ...sources.sequences import literal_table
@@ -126,13 +125,12 @@ q AS (SELECT word, n, x, l, o + CASE WHEN z IN (0, 5) THEN c WHEN z IN (1, 4) TH
 SELECT upper(word[1]) || lower(word[2:]) AS category, n, round(x, 6) AS mean_x, round(l, 6) AS lightness,
        '#' || lpad(lower(to_hex(round_even(r * 255, 0)::BIGINT)), 2, '0') || lpad(lower(to_hex(round_even(g * 255, 0)::BIGINT)), 2, '0') || lpad(lower(to_hex(round_even(b * 255, 0)::BIGINT)), 2, '0') AS avg_color FROM q""")
 def study_makeup(t):
-    rgb = colour.hex_to_rgb("hex")
     shades = first_rows(part_colours(t).select("p_partkey", "p_name", "p_brand", "hex"), ["p_name", "p_brand"], ["p_partkey"])
-    hls = colour.rgb_to_hls(rgb["r"], rgb["g"], rgb["b"])
-    shades = shades.withColumn("hls", hls).where(F.col("hls.l").between(0.1, 0.9))
+    shades = with_space(with_rgb(shades, "hex")).where(F.col("hls.l").between(0.1, 0.9))
     shades = shades.withColumn("x", geometry.shade_triangle(F.col("hls.s"), F.col("hls.l"))["x"])
     words = split_rows(shades.withColumnRenamed("p_name", "word"), "word")
     best = rows_in(words, "word", top_counts(words, 25, "word"))
-    return best.groupBy(title_case("word").alias("category")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean_x"), F.round(F.avg("hls.l"), 6).alias("lightness"),
-        colour.average_hex("hex").alias("avg_color"))
+    best = best.withColumn("category", title_case("word"))
+    means = best.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean_x"), F.round(F.avg("hls.l"), 6).alias("lightness"))
+    return means.join(average_colour(best, "hex", ["category"]), "category")

@@ -23,13 +23,13 @@ def _ballot_file(t):
 @query("study_nzbird", IRV_SQL + """,
 x AS (SELECT a.round, a.position, a.candidate, a.total, coalesce(greatest(a.total - b.total, 0), 0) AS gained
       FROM rounds a LEFT JOIN rounds b ON a.round = b.round + 1 AND a.candidate = b.candidate)
-SELECT round, position, upper(candidate[1]) || candidate[2:] AS bird, total, gained, ((round - 1) * 5 + f)::INT AS frame FROM x, range(5) r(f)""")
+SELECT round, position, upper(candidate[1]) || candidate[2:] AS bird, total, gained, (round * 5 + f)::INT AS frame FROM x, range(5) r(f)""")
 def study_nzbird(t):
     rows = chunk_rows(_ballot_file(t), len(EVENT_TYPES), ["user_id", "rank"], "id")
     votes = rows.select("id", safe_cast(extract_first("vote_rank", r"\d"), "int").alias("rank"), title_case("bird_breed").alias("bird")).na.drop()
     rounds = ballots.instant_runoff(votes, "id", "rank", "bird")
     moves = ballots.transfers(rounds).withColumn("gained", at_least("gained", 0))
     board = rounds.join(moves, ["round", "candidate"], "left").withColumn("gained", F.coalesce("gained", F.lit(0)))
-    first = (F.col("round") - 1) * 5
+    first = F.col("round") * 5
     return frames.schedule(board, "round", F.sequence(first, first + 4)).select(
         "round", "position", F.col("candidate").alias("bird"), "total", "gained", "frame")
