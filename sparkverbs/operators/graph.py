@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialise
 from .reshape import longer, union_by_name, wider
 from .windows import top_n
 
@@ -28,7 +29,7 @@ def hierarchy(df: DataFrame, leaf: str, parent: str, weight: str, root: str) ->
 
     ``df`` holds one weight per (leaf, parent) or more; they are added up. Text names are made unique by level.
     """
-    pairs = df.groupBy(parent, leaf).agg(F.sum(weight).alias("weight"))
+    pairs = materialise(df.groupBy(parent, leaf).agg(F.sum(weight).alias("weight")))
     groups = pairs.groupBy(parent).agg(F.sum("weight").alias("weight"))
     low = pairs.select(F.col(parent).alias("from"), F.col(leaf).alias("to"), "weight")
     high = groups.select(F.lit(root).alias("from"), F.col(parent).alias("to"), "weight")

@@ -20,9 +20,9 @@ def list_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> lis
     return sorted(r[0] for r in found)
 
 
-def median_order(df: DataFrame, level: str, measure: str, descending: bool = False) -> DataFrame:
+def median_order(df: DataFrame, level: str, measure: str, descending: bool = False, weight: str | None = None) -> DataFrame:
     """Table (level, median, ordinal) with levels in the order of their median; ties by name."""
-    medians = exact_quantiles(df, measure, {"median": 0.5}, [level])
+    medians = exact_quantiles(df, measure, {"median": 0.5}, [level], weight)
     by = F.col("median").desc_nulls_last() if descending else F.col("median").asc_nulls_last()
     return number_rows(medians, [by, level], name=f"{level}_ord")
 
@@ -43,9 +43,13 @@ def order_from(table: DataFrame, level: str, order_by: list, bounded: bool = Fal
     return number_rows(table, [*order_by, level], name=f"{level}_ord", bounded=bounded).select(level, f"{level}_ord")
 
 
-def lump(df: DataFrame, column: str, n: int, other_level: str = "Other") -> DataFrame:
-    """Keep the ``n`` most frequent levels (more if tied) and rename the rest."""
-    kept = top_n(count_by(df.where(F.col(column).isNotNull()), column, name="__n"), n, "__n")
+def lump(df: DataFrame, column: str, n: int, other_level: str = "Other", counts: DataFrame | None = None) -> DataFrame:
+    """Keep the ``n`` most frequent levels (more if tied) and rename the rest.
+
+    ``counts`` (column, n) saves a pass over ``df`` where the frequencies are known already.
+    """
+    counts = count_by(df, column) if counts is None else counts
+    kept = top_n(counts.where(F.col(column).isNotNull()).select(column, F.col("n").alias("__n")), n, "__n")
     flagged = join_on(df, kept.select(column, F.lit(True).alias("__kept")), [column], "left")
     value = F.when(F.col(column).isNull() | F.col("__kept"), F.col(column)).otherwise(F.lit(other_level))
     return flagged.withColumn(column, value).drop("__kept")

@@ -15,6 +15,7 @@ from ..operators.joins import expand_until, rows_in, rows_not_in
 from ..operators.ordered import number_rows
 from ..operators.reshape import longer, longer_sets, tokens, wider
 from ..operators.windows import bands, rescale01, scale_max
+from ..session import materialise
 from ..sources.polygons import rings_from_json, star_polygons
 from ..sources.sequences import literal_table
 from .grouping import HLS_SQL, PART_HEX, part_colours
@@ -221,10 +222,12 @@ SELECT "from", "to", CASE WHEN w > 0 AND w <= 0.065 THEN 'weak' WHEN w > 0.065 A
 def graph_tables(t):
     found = word_sets(t)
     top = top_counts(found.where(F.char_length("word") > 3), 60, "word")
-    phi = cooccurrence.pairwise_phi(found, "word", "doc_id", [r["word"] for r in top.collect()]).where("correlation > 0")
+    top = top.collect()
+    phi = cooccurrence.pairwise_phi(found, "word", "doc_id", [r["word"] for r in top]).where("correlation > 0")
     edges = phi.select(F.col("item1").alias("from"), F.col("item2").alias("to"), F.when(F.col("correlation") <= 0.065, "weak").when(
         F.col("correlation") <= 0.13, "middle").otherwise("strong").alias("strength"))
-    return edges.join(top.select(F.col("word").alias("from"), F.col("n").alias("from_n")), "from")
+    counts = literal_table(t.spark, [tuple(r) for r in top], "from string, from_n bigint")
+    return edges.join(F.broadcast(counts), "from")
 
 
 @query("adjacency_union", """
@@ -371,7 +374,7 @@ def type_features(t):
     sums = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in measures])
     means = sums.join(t.part.select("p_partkey", "p_type"), "p_partkey").groupBy("p_type").agg(
         *[(F.sum(c) / F.sum("n")).alias(c) for c in measures])
-    long = longer(rescale01(means, measures), measures, "feature", "v", prefix="l_").where("v <> 0")
+    long = longer(rescale01(materialise(means), measures), measures, "feature", "v", prefix="l_").where("v <> 0")
     names = sorted(c[2:] for c in measures)
     return long.withColumn("no", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature")))
 

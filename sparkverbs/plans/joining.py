@@ -6,6 +6,7 @@ from ..functions.nulls import if_else
 from ..operators import joins as j
 from ..operators.graph import interaction_edges
 from ..operators.windows import top_n
+from ..session import materialise
 from ..sources.sequences import literal_table
 from .registry import query
 
@@ -63,7 +64,7 @@ WITH d AS (SELECT DISTINCT o_orderpriority, o_totalprice FROM orders)
 SELECT o_orderpriority, o_totalprice FROM d WINDOW w AS (PARTITION BY o_orderpriority)
 QUALIFY o_totalprice <> max(o_totalprice) OVER w AND o_totalprice <> min(o_totalprice) OVER w""")
 def anti_join_extremes(t):
-    rows = t.orders.select("o_orderpriority", "o_totalprice").distinct()
+    rows = materialise(t.orders.select("o_orderpriority", "o_totalprice").distinct())
     top = top_n(rows, 1, "o_totalprice", ["o_orderpriority"])
     low = top_n(rows, 1, "o_totalprice", ["o_orderpriority"], bottom=True)
     return j.set_difference(j.set_difference(rows, top), low)

@@ -6,14 +6,15 @@ from ...functions import text as s
 from ...functions.nulls import any_present
 from ...functions.numeric import divide
 from ...operators import density, frames
-from ...operators.aggregates import within_fence
+from ...operators.aggregates import count_by, within_fence
 from ...operators.joins import join_on
 from ...operators.levels import lump
 from ...operators.ordered import number_rows
 from ...operators.project import clean_names
 from ...operators.reshape import longer
 from ...operators.rings import centroid
-from ...operators.windows import scale_max, top_n, with_group_stats
+from ...operators.windows import scale_max, top_n
+from ...session import materialise
 from ...sources.polygons import star_polygons
 from ..registry import query
 
@@ -29,7 +30,7 @@ def study_plastic(t):
     sup = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("Nation Key"))
     per_supplier = t.lineitem.groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))).alias("m"),
                                                        F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_linenumber"))).alias("t"))
-    placed = per_supplier.join(sup, "l_suppkey")
+    placed = materialise(per_supplier.join(sup, "l_suppkey"))
     waste = clean_names(placed.groupBy("Nation Key").agg(F.sum("m").alias("Mismanaged Waste")))
     total = clean_names(placed.groupBy("Nation Key").agg(F.nullif(F.sum("t"), F.lit(0)).alias("Total Waste")))
     rates = join_on(waste, total, ["nation_key"]).select(
@@ -44,7 +45,7 @@ def study_plastic(t):
 
 
 # Thresholds of the meteorite study, at the size of this data.
-GROUPS, CLASSES, FENCE, BEST = 50, 4, 2.0, 3
+GROUPS, CLASSES, SIZE, FENCE, BEST = 50, 4, 20, 2.0, 3
 
 
 @query("study_meteor", """
@@ -64,9 +65,13 @@ def study_meteor(t):
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"), F.trim(name).alias("grp"),
                           s.classify("p_type", [("^S", "S"), ("^PROMO", "P")]).alias("class"))
     finds = t.lineitem.where("l_quantity > 0").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("mass"))
-    rows = lump(lump(finds.join(parts, "l_partkey"), "grp", GROUPS), "class", CLASSES).where("grp <> 'Other'")
-    sized = with_group_stats(rows, ["grp"], group_size=F.count_distinct("l_partkey"))
-    inside = within_fence(sized, "mass", ["grp"], FENCE).where(F.col("group_size") >= 20)
+    # frequencies and group sizes come from one row per part; the finds themselves are joined once
+    seen = materialise(count_by(finds, "l_partkey").join(parts, "l_partkey"))
+    rows = lump(finds.join(parts, "l_partkey"), "grp", GROUPS, counts=count_by(seen, "grp", weight="n"))
+    rows = lump(rows, "class", CLASSES, counts=count_by(seen, "class", weight="n")).where("grp <> 'Other'")
+    sizes = seen.groupBy("grp").agg(F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") >= SIZE)
+    rows = materialise(rows.join(sizes, "grp"))
+    inside = within_fence(rows, "mass", ["grp"], FENCE)
     best = number_rows(top_n(inside, BEST, "mass", ["grp"]), [F.col("mass").desc(), "l_orderkey", "l_linenumber", "l_partkey"], ["grp"], name="rank")
     return best.withColumn("label", s.paste("rank", F.lit(". "), "grp", F.lit(" ("), s.format_kg("mass"), F.lit(")")))
 

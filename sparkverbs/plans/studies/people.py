@@ -14,7 +14,7 @@ from ...operators.project import clean_names
 from ...operators.reshape import fill_sequence, wider_multi
 from ...operators.rings import segments
 from ...operators.windows import first_rows, top_n, with_group_stats
-from ...session import scratch_path
+from ...session import materialise, scratch_path
 from ...sources.delimited import read_csv, write_csv
 from ..registry import query
 
@@ -33,7 +33,7 @@ def study_tennis(t):
     games = t.orders.select("o_custkey", "o_orderpriority", outcome.alias("outcome"), F.year("o_orderdate").alias("year")).where("outcome is not null")
     players = t.customer.where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
     wins = join_on(count_by(games, "o_custkey", name="wins"), players, [("o_custkey", "c_custkey")], "left").where("c_mktsegment is not null")
-    best = top_n(wins, 4, "wins", ["c_mktsegment"])
+    best = top_n(materialise(wins), 4, "wins", ["c_mktsegment"])
     edges = adjacency(rows_in(games, "o_custkey", best), "o_custkey", ["o_orderpriority", "year", "outcome"])
     colour = case_when((same_text("to", 1996), "a"), (same_text("to", "Champion"), "b"), (F.col("to").rlike("^[1-5]-"), "c"), default="d")
     return edges.select("from", "to", "n", colour.alias("colour"))
@@ -48,7 +48,7 @@ FROM r, range(1996, 2002) AS u(until) WHERE year >= 1996 AND year <= until GROUP
 def study_anime(t):
     shows = first_rows(t.orders.where(not_in_set("o_orderstatus", ["P"])), ["o_custkey", "o_orderdate"], ["o_orderkey"])
     rating = recode("o_orderpriority", {"1-URGENT": "top", "2-HIGH": "top"})
-    merged = shows.groupBy(rating.alias("rating"), F.year("o_orderdate").alias("year"), "o_totalprice").agg(F.count(F.lit(1)).alias("copies"))
+    merged = materialise(shows.groupBy(rating.alias("rating"), F.year("o_orderdate").alias("year"), "o_totalprice").agg(F.count(F.lit(1)).alias("copies")))
     grown = expand_until(merged, "year", 1996, 2001)
     medians = exact_quantiles(grown, "o_totalprice", {"median": 0.5}, ["until", "rating"], weight="copies")
     sizes = count_by(grown, "until", "rating", weight="copies")
@@ -68,14 +68,16 @@ def study_nobel(t):
     shipped = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.year("l_shipdate").alias("ship_year")).distinct()
     prizes = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("category"), F.year("o_orderdate").alias("year"))
     d = shipped.join(prizes, "o_orderkey").select("category", "o_orderkey", (F.col("ship_year") - F.col("year")).alias("years")).distinct()
-    means = d.groupBy("category").agg(F.round(F.avg("years"), 6).alias("mean_years"))
+    # the rest needs only how often each number of years occurs in a category
+    d = materialise(d.groupBy("category", "years").agg(F.count(F.lit(1)).alias("n")))
+    means = d.groupBy("category").agg(F.round(F.sum(F.col("years") * F.col("n")) / F.sum("n"), 6).alias("mean_years"))
     longest, shortest = top_n(d, 1, "years", ["category"]), top_n(d, 1, "years", ["category"], bottom=True)
     rest = set_difference(set_difference(d, longest), shortest)
     out = means
     for extreme, name in ((longest, "longest"), (shortest, "shortest")):
         out = out.join(extreme.groupBy("category").agg(F.first("years").alias(name)), "category")
-    out = out.join(count_by(rest, "category", name="n_rest"), "category")
-    return out.join(median_order(rest, "category", "years").select("category", "category_ord"), "category")
+    out = out.join(count_by(rest, "category", weight="n", name="n_rest"), "category")
+    return out.join(median_order(rest, "category", "years", weight="n").select("category", "category_ord"), "category")
 
 
 @query("study_school", """

@@ -137,6 +137,7 @@ def study_rap(t):
     mine = mine.join(F.broadcast(ranked.select("o_orderkey", "r")), "o_orderkey", "left")
     sizes = mine.groupBy("artist", "artist_rank", F.coalesce("r", F.lit(RANKED + 1)).alias("title_rank")).agg(F.count(F.lit(1)).alias("size"))
     order = [F.col("artist_rank").desc(), F.col("title_rank").desc()]
+    sizes = materialise(sizes)
     placed = midpoints(bands(sizes, "size", order, gap_when="artist_rank", gap=GAP, bounded=True), ["artist"])
     placed = with_group_stats(placed, [], ticks=F.max("end"))
     corners = geometry.ribbon_corners("title_rank", "start", "end", geometry.label_offset(F.col("artist").cast("string")), F.col("ticks").cast("double"), RANKED + 1)
@@ -157,10 +158,10 @@ g AS (SELECT language, sum(code)::BIGINT AS code FROM k GROUP BY 1)
 def _packages(t):
     lines = t.lineitem.groupBy("l_partkey", F.col("l_suppkey").alias("pkg")).agg(F.sum("l_linenumber").alias("code"))
     brands = t.part.where(in_set("p_brand", LANGUAGES)).select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("language"))
-    code = count_by(lines.join(brands, "l_partkey"), "pkg", "language", weight="code", name="code")
+    code = materialise(count_by(lines.join(brands, "l_partkey"), "pkg", "language", weight="code", name="code"))
     kept = rows_in(code, "pkg", top_counts(code, 300, "pkg", weight="code"))
     # at most 13 languages for each of 300 packages
-    return mark_first(kept, ["pkg"], [F.col("code").desc(), "language"], bounded=True)
+    return materialise(mark_first(kept, ["pkg"], [F.col("code").desc(), "language"], bounded=True))
 
 
 @query("study_cran_edges", CRAN_SQL + """

@@ -11,6 +11,7 @@ from ...operators.colours import average_colour, with_rgb, with_space
 from ...operators.joins import join_on, rows_in, rows_not_in
 from ...operators.reshape import split_rows, tokens
 from ...operators.windows import first_rows, scale_max
+from ...session import materialise
 from ...sources.sequences import literal_table
 from ..analysis import STOP_WORDS, TYPES, word_sets
 from ..grouping import HLS_SQL, part_colours
@@ -37,9 +38,10 @@ def _word_graph(t, words, n, breaks):
     """Edges between correlated words, with the word's averages."""
     top = top_counts(words, n, "word")
     listed = [r["word"] for r in top.collect()]  # a top-k
+    words = materialise(words.where(F.col("word").isin(listed)))
     phi = cooccurrence.pairwise_phi(words.select("word", "doc_id"), "word", "doc_id", listed).where(F.col("correlation") > breaks[0])
     quality = t.labels.select("doc_id", "quality")
-    averages = words.where(F.col("word").isin(listed)).join(quality, "doc_id", "left").groupBy("word").agg(
+    averages = words.join(quality, "doc_id", "left").groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.round(F.avg("quality"), 6).alias("mean_quality"))
     edges = phi.select(F.col("item1").alias("from"), F.col("item2").alias("to"), F.round("correlation", 6).alias("correlation"),
                        cut("correlation", breaks).alias("strength"))
@@ -96,11 +98,12 @@ FROM e JOIN t x ON e.episode = x.episode AND e."from" = x.role JOIN t y ON e.epi
 @query("study_friends", FRIENDS_SQL)
 def study_friends(t):
     said = t.conversations.select(F.col("conv_id").alias("episode"), F.expr("turn div 2").alias("scene"), "role", F.char_length("text").cast("bigint").alias("n"))
-    talk = graph.attribute_broadcasts(said, ["episode", "scene"], "role", "n", F.col("role") == "system")
+    talk = materialise(graph.attribute_broadcasts(said, ["episode", "scene"], "role", "n", F.col("role") == "system"))
     edges = graph.interaction_edges(talk, ["episode"], ["scene"], "role", ["assistant", "user"], "n")
     totals = count_by(talk, "episode", "role", weight="n", name="total")
     edges = join_on(edges, totals.withColumnRenamed("total", "source_total"), ["episode", ("from", "role")], "left")
     edges = join_on(edges, totals.withColumnRenamed("total", "target_total"), ["episode", ("to", "role")], "left")
+    edges = materialise(edges)
     sized = scale_max(scale_max(edges, "source_total", [], "source_size"), "target_total", [], "t")
     return sized.select("episode", "from", "to", "weight", "source_total", "target_total", F.round("source_size", 6).alias("source_size"),
                         F.round(F.sqrt("t") / 2, 6).alias("target_radius"))
