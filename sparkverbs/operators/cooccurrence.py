@@ -26,7 +26,8 @@ def _cells(df, item, feature, value, keys, items, kind, presence) -> DataFrame:
         raise ValueError(f"more than {MAX_ITEMS} items")
     place = F.array_position(F.array(*[F.lit(i) for i in items]), F.col(item)) - 1
     amount = F.lit(1.0) if value is None else F.sum(value).cast("double")
-    one = df.select(*keys, *feature, place.cast("int").alias("__i"), *([value] if value else [])).where("__i >= 0")
+    # the hashed membership test comes first, so the linear search for the place runs on the few rows left
+    one = df.where(F.col(item).isin(items)).select(*keys, *feature, place.cast("int").alias("__i"), *([value] if value else []))
     one = one.groupBy(*keys, *feature, "__i").agg(amount.alias("__v"))
     # one row per feature with at most one entry per listed item
     rows = one.groupBy(*keys, *feature).agg(F.collect_list(F.struct("__i", "__v")).alias("__e"))
