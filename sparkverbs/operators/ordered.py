@@ -59,14 +59,20 @@ def ordered_scan(
             final[row_number] = F.col("__rn").cast("bigint")
         return _finish(rows, df, final)
 
-    # one range shuffle; the stamp is taken in the sorted stage and fixed by the checkpoint
-    stamped = materialise(
-        df.withColumns(inputs).orderBy(*[F.col(k).asc_nulls_first() for k in keys], *ordering)
-        .withColumn(POSITION, F.monotonically_increasing_id())
-        if inputs else
-        df.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *ordering)
-        .withColumn(POSITION, F.monotonically_increasing_id())
-    ).withColumn(PARTITION, F.shiftright(POSITION, 33))
+    # one range shuffle; the stamp (partition and place in it) is taken in the sorted stage and fixed by the checkpoint
+    wide = df.withColumns(inputs) if inputs else df
+    ranged = wide.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *ordering)
+    stamped = materialise(ranged.withColumn(POSITION, F.monotonically_increasing_id()))
+    stamped = stamped.withColumn(PARTITION, F.shiftright(POSITION, 33))
+
+    if row_number and not (keys or running or previous):
+        # the place in the partition is known already: no second shuffle
+        sizes = stamped.groupBy(F.col(PARTITION).alias("__cpart")).agg(F.count(F.lit(1)).alias("__n"))
+        before = F.sum("__n").over(Window.orderBy("__cpart").rowsBetween(Window.unboundedPreceding, -1))
+        starts = sizes.select("__cpart", F.coalesce(before, F.lit(0)).alias("__before"))
+        rows = stamped.join(F.broadcast(starts), F.col(PARTITION) == F.col("__cpart"))
+        place = F.col(POSITION).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+        return _finish(rows, df, {row_number: place + F.col("__before")})
 
     local = Window.partitionBy(PARTITION, *keys).orderBy(POSITION)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, columns, grouping, joining, ordering, reading, reshaping, scalars, studies  # noqa: F401
+from . import analysis, columns, functions, grouping, joining, ordering, reading, reshaping, scalars, studies  # noqa: F401
 from .registry import all_queries, all_sql
 
 __all__ = ["all_queries", "all_sql"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may fall back to a temporary folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="sparkverbs-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkverbs-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,7 +52,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint, so that values which depend on how the rows were
     laid out (partition numbers) stay the same in every later use, also after an executor is lost."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    spark = df.sparkSession
+    folder, current = shared_folder(spark), spark.sparkContext.getCheckpointDir()
+    if current is None or urlparse(folder).path not in current:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

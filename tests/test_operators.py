@@ -318,3 +318,10 @@ def test_vertical_links(spark):
     assert sorted(g.direction for g in got) == [-1, -1, 1]
     up = next(g for g in got if g.direction == 1)
     assert (up.x_from, up.y_from, up.x_to, up.y_to) == pytest.approx((-0.05, 0.16, -0.05, 0.74))
+
+
+def test_large_groups_are_refused(skewed):
+    from sparkverbs.operators.custom import map_groups
+
+    with pytest.raises(ValueError):
+        map_groups(skewed[1], ["k"], lambda g: g, "k string, i int, v int", max_rows=100)

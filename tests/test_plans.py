@@ -39,9 +39,10 @@ def test_filter_and_columns_reach_the_scan(spark):
 def test_whole_table_number_has_no_single_task_window(spark):
     df = spark.range(1000).withColumn("v", F.rand(1))
     text = physical(ordered.number_rows(df, ["v", "id"]))
-    assert "row_number() windowspecdefinition(__part" in text
-    # only the per-partition state goes through one task
-    assert text.count("Exchange SinglePartition") <= 1
+    # the rows are not shuffled again, only the sizes of the partitions go through one task
+    assert text.count("Exchange SinglePartition") <= 1 and text.count("Exchange hashpartitioning") == 1
+    text = physical(ordered.running_sum(df, "v", ["v", "id"]))
+    assert "windowspecdefinition(__part" in text
 
 
 def test_top_n_limits_before_its_shuffle(spark):
@@ -49,5 +50,31 @@ def test_top_n_limits_before_its_shuffle(spark):
     assert "WindowGroupLimit" in physical(windows.top_n(df, 2, "id", ["k"]))
 
 
+class Context:
+    """The parts of a Spark session that say where intermediates go."""
+
+    def __init__(self, master, setting=None, folder=None):
+        self.master, self.setting, self.folder = master, setting, folder
+        self.sparkContext = self.conf = self
+
+    def get(self, key, default=None):
+        return self.setting if key == "spark.checkpoint.dir" else default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder():
+    assert shared_folder(Context("yarn", "hdfs://a/b/")) == "hdfs://a/b"
+    assert shared_folder(Context("yarn", None, "hdfs://c")) == "hdfs://c"
+    with pytest.raises(ValueError):
+        shared_folder(Context("spark://host"))
+    local = Context("local[8]")
+    assert shared_folder(local) == local.folder is not None
+
+
 def test_intermediates_go_to_the_configured_folder(spark):
     assert spark.sparkContext.getCheckpointDir() is None or shared_folder(spark) in spark.sparkContext.getCheckpointDir()
