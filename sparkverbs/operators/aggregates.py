@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import join_on
-from .ordered import ordered_scan
+from .ordered import PARTITION, POSITION, stamp
 
 
 def count_by(df: DataFrame, *keys: str, weight: str | None = None, name: str = "n", sort: bool = False, drop_null: bool = False):
@@ -38,32 +40,39 @@ def ratio_when(value: str, test: Column) -> Column:
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics, per group.
 
-    Counts distinct values first and finds the order statistics by a distributed running count, so
-    a group never has to fit into one task or one aggregation buffer. ``weight`` names a column that says how
-    many times a row counts.
+    Counts distinct values first and sorts them over all partitions. The sums per partition tell where the order
+    statistics lie, and only those stretches are scanned, so a group never has to fit into one task or one aggregation
+    buffer. ``weight`` names a column that says how many times a row counts.
     """
     keys = list(keys)
     times = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("__n"))
-    scanned = ordered_scan(counts, [value], keys, running={"__upto": "__n"})
-    totals = scanned.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    if keys:
-        rows = join_on(scanned, totals, keys, null_safe=True)
-    else:
-        rows = scanned.withColumn("__total", totals.scalar())
-    before = F.col("__upto") - F.col("__n")
-    picks, out = [], []
-    hit = F.lit(False)
+    stamped = stamp(counts, [value], keys)
+
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    earlier = group.orderBy(PARTITION).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = stamped.groupBy(PARTITION, *keys).agg(F.sum("__n").alias("__here"))
+    stretches = stretches.withColumns({"__before": F.coalesce(F.sum("__here").over(earlier), F.lit(0)), "__total": F.sum("__here").over(group)})
+    places = {}
     for name, p in probs.items():
         at = (F.col("__total") - 1) * F.lit(float(p))
-        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            covers = (before <= place) & (place < F.col("__upto"))
-            hit = hit | covers
-            picks.append(F.max(F.when(covers, F.col(value).cast("double"))).alias(f"__{side}_{name}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"__w_{name}"))
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        out.append((lo + (hi - lo) * F.col(f"__w_{name}")).alias(name))
-    return rows.where(hit).groupBy(*keys).agg(*picks).select(*keys, *out)
+        places |= {f"__lo_{name}": F.floor(at), f"__hi_{name}": F.ceil(at), f"__w_{name}": at - F.floor(at)}
+    ends = [c for c in places if not c.startswith("__w_")]
+    stretches = stretches.withColumns(places)
+
+    def within(first: Column, size: Column, c: str) -> Column:
+        return (F.col(c) >= first) & (F.col(c) < first + size)
+
+    wanted = stretches.where(reduce(or_, [within(F.col("__before"), F.col("__here"), c) for c in ends]))
+    rows = join_on(stamped, wanted, [PARTITION, *keys], null_safe=True)
+    upto = Window.partitionBy(PARTITION, *keys).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__first", F.col("__before") + F.sum("__n").over(upto) - F.col("__n"))
+    found = {c: within(F.col("__first"), F.col("__n"), c) for c in ends}
+    picked = rows.where(reduce(or_, found.values())).groupBy(*keys).agg(
+        *[F.max(F.when(hit, F.col(value).cast("double"))).alias(c) for c, hit in found.items()],
+        *[F.max(f"__w_{name}").alias(f"__w_{name}") for name in probs])
+    blend = {n: F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__w_{n}") for n in probs}
+    return picked.select(*keys, *[v.alias(n) for n, v in blend.items()])
 
 
 def median_iqr(df: DataFrame, value: str, keys: Sequence[str] = (), median: str = "median", iqr: str = "iqr") -> DataFrame:

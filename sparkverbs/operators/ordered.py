@@ -15,6 +15,7 @@ from ..functions.nulls import ColumnOrName, as_col
 from ..session import materialise
 
 PARTITION, POSITION = "__part", "__pos"
+MAX_HEADS = 200_000
 
 
 def _ordering(order_by) -> list[Column]:
@@ -23,6 +24,16 @@ def _ordering(order_by) -> list[Column]:
     return [as_col(c) if not isinstance(c, str) else F.col(c).asc_nulls_last() for c in order_by]
 
 
+def stamp(df: DataFrame, order_by: Sequence[ColumnOrName], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows sorted over all partitions, each with its partition and a position that rises within the partition.
+
+    One range shuffle; the stamp is taken in the sorted stage and fixed by the checkpoint.
+    """
+    ranged = df.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *_ordering(order_by))
+    stamped = materialise(ranged.withColumn(POSITION, F.monotonically_increasing_id()))
+    return stamped.withColumn(PARTITION, F.shiftright(POSITION, 33))
+
+
 def ordered_scan(
     df: DataFrame,
     order_by: Sequence[ColumnOrName],
@@ -59,20 +70,12 @@ def ordered_scan(
             final[row_number] = F.col("__rn").cast("bigint")
         return _finish(rows, df, final)
 
-    # one range shuffle; the stamp (partition and place in it) is taken in the sorted stage and fixed by the checkpoint
-    wide = df.withColumns(inputs) if inputs else df
-    ranged = wide.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *ordering)
-    stamped = materialise(ranged.withColumn(POSITION, F.monotonically_increasing_id()))
-    stamped = stamped.withColumn(PARTITION, F.shiftright(POSITION, 33))
+    stamped = stamp(df.withColumns(inputs) if inputs else df, order_by, keys)
 
-    if row_number and not (keys or running or previous):
-        # the place in the partition is known already: no second shuffle
-        sizes = stamped.groupBy(F.col(PARTITION).alias("__cpart")).agg(F.count(F.lit(1)).alias("__n"))
-        before = F.sum("__n").over(Window.orderBy("__cpart").rowsBetween(Window.unboundedPreceding, -1))
-        starts = sizes.select("__cpart", F.coalesce(before, F.lit(0)).alias("__before"))
-        rows = stamped.join(F.broadcast(starts), F.col(PARTITION) == F.col("__cpart"))
-        place = F.col(POSITION).bitwiseAND(F.lit((1 << 33) - 1)) + 1
-        return _finish(rows, df, {row_number: place + F.col("__before")})
+    if row_number and not (running or previous):
+        numbered = _number_by_heads(stamped, keys, row_number)
+        if numbered is not None:
+            return _finish(numbered, df, {row_number: F.col(row_number)})
 
     local = Window.partitionBy(PARTITION, *keys).orderBy(POSITION)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
@@ -113,6 +116,27 @@ def ordered_scan(
     return _finish(rows, df, final)
 
 
+def _number_by_heads(stamped: DataFrame, keys: list[str], name: str) -> DataFrame | None:
+    """Row number from the position and the head of each group in each partition, without another shuffle.
+
+    The heads number one per partition plus one per group. They are counted first and broadcast if they are few;
+    otherwise the answer is ``None`` and the rows are numbered by a window per partition and group.
+    """
+    names = [f"__c{i}" for i in range(len(keys))]
+    heads = materialise(
+        stamped.groupBy(F.col(PARTITION).alias("__cpart"), *[F.col(k).alias(c) for k, c in zip(keys, names)])
+        .agg(F.min(POSITION).alias("__head"), F.count(F.lit(1)).alias("__n")))
+    if keys and heads.count() > MAX_HEADS:
+        return None
+    earlier = Window.partitionBy(*(names or [F.lit(0)])).orderBy("__cpart").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    on = F.col(PARTITION) == F.col("__cpart")
+    for k, c in zip(keys, names):
+        on = on & F.col(k).eqNullSafe(F.col(c))
+    rows = stamped.join(F.broadcast(heads), on)
+    return rows.withColumn(name, F.col(POSITION) - F.col("__head") + 1 + F.col("__before"))
+
+
 def _finish(rows: DataFrame, df: DataFrame, final: dict[str, Column]) -> DataFrame:
     kept = [c for c in df.columns if c not in final]
     return rows.select(*kept, *[c.alias(n) for n, c in final.items()])

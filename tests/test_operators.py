@@ -45,6 +45,16 @@ def test_scan_per_group(skewed, bounded):
             before = v
 
 
+@pytest.mark.parametrize("heads", [0, 10_000])
+def test_numbering_with_few_and_with_many_groups(skewed, monkeypatch, heads):
+    data, df = skewed
+    monkeypatch.setattr(ordered, "MAX_HEADS", heads)
+    got = {r.i: r.n for r in ordered.number_rows(df, [F.col("v").desc(), "i"], ["k"], name="n").collect()}
+    for rows in by_key(data).values():
+        for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+            assert got[i] == n
+
+
 def test_scan_over_the_whole_table(skewed):
     data, df = skewed
     out = ordered.ordered_scan(df, ["v", "i"], row_number="n", running={"s": "v"})
