@@ -1,14 +1,15 @@
-"""Hooks for functions of the user: on columns, and on groups of a checked size."""
+"""Hooks for functions of the user: on columns, as aggregates, and on groups of a checked size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
 MAX_GROUP = 1_000_000
+HELD_GROUPS = 100_000
 
 
 def scalar_function(f: Callable[..., pd.Series], return_type: str):
@@ -33,9 +34,28 @@ def map_groups(df: DataFrame, keys: Sequence[str], f: Callable[[pd.DataFrame], p
     return df.groupBy(*keys).applyInPandas(f, schema)
 
 
-def aggregate_groups(df: DataFrame, keys: Sequence[str], f: Callable[[pd.Series], object], column: str, return_type: str,
-                     name: str, max_rows: int = MAX_GROUP) -> DataFrame:
-    """Apply an aggregate function to a column of each group, under the same check."""
-    check_group_size(df, keys, max_rows)
-    aggregate = F.pandas_udf(f, return_type, PandasUDFType.GROUPED_AGG)
-    return df.groupBy(*keys).agg(aggregate(F.col(column)).alias(name))
+def aggregate_groups(df: DataFrame, keys: Sequence[str], partial: Callable[[pd.Series], object],
+                     merge: Callable[[pd.Series], object], column: str, return_type: str, name: str) -> DataFrame:
+    """Aggregate a column per group with functions of the user, in two steps.
+
+    ``partial`` reduces the values of one batch, ``merge`` reduces partial results (in any order and grouping). A task
+    sends on one partial result per group, so a group of any size is spread over tasks.
+    """
+    keys = list(keys)
+    types = dict(df.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"`{name}` {return_type}"])
+
+    def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, object] = {}
+        for pdf in batches:
+            for key, values in pdf.groupby(keys, dropna=False)[column]:
+                value = partial(values)
+                held[key] = merge(pd.Series([held[key], value])) if key in held else value
+            if len(held) > HELD_GROUPS:
+                yield pd.DataFrame([(*k, v) for k, v in held.items()], columns=[*keys, name])
+                held = {}
+        if held:
+            yield pd.DataFrame([(*k, v) for k, v in held.items()], columns=[*keys, name])
+
+    partials = df.select(*keys, column).mapInPandas(reduce_batches, schema)
+    return partials.groupBy(*keys).agg(F.pandas_udf(merge, return_type, PandasUDFType.GROUPED_AGG)(F.col(name)).alias(name))

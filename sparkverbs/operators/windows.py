@@ -16,6 +16,7 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], source: DataFrame | Non
 
     The aggregate is combined before its shuffle and joined back, so a group of any size is spread over
     tasks; a small result is broadcast by the measured size. Without keys the values come from a scalar subquery.
+    The input is evaluated twice; materialise it first if it is expensive.
     ``source`` names the table to aggregate if it is not ``df``: for several statistics of one table in a row, so
     that the later ones do not repeat the joins of the earlier ones.
     """

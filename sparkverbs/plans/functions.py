@@ -18,13 +18,14 @@ def udf_scalar(t):
     return t.part.select("p_partkey", scalar_function(_initials, "string")("p_name").alias("initials"))
 
 
-def _widest(v: pd.Series) -> float:
-    return float(v.max() - v.min())
+def _largest(values: pd.Series) -> float:
+    return float(values.max())
 
 
-@query("udf_aggregate", "SELECT p_brand, max(p_retailprice) - min(p_retailprice) AS spread FROM part GROUP BY 1")
+@query("udf_aggregate", "SELECT l_returnflag, l_suppkey, max(l_extendedprice) AS largest FROM lineitem GROUP BY ALL")
 def udf_aggregate(t):
-    return aggregate_groups(t.part.select("p_brand", "p_retailprice"), ["p_brand"], _widest, "p_retailprice", "double", "spread")
+    lines = t.lineitem.select("l_returnflag", "l_suppkey", "l_extendedprice")
+    return aggregate_groups(lines, ["l_returnflag", "l_suppkey"], _largest, _largest, "l_extendedprice", "double", "largest")
 
 
 def _perimeter(ring: pd.DataFrame) -> pd.DataFrame:

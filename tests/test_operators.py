@@ -335,3 +335,11 @@ def test_large_groups_are_refused(skewed):
 
     with pytest.raises(ValueError):
         map_groups(skewed[1], ["k"], lambda g: g, "k string, i int, v int", max_rows=100)
+
+
+def test_aggregate_of_the_user_with_hot_and_null_keys(skewed):
+    from sparkverbs.operators.custom import aggregate_groups
+
+    data, df = skewed
+    out = aggregate_groups(df, ["k"], lambda v: float(v.sum()), lambda v: float(v.sum()), "v", "double", "total")
+    assert {r.k: r.total for r in out.collect()} == {k: sum(v for _, v in g) for k, g in by_key(data).items()}
