@@ -20,11 +20,16 @@ MAX_ITEMS = 2_000   # the item-by-item matrix of a task then takes at most 32 MB
 BATCH_CELLS = 4_000_000
 
 
+def _listed(df: DataFrame, item: str, items: list):
+    """The items as an array literal of the column's type, also if there are none."""
+    return F.array(*[F.lit(i) for i in items]).cast(f"array<{dict(df.dtypes)[item]}>")
+
+
 def _cells(df, item, feature, value, keys, items, kind, presence) -> DataFrame:
     """Summed matrices as rows (keys, __p, total); place ``width * width`` holds the number of features."""
     if len(items) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items")
-    place = F.array_position(F.array(*[F.lit(i) for i in items]), F.col(item)) - 1
+    place = F.array_position(_listed(df, item, items), F.col(item)) - 1
     amount = F.lit(1.0) if value is None else F.sum(value).cast("double")
     # the hashed membership test comes first, so the linear search for the place runs on the few rows left
     one = df.where(F.col(item).isin(items)).select(*keys, *feature, place.cast("int").alias("__i"), *([value] if value else []))
@@ -37,9 +42,9 @@ def _cells(df, item, feature, value, keys, items, kind, presence) -> DataFrame:
     return partial.select(*keys, F.posexplode("__m").alias("__p", "__v")).groupBy(*keys, "__p").agg(F.sum("__v").alias("total"))
 
 
-def _pairs(cells: DataFrame, keys, items) -> DataFrame:
-    names, width = F.array(*[F.lit(i) for i in items]), len(items)
-    return cells.where(F.col("__p") < width * width).select(
+def _pairs(cells: DataFrame, keys, items, names) -> DataFrame:
+    width = max(1, len(items))
+    return cells.where(F.col("__p") < len(items) ** 2).select(
         *keys, names[F.expr(f"int(__p div {width})")].alias("item_a"), names[F.expr(f"int(__p % {width})")].alias("item_b"), "total")
 
 
@@ -55,7 +60,7 @@ def item_matrix(df: DataFrame, item: str, feature: Sequence[str], value: str | N
     """
     items = list_levels(df, item, MAX_ITEMS) if items is None else list(items)
     cells = _cells(df, item, list(feature), value, list(keys), items, kind, right == "presence")
-    return _pairs(cells, list(keys), items)
+    return _pairs(cells, list(keys), items, _listed(df, item, items))
 
 
 def _adder(keys: list[str], width: int, kind: str, presence: bool):
@@ -63,8 +68,8 @@ def _adder(keys: list[str], width: int, kind: str, presence: bool):
         sums: dict[tuple, np.ndarray] = {}
         features: dict[tuple, int] = {}
         kinds: list[pa.DataType] = []
-        step = max(1, BATCH_CELLS // width)
-        limit = max(1, 16 * BATCH_CELLS // (width * width))
+        step = max(1, BATCH_CELLS // max(1, width))
+        limit = max(1, 16 * BATCH_CELLS // max(1, width * width))
 
         def flush():
             arrays = [pa.array([k[i] for k in sums], type=kinds[i]) for i in range(len(keys))]
@@ -112,7 +117,7 @@ def pairwise_phi(df: DataFrame, item: str, feature: str, items: list | None = No
     # one small row set, read four times below
     cells = materialise(_cells(df, item, [feature], None, [], items, "dot", False))
     total = cells.where(F.col("__p") == len(items) ** 2).select("total").scalar()
-    both = _pairs(cells, [], items)
+    both = _pairs(cells, [], items, _listed(df, item, items))
     own = both.where(F.col("item_a") == F.col("item_b"))
     pairs = (both.where(F.col("item_a") != F.col("item_b"))
              .join(own.select("item_a", F.col("total").alias("na")), "item_a")

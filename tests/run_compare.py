@@ -23,7 +23,7 @@ def main():
             got = queries[name](spark, folder).toArrow()
             took = time.time() - start
             start = time.time()
-            found = differences(got, con.execute(sql[name]).to_arrow_table()) if name in sql else []
+            found = differences(got, con.sql(sql[name]).to_arrow_table()) if name in sql else []
             note = "ok" if name in sql else f"rows only: {got.num_rows}"
         except Exception as e:  # noqa: BLE001
             took, found = time.time() - start, [f"{type(e).__name__}: {str(e)[:600]}"]

@@ -343,3 +343,9 @@ def test_aggregate_of_the_user_with_hot_and_null_keys(skewed):
     data, df = skewed
     out = aggregate_groups(df, ["k"], lambda v: float(v.sum()), lambda v: float(v.sum()), "v", "double", "total")
     assert {r.k: r.total for r in out.collect()} == {k: sum(v for _, v in g) for k, g in by_key(data).items()}
+
+
+def test_no_items_give_no_pairs(spark):
+    df = spark.createDataFrame([("x", "p", 1.0)], "i string, f string, v double")
+    assert cooccurrence.pairwise_phi(df, "i", "f", []).count() == 0
+    assert cooccurrence.pairwise_distance(df.where("v > 5"), "i", "f", "v").count() == 0

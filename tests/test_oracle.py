@@ -24,7 +24,7 @@ def test_query(spark, con, name):
     if name not in SQL:
         assert got.num_rows > 0
         return
-    assert differences(got, con.execute(SQL[name]).to_arrow_table()) == []
+    assert differences(got, con.sql(SQL[name]).to_arrow_table()) == []
 
 
 def test_entry_names():
