@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, quality, sharding
+from . import archives, licences, main_text, packing, quality, sharding
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,11 +15,14 @@ def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSe
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_consensus_main_text": _over(main_text.main_text, "pages"),
+        "op3_packaged_archives": _over(archives.round_trip, "pages"),
         "op5_extendible_hashing": _over(sharding.assign, "documents"),
         "op6_licence_rules": _over(licences.scan, "documents"),
+        "op7_best_fit_packing": _over(packing.pack, "documents"),
         "op8_adaptive_quality": _over(quality.quality_report, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_extendible_hashing": sharding.SQL, "op6_licence_rules": licences.SQL, "op8_adaptive_quality": quality.SQL}
+    return {"op3_packaged_archives": archives.SQL, "op5_extendible_hashing": sharding.SQL, "op6_licence_rules": licences.SQL, "op8_adaptive_quality": quality.SQL}
