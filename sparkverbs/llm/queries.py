@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, licences, main_text, packing, quality, sharding
+from . import archives, language_model, licences, main_text, packing, quality, secrets, sharding
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_licence_rules": _over(licences.scan, "documents"),
         "op7_best_fit_packing": _over(packing.pack, "documents"),
         "op8_adaptive_quality": _over(quality.quality_report, "documents"),
+        "op9_masked_likelihood": _over(language_model.score, "documents"),
+        "op10_secret_network": _over(secrets.scan, "documents"),
     }
 
 
