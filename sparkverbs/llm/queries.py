@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, language_model, licences, main_text, packing, quality, secrets, sharding
+from . import archives, jaccard, language_model, licences, main_text, packing, quality, secrets, sharding
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSe
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_consensus_main_text": _over(main_text.main_text, "pages"),
+        "op2_count_vector_jaccard": _over(jaccard.join, "documents"),
         "op3_packaged_archives": _over(archives.round_trip, "pages"),
         "op5_extendible_hashing": _over(sharding.assign, "documents"),
         "op6_licence_rules": _over(licences.scan, "documents"),
