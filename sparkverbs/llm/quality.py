@@ -20,6 +20,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Rows that the fence of the language weighs in the fence of a source.
 PRIOR = 100
+#: Rejected rows up to which their list is sent to every executor.
+SMALL = 1_000_000
 #: Spreads between the middle half and a fence.
 REACH = 3
 #: Measure -> (least spread, whether there is a lower fence too). All measures are whole numbers in thousandths.
@@ -135,10 +137,15 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows that are kept, with the columns of ``docs``. The few thresholds travel, not the texts."""
-    limits = stored(thresholds(stored(measured(docs), "measures")), "thresholds")
-    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("__row"))
-    return judged(measured(whole, "__row"), limits).where("kept").select("__row.*")
+    """The rows that are kept, with the columns of ``docs``. Rejected rows are known by id, language, source and a hash of the
+    text; their list is broadcast only below ``SMALL`` rows, which is counted first."""
+    rows = stored(measured(docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("__hash")), "__hash"), "measures")
+    out = judged(rows, stored(thresholds(rows), "thresholds")).where("not kept").select(
+        F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), "__hash").distinct()
+    out = stored(out, "rejected")
+    few = F.broadcast(out) if out.count() <= SMALL else out
+    return docs.join(few, docs["doc_id"].eqNullSafe(few["__id"]) & docs["lang"].eqNullSafe(few["__lang"])
+                     & docs["source"].eqNullSafe(few["__source"]) & (F.xxhash64(docs["text"]) == few["__hash"]), "left_anti")
 
 
 SQL = rf"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, jaccard, language_model, licences, main_text, packing, quality, secrets, sharding
+from . import archives, decontamination, jaccard, language_model, licences, main_text, packing, quality, secrets, sharding
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_consensus_main_text": _over(main_text.main_text, "pages"),
         "op2_count_vector_jaccard": _over(jaccard.join, "documents"),
         "op3_packaged_archives": _over(archives.round_trip, "pages"),
+        "op4_simhash_decontamination": _over(decontamination.hits, "documents", "benchmark"),
         "op5_extendible_hashing": _over(sharding.assign, "documents"),
         "op6_licence_rules": _over(licences.scan, "documents"),
         "op7_best_fit_packing": _over(packing.pack, "documents"),
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_packaged_archives": archives.SQL, "op5_extendible_hashing": sharding.SQL, "op6_licence_rules": licences.SQL, "op8_adaptive_quality": quality.SQL}
+    return {"op4_simhash_decontamination": decontamination.SQL, "op3_packaged_archives": archives.SQL, "op5_extendible_hashing": sharding.SQL, "op6_licence_rules": licences.SQL, "op8_adaptive_quality": quality.SQL}
