@@ -136,7 +136,7 @@ def central_directory(source, size: int) -> tuple[int, int, int]:
     tail_at = max(0, size - 22 - 65535 - 20)
     tail = read_range(source, tail_at, size - tail_at)
     k = tail.rfind(END)
-    while k >= 0 and k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):  # the mark may occur in a comment
+    while k >= 0 and (k + 22 > len(tail) or k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail)):  # a comment may hold the mark
         k = tail.rfind(END, 0, k)
     if k < 0:
         raise ValueError("no end of a central directory")
