@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .aggregates import exact_quantiles
 
@@ -97,9 +97,11 @@ def kernel_density(df: DataFrame, x: str, y: str, grid: Grid, bandwidth: float |
 
     partial = points.mapInArrow(add, schema)
     keys = [group] if group else []
-    totals = partial.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    cells = partial.select(*keys, F.posexplode("__z").alias("__p", "__v")).groupBy(*keys, "__p").agg(F.sum("__v").alias("__v"))
-    cells = cells.join(totals, group) if group else cells.withColumn("__total", totals.scalar())
+    # the number of points travels as one more cell, so that the kernels are evaluated once and a null group keeps its own
+    every = F.concat("__z", F.array(F.col("__n").cast("double")))
+    cells = partial.select(*keys, F.posexplode(every).alias("__p", "__v")).groupBy(*keys, "__p").agg(F.sum("__v").alias("__v"))
+    last, own = F.col("__p") == grid.nx * ny, Window.partitionBy(*(keys or [F.lit(0)]))  # a grid has a fixed number of cells
+    cells = cells.withColumn("__total", F.max(F.when(last, F.col("__v"))).over(own)).where(~last)
     ix, iy = F.expr(f"int(__p div {ny})"), F.expr(f"int(__p % {ny})")
     return cells.select(
         *keys, ix.alias("ix"), iy.alias("iy"),

@@ -4,29 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def tween(df: DataFrame, cell: Sequence[str], step: str, values: Sequence[str], nframes: int = 20) -> DataFrame:
-    """Linear interpolation between consecutive integer steps of each cell.
+    """Linear interpolation between the states of each cell at integer steps.
 
-    Frame k of a step (0 to nframes-1) holds a + (b - a) * k / nframes; the last step closes the series with one
-    frame. The step is interpolated as well. A cell meets its next state by an equi-join on (cell, step).
-    Columns: cell, frame, step (as a number), values.
+    A state is joined to the next one that its cell has, over the true distance: frame k after it (0 up to nframes times
+    the distance) holds a + (b - a) * k / (nframes * distance). The last step of the table closes the series with one
+    frame. The step is interpolated as well. Columns: cell, frame, step (as a number), values.
     """
     cell = list(cell)
     span = df.agg(F.struct(F.min(step).alias("lo"), F.max(step).alias("hi")).alias("s")).scalar()
-    following = df.select(*cell, (F.col(step) - 1).alias(step), *[F.col(v).alias(f"__b_{v}") for v in values])
-    pairs = df.withColumn("__last", F.col(step) == span["hi"]).withColumn("__lo", span["lo"])
-    pairs = pairs.join(following, [*cell, step], "left")
-    has_next = F.col(f"__b_{values[0]}").isNotNull()
-    frames = pairs.where(has_next | F.col("__last")).withColumn(
-        "__k", F.explode(F.when(F.col("__last"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(nframes - 1)))))
-    part = F.col("__k") / nframes
+    order = Window.partitionBy(*cell).orderBy(step)
+    pairs = df.withColumns({"__last": F.col(step) == span["hi"], "__lo": span["lo"], "__next": F.lead(step).over(order),
+                            **{f"__b_{v}": F.lead(v).over(order) for v in values}})
+    distance = F.col("__next") - F.col(step)
+    frames = pairs.where(F.col("__next").isNotNull() | F.col("__last")).withColumn("__k", F.explode(
+        F.when(F.col("__last"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (distance * nframes - 1).cast("int")))))
     blend = lambda v: F.when(F.col("__last"), F.col(v)).otherwise(
-        F.col(v) + (F.col(f"__b_{v}") - F.col(v)) * part)
+        F.col(v) + (F.col(f"__b_{v}") - F.col(v)) * (F.col("__k") / (nframes * distance)))
     return frames.select(*cell, ((F.col(step) - F.col("__lo")) * nframes + F.col("__k")).cast("int").alias("frame"),
-                         (F.col(step) + part).alias(step), *[blend(v).alias(v) for v in values])
+                         (F.col(step) + F.col("__k") / nframes).alias(step), *[blend(v).alias(v) for v in values])
 
 
 def schedule(df: DataFrame, round_col: str, frames: Column, name: str = "frame") -> DataFrame:

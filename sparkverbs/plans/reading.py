@@ -24,6 +24,21 @@ def read_csv_roundtrip(t):
     return read_csv(t.spark, path, rows.schema)
 
 
+@query("read_csv_text", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def read_csv_text(t):
+    """Text with quotes, separators and line breaks survives the round trip."""
+    path = scratch_path(t.spark, "read-csv-text")
+    write_csv(t.documents, path)
+    return read_csv(t.spark, path, t.documents.schema)
+
+
+@query("read_csv_inferred", "SELECT p_name, p_size, p_retailprice, p_partkey::int AS p_partkey FROM part")
+def read_csv_inferred(t):
+    path = scratch_path(t.spark, "read-csv-inferred")
+    write_csv(t.part.select("p_name", "p_size", "p_retailprice", "p_partkey"), path)
+    return read_csv(t.spark, path)
+
+
 @query("read_csv_headerless", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer")
 def read_csv_headerless(t):
     path = scratch_path(t.spark, "csv")

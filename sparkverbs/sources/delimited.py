@@ -10,13 +10,16 @@ from ..functions.nulls import ColumnOrName, as_col
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, header: bool = True, sep: str = ",",
-             column_names: list[str] | None = None) -> DataFrame:
+             column_names: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """Read a delimited file; ``NA`` and empty text are missing.
 
+    Quoted text may hold line breaks, so a file is one unit of work, as many files as the writer had partitions. Where no
+    value has a line break, ``multi_line=False`` lets Spark split large files.
+
     Give a schema: without one Spark reads the file twice to infer types, which is for small files only.
     ``column_names`` names (or renames) the columns, for files without a header row. A blank header becomes ``X<position>``.
     """
-    reader = spark.read.options(header=header, sep=sep, nullValue="NA", quote='"', escape='"', multiLine=False)
+    reader = spark.read.options(header=header, sep=sep, nullValue="NA", quote='"', escape='"', multiLine=multi_line)
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     if column_names:
         df = df.toDF(*column_names)
@@ -49,5 +52,6 @@ def typed(df: DataFrame, types: dict[str, str], formats: dict[str, str] | None =
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",") -> None:
-    """Write delimited text with ``NA`` for missing values, as one file per partition."""
-    df.write.options(header=header, sep=sep, nullValue="NA", emptyValue="", quote='"', escape='"').csv(path)
+    """Write delimited text with ``NA`` for missing values, as one file per partition. White space at the ends of a value stays."""
+    df.write.options(header=header, sep=sep, nullValue="NA", emptyValue="", quote='"', escape='"',
+                     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

@@ -349,3 +349,44 @@ def test_no_items_give_no_pairs(spark):
     df = spark.createDataFrame([("x", "p", 1.0)], "i string, f string, v double")
     assert cooccurrence.pairwise_phi(df, "i", "f", []).count() == 0
     assert cooccurrence.pairwise_distance(df.where("v > 5"), "i", "f", "v").count() == 0
+
+
+def test_tween_spans_gaps_in_the_steps(frame):
+    from sparkverbs.operators.frames import tween
+
+    df = frame([("a", 1, 0.0), ("a", 2, 1.0), ("a", 4, 5.0), ("a", 5, 5.0)], "c string, s int, v double")
+    got = sorted(tuple(r) for r in tween(df, ["c"], "s", ["v"], 2).collect())
+    assert [(r[1], r[2], r[3]) for r in got] == [(0, 1.0, 0.0), (1, 1.5, 0.5), (2, 2.0, 1.0), (3, 2.5, 2.0), (4, 3.0, 3.0), (5, 3.5, 4.0),
+                                                 (6, 4.0, 5.0), (7, 4.5, 5.0), (8, 5.0, 5.0)]
+
+
+def test_density_keeps_the_null_group_and_runs_the_kernel_once(frame):
+    from sparkverbs.operators.density import Grid, kernel_density
+
+    df = frame([(None, 0.0, 0.0), (None, 1.0, 1.0), ("a", 0.0, 0.0)], "g string, x double, y double")
+    out = kernel_density(df, "x", "y", Grid(0, 1, 3, 0, 1, 3), 1.0, "g")
+    assert out.where("g is null").count() == 9 and out.count() == 18
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_csv_keeps_line_breaks_and_blanks(frame, tmp_path):
+    from sparkverbs.sources.delimited import read_csv, write_csv
+
+    rows = [(1, 'two\nlines, "quoted"\r\nend'), (2, "  blanks  "), (3, "back\\slash\\n"), (4, None)]
+    write_csv(frame(rows, "i int, t string"), f"{tmp_path}/out")
+    back = read_csv(frame(rows, "i int, t string").sparkSession, f"{tmp_path}/out", "i int, t string")
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_functions_reach_executors_from_another_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {repo!r})\n"
+            "from sparkverbs.session import local_session, ship\nfrom sparkverbs.plans import all_queries\n"
+            "spark = local_session(2); ship(spark)\n"
+            "print('rows', all_queries()['udf_aggregate'](spark, '/root/testdata/sf0.001').count())\nspark.stop()")
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
