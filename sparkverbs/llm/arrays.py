@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at once, so that memory doesn't follow the batch size.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True

@@ -39,8 +39,10 @@ from .common import stored
 from .components import components
 
 K, SIMILARITY = 4, Fraction(85, 100)
-#: Coordinates of a point, shingles that make a group worth a leaf, and the growth of size bands.
-GROUPS, HEAVY, GROWTH = 32, 3, 1.6
+#: Coordinates of a point in a tree, shingles that make a group worth a leaf, and the growth of size bands.
+GROUPS, HEAVY, GROWTH = 64, 3, 1.6
+#: Shingles for each coordinate of a stored point, at most (but GROUPS coordinates at least).
+DENSITY = 4
 #: Points in a node of the tree.
 FANOUT = 32
 #: Rows up to which the ids of linked documents are sent to every executor; beyond, they are joined by shuffling.
@@ -91,7 +93,10 @@ def node_of(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Group counts; a larger set has more groups, in powers of two, so that its bound is as sharp. Groups are the leading
+    bits of the hashes: adjacent ones add up to those of the next smaller number of groups."""
+    bits = max(6, int(np.ceil(np.log2(max(len(s), 1) / DENSITY))))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int16)
 
 
 def bands(largest: int, similarity: Fraction) -> list[tuple[int, int, int, int]]:
@@ -165,20 +170,22 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(leaves[keep]), pa.array(heads[keep]), pa.array(nodes[keep])], names=["leaf", "head", "node"])
 
 
-def sets_of(docs: DataFrame, members: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(node, size, point, shingles) of the documents in ``members`` (id, node)."""
+def sets_of(docs: DataFrame, pairs: DataFrame, rows: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(node, shingles) of the nodes in ``pairs``, from one document of each; ``rows`` tells the nodes of ids."""
 
     def run(batches):
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                rows = [(node_of(s), len(s), point(s), s.view(np.int64)) for s in shingle_sets(texts, k) if len(s)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["node", "size", "point", "shingles"])
+                found = [(node_of(s), s.view(np.int64)) for s in shingle_sets(texts, k) if len(s)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["node", "shingles"])
 
-    few = members.select("id").distinct()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = stored(rows.select("node", "id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "members")
+    few = members.select(F.col("id").alias("__id")).distinct()
     few = F.broadcast(few) if few.count() <= SMALL else few
-    rows = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(few, "id", "left_semi").select("text")
-    found = rows.mapInArrow(run, "node bigint, size bigint, point array<int>, shingles array<bigint>")
+    texts = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(few, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    found = texts.select("text").mapInArrow(run, "node bigint, shingles array<bigint>")
     return found.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -187,18 +194,29 @@ def _enough(common: Column, a: Column, b: Column, similarity: Fraction) -> Colum
     return (p + q) * common.cast("long") >= p * (a + b)
 
 
+def folded(name: str, groups: Column) -> Column:
+    """A point with ``groups`` coordinates; the sizes of sets that may link are so close that it has as many or twice as many."""
+    return F.when(F.size(name) == groups, F.col(name).cast("array<int>")).otherwise(F.transform(
+        F.sequence(F.lit(0), groups - 1), lambda i: F.get(name, 2 * i).cast("int") + F.get(name, 2 * i + 1).cast("int")))
+
+
+def bounded(pairs: DataFrame, points: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sum of coordinate minima lets them link."""
+    a, b = (points.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "point")]) for x in "ab")
+    p, q = similarity.numerator, similarity.denominator
+    both = pairs.join(a, F.col("a") == F.col("node_a")).join(
+        b, (F.col("b") == F.col("node_b")) & (p * F.col("size_a") <= q * F.col("size_b")) & (p * F.col("size_b") <= q * F.col("size_a")))
+    finest = F.least(F.size("point_a"), F.size("point_b"))
+    bound = F.aggregate(F.zip_with(folded("point_a", finest), folded("point_b", finest), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return both.where(_enough(bound, F.col("size_a"), F.col("size_b"), similarity)).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes that link: the bound on points first, then the whole sets."""
-    points = sets.select("node", "size", "point")
-    a, b = (points.select(*[F.col(c).alias(f"{c}_{x}") for c in points.columns]) for x in "ab")
-    bounded = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
-    bound = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    bounded = bounded.where(_enough(bound, F.col("size_a"), F.col("size_b"), similarity)).select("a", "b", "size_a", "size_b")
-    whole = sets.select("node", "shingles")
-    out = bounded.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
-        whole.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return out.where(_enough(common, F.col("size_a"), F.col("size_b"), similarity)).select("a", "b")
+    """The pairs (a, b) whose whole sets link."""
+    out = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
+    common, a, b = F.size(F.array_intersect("s_a", "s_b")), F.size("s_a").cast("long"), F.size("s_b").cast("long")
+    return out.where(_enough(common, a, b, similarity)).select("a", "b")
 
 
 # ------------------------------------------------------------------ the tree in a leaf
@@ -249,6 +267,27 @@ class Tree:
             stack.append((level - 1, a[keep], b[keep]))
 
 
+def fold(p: np.ndarray, groups: int) -> np.ndarray:
+    return p.reshape(groups, -1).sum(1, dtype=np.int32)
+
+
+def within(points: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Which of the pairs (i, j) keep within the bound on their points in full."""
+    p, q = similarity.numerator, similarity.denominator
+    width = np.minimum([len(points[x]) for x in i], [len(points[x]) for x in j])
+    keep = width <= GROUPS  # the tree has tried these in full
+    for w in np.unique(width[~keep]).tolist():
+        at = np.flatnonzero(width == w)
+        used = np.unique(np.concatenate((i[at], j[at])))
+        table = np.stack([fold(points[x], w) for x in used])
+        for k in range(0, len(at), 1024):
+            some = at[k:k + 1024]
+            a, b = np.searchsorted(used, i[some]), np.searchsorted(used, j[some])
+            bound = np.minimum(table[a], table[b]).sum(1, dtype=np.int64)
+            keep[some] = (p + q) * bound >= p * (sizes[i[some]] + sizes[j[some]])
+    return keep
+
+
 def leaf_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
     """(a, b) that the trees of the leaves leave, from (leaf, node, size, point, component).
 
@@ -260,14 +299,18 @@ def leaf_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
         leaf, held = None, []
 
         def flush():
-            node, size, points, part = (np.concatenate(c) for c in zip(*held))
-            for i, j in Tree(size, points, part).pairs(similarity):
+            node, size, part, points = (sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*held))
+            coarse = np.stack([fold(x, GROUPS) for x in points])
+            for i, j in Tree(size, coarse, part).pairs(similarity):
+                keep = within(points, size, i, j, similarity)
+                i, j = i[keep], j[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
         for b in batches:
             leaves = b.column("leaf").to_numpy(zero_copy_only=False)
             values = b.column("point")
-            points = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, GROUPS)
+            cuts = np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+            points = np.split(values.flatten().to_numpy(zero_copy_only=False), cuts) if len(leaves) else []
             node, size, part = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "component"))
             edges = [0, *(np.flatnonzero(leaves[1:] != leaves[:-1]) + 1).tolist(), len(leaves)]
             for x, y in pairwise(edges):
@@ -276,7 +319,7 @@ def leaf_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
                         yield from flush()
                         held = []
                     leaf = leaves[x]
-                    held.append((node[x:y], size[x:y], points[x:y], part[x:y]))
+                    held.append((node[x:y], size[x:y], part[x:y], points[x:y]))
         if held:
             yield from flush()
 
@@ -287,34 +330,40 @@ def leaf_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
 # ------------------------------------------------------------------ the join
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """(key, n_shingles, component_id, node) of every row of ``docs``; node is the fingerprint of the row's set, null if empty."""
+    """(key, n_shingles, component_id, node, component) of every row of ``docs``: node is the fingerprint of the row's set, and
+    component the smallest node that links reach from it; both null for an empty set."""
     kind = docs.schema[key].dataType.simpleString()
 
     def measure(batches):
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
-                got = [(len(s), node_of(s) if len(s) else None) for s in shingle_sets(texts, k)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in zip(*got))], names=["id", "n_shingles", "node"])
+            for part, texts in slices(batch, "text"):
+                got = [(len(s), node_of(s), point(s)) if len(s) else (0, None, None) for s in shingle_sets(texts, k)]
+                kinds = pa.int64(), pa.int64(), pa.list_(pa.int16())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*got), kinds))],
+                                                 names=["id", "n_shingles", "node", "point"])
 
     rows = stored(docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(
-        measure, f"id {kind}, n_shingles bigint, node bigint"), "nodes")
+        measure, f"id {kind}, n_shingles bigint, node bigint, point array<smallint>"), "nodes")
     leaves = stored(routed(docs, k, similarity, text).repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(
         _stars, "leaf bigint, head bigint, node bigint"), "leaves")
     pairs = stored(leaves.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = stored(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "members")
-    sets = stored(sets_of(docs, one, k, key, text), "sets")
-    edges = stored(verified(pairs, sets, similarity), "links")
+    points = stored(rows.select("node", F.col("n_shingles").alias("size"), "point").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "points")
+    near = stored(bounded(pairs, points, similarity), "near")
+    edges = stored(verified(near, stored(sets_of(docs, near, rows, k, key, text), "sets"), similarity), "links")
     found = stored(components(edges, "a", "b"), "labels")
 
     every = leaves.select("leaf", "node").unionByName(leaves.select("leaf", F.col("head").alias("node")).distinct())
     labelled = every.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("lo <> hi and n > 2").select("leaf")  # of two, the star has tried the only pair
-    open_rows = labelled.join(mixed, "leaf", "left_semi").join(sets.select("node", "size", "point"), "node")
+    mixed = labelled.groupBy("leaf").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    mixed = mixed.where("lo <> hi and n > 2")  # of two, the star has tried the only pair
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf")  # one of the leaves with equal members
+    open_rows = labelled.join(mixed, "leaf", "left_semi").join(points, "node")
     more = stored(leaf_pairs(open_rows, similarity).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
-    late = stored(verified(more, sets, similarity), "late-links")
-    if not late.isEmpty():
+    if not more.isEmpty():
+        late = stored(verified(more, stored(sets_of(docs, more, rows, k, key, text), "late-sets"), similarity), "late-links")
         found = stored(components(edges.unionByName(late), "a", "b"), "labels")
 
     found = found.withColumnRenamed("node", "__node")
@@ -324,4 +373,39 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s
     least = placed.where("component is not null").groupBy("component").agg(
         F.min("id").alias("component_id"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("component").alias("__c"), "component_id")
     return placed.join(least, F.col("component") == F.col("__c"), "left").select(
-        F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "node")
+        F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "node", "component")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: Fraction = Fraction(80, 100)) -> DataFrame:
+    """One row of each component, that with the smallest id; all columns stay. Rows with empty sets all stay.
+
+    Rows that share an id are told apart by their sets; of rows that share both, one stays. Only the rows that go, and those
+    of repeated ids, are looked up, so texts aren't shuffled for the others while there are few of these.
+    """
+    rows = stored(join(docs, key, text, k, similarity).select(F.col(key).alias("id"), "component_id", "node", "component"), "joined")
+    stays = rows.where(F.col("id").eqNullSafe(F.col("component_id")) & F.col("node").isNotNull())
+    stays = stays.groupBy("component").agg(F.min_by("id", "node").alias("__id"), F.min("node").alias("__node")).select("__id", "__node")
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"))
+    goes = rows.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"))
+    out = stored(goes.unionByName(twice).distinct(), "leaving")
+    few = F.broadcast(out) if out.count() <= SMALL else out
+    single = docs.join(few, docs[key].eqNullSafe(F.col("__id")), "left_anti")
+    twice = stored(twice, "repeated")
+    if twice.isEmpty():
+        return single
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    place = docs.columns.index(text)
+
+    def add_node(batches):
+        for batch in batches:
+            for part, texts in slices(batch, names[place]):
+                nodes = [node_of(s) if len(s) else None for s in shingle_sets(texts, k)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.int64())], names=[*names, "__node"])
+
+    same = docs.join(twice, docs[key].eqNullSafe(F.col("__id")), "left_semi").toDF(*names)
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    same = stored(same.mapInArrow(add_node, kinds + ", __node bigint"), "same-id")
+    id_name = names[docs.columns.index(key)]
+    stays = stays.withColumnsRenamed({"__id": "__s", "__node": "__n"})
+    kept = same.join(stays, same[id_name].eqNullSafe(stays["__s"]) & (same["__node"] == stays["__n"]), "left_semi").dropDuplicates([id_name, "__node"])
+    return single.unionByName(kept.unionByName(same.where("__node is null")).drop("__node").toDF(*docs.columns))
