@@ -110,30 +110,39 @@ def pairwise_distance(t):
 
 
 WORDS_SQL = f"""
-WITH w AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD_SQL}', 1)) AS word FROM documents)),
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD_SQL}', 1)) AS word FROM documents),
 """
-PHI_SQL = WORDS_SQL + """
-top AS (SELECT word FROM w WHERE length(word) > 3 GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 60),
-k AS (SELECT doc_id, word FROM w WHERE word IN (SELECT word FROM top)),
+
+
+def phi_sql(n: int) -> str:
+    """Vocabulary of the ``n`` words with most tokens; who meets whom in how many documents."""
+    return WORDS_SQL + f"""
+top AS (SELECT word, count(*) AS tokens FROM w GROUP BY 1 ORDER BY 2 DESC, word LIMIT {n}),
+k AS (SELECT DISTINCT doc_id, word FROM w WHERE word IN (SELECT word FROM top)),
 c AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM k),
 i AS (SELECT word, count(*)::DOUBLE AS n FROM k GROUP BY 1),
 p AS (SELECT a.word AS item1, b.word AS item2, count(*) AS n_both FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.word <> b.word GROUP BY ALL)
 """
 
 
-def word_sets(t):
-    """Distinct words per document."""
-    return t.documents.select("doc_id", "n_chars", F.explode(F.array_distinct(words("text"))).alias("word"))
+# Vocabulary sizes of the word studies.
+FEW_WORDS, MANY_WORDS = 120, 150
+
 
+def word_counts(t):
+    """Words of each document with the number of their tokens, from one pass over the texts."""
+    found = t.documents.select("doc_id", "n_chars", F.explode(words("text")).alias("word"))
+    return materialise(found.groupBy("doc_id", "n_chars", "word").agg(F.count(F.lit(1)).alias("tokens")))
 
-@query("pairwise_phi", PHI_SQL + """
+
+@query("pairwise_phi", phi_sql(FEW_WORDS) + """
 SELECT x.item1, x.item2, coalesce(n_both, 0) AS n_both,
   round((c.n * coalesce(n_both, 0) - a.n * b.n) / nullif(sqrt(a.n * (c.n - a.n) * b.n * (c.n - b.n)), 0), 6) AS correlation
 FROM (SELECT a.word AS item1, b.word AS item2 FROM i a JOIN i b ON a.word <> b.word) x LEFT JOIN p ON x.item1 = p.item1 AND x.item2 = p.item2
 JOIN i a ON a.word = x.item1 JOIN i b ON b.word = x.item2, c""")
 def pairwise_phi(t):
-    found = word_sets(t)
-    top = [r["word"] for r in top_counts(found.where(F.char_length("word") > 3), 60, "word").collect()]
+    found = word_counts(t)
+    top = [r["word"] for r in top_counts(found, FEW_WORDS, "word", weight="tokens").collect()]
     out = cooccurrence.pairwise_phi(found, "word", "doc_id", top)
     return out.withColumn("correlation", F.round("correlation", 6))
 
@@ -179,11 +188,17 @@ top AS (SELECT word FROM w GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 120)
 SELECT word, count(*) AS n, round(avg(n_chars), 4) AS mean_chars, round(avg(quality), 6) AS mean_quality
 FROM w JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id) WHERE word IN (SELECT word FROM top) GROUP BY 1""")
 def word_averages(t):
-    found = word_sets(t)
-    kept = rows_in(found, "word", top_counts(found, 120, "word"))
-    joined = kept.join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return joined.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"),
-                                      F.round(F.avg("quality"), 6).alias("mean_quality"))
+    found = word_counts(t)
+    return token_averages(t, rows_in(found, "word", top_counts(found, FEW_WORDS, "word", weight="tokens")))
+
+
+def token_averages(t, counts):
+    """Tokens of each word, and means over the tokens."""
+    joined = counts.join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    rated = F.sum(F.when(F.col("quality").isNotNull(), F.col("tokens")))
+    return joined.groupBy("word").agg(
+        F.sum("tokens").alias("n"), F.round(F.sum(F.col("n_chars") * F.col("tokens")) / F.sum("tokens"), 4).alias("mean_chars"),
+        F.round(F.try_divide(F.sum(F.col("quality") * F.col("tokens")), rated), 6).alias("mean_quality"))
 
 
 # --- graphs ---------------------------------------------------------------------------------------
@@ -214,15 +229,14 @@ def hierarchy_vertices(t):
     return _supplier_tree(t)[1].select("name", "total", "level")
 
 
-@query("graph_tables", PHI_SQL + """,
+@query("graph_tables", phi_sql(MANY_WORDS) + """,
 e AS (SELECT p.item1 AS "from", p.item2 AS "to", (c.n * n_both - a.n * b.n) / nullif(sqrt(a.n * (c.n - a.n) * b.n * (c.n - b.n)), 0) AS w
       FROM p JOIN i a ON a.word = p.item1 JOIN i b ON b.word = p.item2, c)
 SELECT "from", "to", CASE WHEN w > 0 AND w <= 0.065 THEN 'weak' WHEN w > 0.065 AND w <= 0.13 THEN 'middle' WHEN w > 0.13 AND w <= 1 THEN 'strong' END AS strength,
-       i.n::BIGINT AS from_n FROM e JOIN i ON i.word = e."from" WHERE w > 0""")
+       top.tokens::BIGINT AS from_n FROM e JOIN top ON top.word = e."from" WHERE w > 0""")
 def graph_tables(t):
-    found = word_sets(t)
-    top = top_counts(found.where(F.char_length("word") > 3), 60, "word")
-    top = top.collect()
+    found = word_counts(t)
+    top = top_counts(found, MANY_WORDS, "word", weight="tokens").collect()  # a top-k
     phi = cooccurrence.pairwise_phi(found, "word", "doc_id", [r["word"] for r in top]).where("correlation > 0")
     edges = phi.select(F.col("item1").alias("from"), F.col("item2").alias("to"), F.when(F.col("correlation") <= 0.065, "weak").when(
         F.col("correlation") <= 0.13, "middle").otherwise("strong").alias("strength"))

@@ -116,9 +116,10 @@ def typed_accessor(t):
                            safe_cast("event_type", "double").alias("not_a_number"))
 
 
-@query("random_column")
+@query("random_column", """
+SELECT c_custkey, ('0x' || substr(md5('1|' || c_custkey), 1, 12))::BIGINT::DOUBLE / 281474976710656 AS random FROM customer""")
 def random_column(t):
-    return with_random(t.customer.select("c_custkey"))
+    return with_random(t.customer.select("c_custkey"), ["c_custkey"])
 
 
 @query("row_count", "SELECT count(*) AS n_rows, 11::INT AS n_cols FROM lineitem")

@@ -13,19 +13,22 @@ from ...operators.reshape import split_rows, tokens
 from ...operators.windows import first_rows, scale_max
 from ...session import materialise
 from ...sources.sequences import literal_table
-from ..analysis import STOP_WORDS, TYPES, word_sets
+from ..analysis import STOP_WORDS, TYPES, token_averages, word_counts
 from ..grouping import HLS_SQL, part_colours
 from ..registry import query
 from ..reshaping import WORD_SQL
 
 WINE_SQL = """
-WITH w AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{w}', 1)) AS word FROM documents) WHERE {keep}),
+WITH w AS (SELECT * FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{w}', 1)) AS word FROM documents) WHERE {keep}),
 top AS (SELECT word FROM w GROUP BY 1 ORDER BY count(*) DESC, word LIMIT {n}),
-k AS (SELECT doc_id, word FROM w WHERE word IN (SELECT word FROM top)),
+k AS (SELECT DISTINCT doc_id, word FROM w WHERE word IN (SELECT word FROM top)),
 c AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM k),
-i AS (SELECT word, count(*)::DOUBLE AS n, avg(n_chars) AS chars, avg(quality) AS quality FROM k JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY 1),
+m AS (SELECT word, count(*) AS tokens, avg(n_chars) AS chars, avg(quality) AS quality FROM w JOIN documents USING (doc_id)
+      LEFT JOIN labels USING (doc_id) WHERE word IN (SELECT word FROM top) GROUP BY 1),
+i AS (SELECT word, count(*)::DOUBLE AS n, any_value(tokens) AS tokens, any_value(chars) AS chars, any_value(quality) AS quality
+      FROM k JOIN m USING (word) GROUP BY 1),
 p AS (SELECT a.word AS item1, b.word AS item2, count(*) AS n_both FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.word <> b.word GROUP BY ALL),
-f AS (SELECT item1 AS "from", item2 AS "to", (c.n * n_both - a.n * b.n) / nullif(sqrt(a.n * (c.n - a.n) * b.n * (c.n - b.n)), 0) AS cor, a.n AS n, a.chars AS chars, a.quality AS quality
+f AS (SELECT item1 AS "from", item2 AS "to", (c.n * n_both - a.n * b.n) / nullif(sqrt(a.n * (c.n - a.n) * b.n * (c.n - b.n)), 0) AS cor, a.tokens AS n, a.chars AS chars, a.quality AS quality
       FROM p JOIN i a ON a.word = item1 JOIN i b ON b.word = item2, c)
 SELECT "from", "to", round(cor, 6) AS correlation, {bins} AS strength, n::BIGINT AS n, round(chars, 4) AS mean_chars, round(quality, 6) AS mean_quality FROM f WHERE cor > {low}"""
 
@@ -36,13 +39,10 @@ WORDS_2, BINS_2 = 150, [0, 0.065, 0.13, 1]
 
 def _word_graph(t, words, n, breaks):
     """Edges between correlated words, with the word's averages."""
-    top = top_counts(words, n, "word")
-    listed = [r["word"] for r in top.collect()]  # a top-k
+    listed = [r["word"] for r in top_counts(words, n, "word", weight="tokens").collect()]  # a top-k
     words = materialise(words.where(F.col("word").isin(listed)))
     phi = cooccurrence.pairwise_phi(words.select("word", "doc_id"), "word", "doc_id", listed).where(F.col("correlation") > breaks[0])
-    quality = t.labels.select("doc_id", "quality")
-    averages = words.join(quality, "doc_id", "left").groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+    averages = token_averages(t, words)
     edges = phi.select(F.col("item1").alias("from"), F.col("item2").alias("to"), F.round("correlation", 6).alias("correlation"),
                        cut("correlation", breaks).alias("strength"))
     return edges.join(averages.withColumnRenamed("word", "from"), "from")
@@ -56,14 +56,14 @@ def _bins_sql(breaks):
                                            keep=f"word IN (SELECT unnest(regexp_extract_all(lower(text), '{WORD_SQL}', 1)) FROM benchmark)"))
 def study_wine_words(t):
     listed = tokens(t.benchmark.select("text"), "text").distinct()
-    return _word_graph(t, rows_in(word_sets(t), "word", listed), WORDS_1, BINS_1)
+    return _word_graph(t, rows_in(word_counts(t), "word", listed), WORDS_1, BINS_1)
 
 
 @query("study_wine_terms", WINE_SQL.format(w=WORD_SQL, n=WORDS_2, low=BINS_2[0], bins=_bins_sql(BINS_2),
                                            keep=f"word NOT IN ({', '.join(repr(w) for w in STOP_WORDS)}) AND NOT regexp_matches(word, '^\\d+$')"))
 def study_wine_terms(t):
     stops = F.broadcast(literal_table(t.spark, [(w,) for w in STOP_WORDS], "word string"))
-    words = rows_not_in(word_sets(t).where(~F.col("word").rlike(r"^\d+$")), "word", stops)
+    words = rows_not_in(word_counts(t).where(~F.col("word").rlike(r"^\d+$")), "word", stops)
     return _word_graph(t, words, WORDS_2, BINS_2)
 
 

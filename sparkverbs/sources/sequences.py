@@ -18,6 +18,7 @@ def sequence_between(df: DataFrame, first: Column, last: Column, name: str = "n"
     return span.select(F.explode(seq).alias(name))
 
 
-def with_random(df: DataFrame, name: str = "random", seed: int = 1) -> DataFrame:
-    """Uniform random number per row from a fixed seed; it depends on how the rows are partitioned."""
-    return df.withColumn(name, F.rand(seed))
+def with_random(df: DataFrame, keys: Sequence[str], name: str = "random", seed: int = 1) -> DataFrame:
+    """Uniform random number in [0, 1) per row, from the digest of its keys and the seed: the same however rows are spread."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys]))
+    return df.withColumn(name, F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48)))

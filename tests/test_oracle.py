@@ -31,7 +31,8 @@ def test_entry_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(set(entry.queries()) - set(entry.oracle_sql())) <= 4
+    assert set(QUERIES) <= set(entry.queries())
+    assert len(set(QUERIES) - set(SQL)) <= 3
 
 
 def test_entry_runs(spark):
