@@ -8,9 +8,9 @@ follows. Runs depend on the sequence length alone, never on the number of docume
 tables (the length histogram comes to the driver, at most ``size`` rows), and the documents themselves meet their runs in a
 distributed pass. The outcome is that of serial best-fit decreasing.
 
-Tokenising: text is cut between a character and the white space after it, where no token of the byte-level pattern can
-lie; equal stretches are tokenised once in a batch, and a bounded cache keeps them for later batches. A text with white
-space outside ASCII is tokenised as a whole. Special tokens in a text keep their ids, as the tokenizer does by itself.
+Tokenising: text is cut between a character and the white space after it, and between an ASCII letter and an ASCII mark
+after it, where no token of the byte-level pattern can lie; equal stretches are tokenised once in a batch, and a bounded cache keeps them for later batches. A text with white
+space outside ASCII, or with a special token (which keeps its id, as the tokenizer does by itself), is tokenised as a whole.
 
 Null or empty text is one piece that holds only the end token. Null and repeated ids and further columns are no matter:
 every row is packed by itself. An empty table gives no rows.
@@ -22,6 +22,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -37,7 +38,12 @@ from .common import stored
 SIZE = 2048
 END = 0
 #: Stretches of text that each half of a worker's cache holds.
-CACHED = 300_000
+CACHED = 100_000
+
+#: ASCII letters, and the visible ASCII characters that are neither letters nor digits.
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+for _c in range(33, 127):
+    LETTER[_c], MARK[_c] = chr(_c).isalpha(), not chr(_c).isalnum()
 
 ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -62,21 +68,20 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def _ids(self, stretches: list[str]) -> list[np.ndarray]:
-        found = [self.new.get(s) for s in stretches]
+    def _ids(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch, four bytes each."""
+        found = list(map(self.new.get, stretches))
         missing = []
-        for i, x in enumerate(found):
+        for i in [i for i, x in enumerate(found) if x is None]:
+            x = self.old.get(stretches[i])
             if x is None:
-                s = stretches[i]
-                x = self.old.get(s)
-                if x is None:
-                    missing.append(i)
-                else:
-                    found[i] = self.new[s] = x
+                missing.append(i)
+            else:
+                found[i] = self.new[stretches[i]] = x
         for k in range(0, len(missing), 4096):
             some = missing[k:k + 4096]
             for i, e in zip(some, self.tokenizer.encode_batch_fast([stretches[i] for i in some], add_special_tokens=False)):
-                found[i] = self.new[stretches[i]] = np.array(e.ids, np.uint32)
+                found[i] = self.new[stretches[i]] = array("I", e.ids).tobytes()
         if len(self.new) > CACHED:
             self.old, self.new = self.new, {}
         return found
@@ -86,7 +91,7 @@ class Encoder:
         data, at = raw(texts)
         blank = BLANK[data]
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = blank[1:] & ~blank[:-1]
+        cut[1:-1] = (blank[1:] & ~blank[:-1]) | (MARK[data[1:]] & LETTER[data[:-1]])
         whole = self._whole(texts, data, at)
         for i in whole:
             cut[at[i]:at[i + 1]] = False
@@ -96,8 +101,8 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = strings(data, np.diff(edges)).dictionary_encode()
         ids = self._ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat, where = np.concatenate(ids), np.concatenate(([0], np.cumsum(sizes)))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, where = np.frombuffer(b"".join(ids), np.uint32), np.concatenate(([0], np.cumsum(sizes)))
         code = coded.indices.to_numpy(zero_copy_only=False)
         n = sizes[code]
         upto = np.concatenate(([0], np.cumsum(n)))
@@ -113,8 +118,8 @@ class Encoder:
         rows = set(np.unique(np.searchsorted(at, lead, "right") - 1).tolist())
         odd = {i for i in rows if ODD_SPACE.search(texts[i].as_py())}
         for s in self.special:
-            if any(c.isspace() for c in s):
-                odd |= set(np.flatnonzero(np.array([s in t for t in texts.to_pylist()])).tolist())
+            if data.tobytes().find(s.encode()) >= 0:
+                odd |= {i for i, t in enumerate(texts.to_pylist()) if s in t}
         return sorted(odd)
 
 
