@@ -12,9 +12,10 @@ documents is at most the sum of the coordinate minima of their points.
    of a plain R-tree over this many coordinates excludes next to nothing at its upper levels.)
 2. *Stars.* In a leaf, every document is paired with the leaf's first one, streaming over sorted rows: the pairs are as many
    as the rows, however large a group of copies is. Pairs are bounded by summed minima, then verified on the whole sets.
-3. *R-tree in the leaf.* Leaves whose documents are not yet one component go on: points are packed by size and coordinates
-   into nodes with their upper corners, pairs of nodes are excluded by summed minima of the corners, by size, or if all of
-   both lies in one component, and what is left is bounded and verified like above.
+3. *R-trees.* Leaves whose documents are not yet one component go on. Those with the same smallest component make one tree,
+   so a pair that meets in many leaves is tried about once: points are packed by size and coordinates into nodes with their
+   upper corners, pairs of nodes are excluded by summed minima of the corners, by size, or if all of both lies in one
+   component, and what is left is bounded by the full points and verified like above.
 
 Equal sets are one node throughout. Sets are compared by 64-bit hashes of shingles, and told apart by a 64-bit fingerprint.
 
@@ -219,7 +220,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFra
     return out.where(_enough(common, a, b, similarity)).select("a", "b")
 
 
-# ------------------------------------------------------------------ the tree in a leaf
+# ------------------------------------------------------------------ the trees
 
 class Tree:
     """A packed R-tree over count vectors: sorted by size, then coordinates, and put into nodes of ``FANOUT``."""
@@ -288,15 +289,15 @@ def within(points: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.nda
     return keep
 
 
-def leaf_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b) that the trees of the leaves leave, from (leaf, node, size, point, component).
+def tree_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b) that the trees leave, from (root, node, size, point, component).
 
-    A leaf's points are held together, some hundred bytes each; its documents have been brought down to those that stars
-    did not make one component.
+    The points of a tree are held together, some hundred bytes each; they have been brought down to documents whose leaves
+    the stars did not make one component.
     """
 
     def run(batches):
-        leaf, held = None, []
+        root, held = None, []
 
         def flush():
             node, size, part, points = (sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*held))
@@ -307,23 +308,23 @@ def leaf_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
         for b in batches:
-            leaves = b.column("leaf").to_numpy(zero_copy_only=False)
+            roots = b.column("root").to_numpy(zero_copy_only=False)
             values = b.column("point")
             cuts = np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))[:-1]
-            points = np.split(values.flatten().to_numpy(zero_copy_only=False), cuts) if len(leaves) else []
+            points = np.split(values.flatten().to_numpy(zero_copy_only=False), cuts) if len(roots) else []
             node, size, part = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "component"))
-            edges = [0, *(np.flatnonzero(leaves[1:] != leaves[:-1]) + 1).tolist(), len(leaves)]
+            edges = [0, *(np.flatnonzero(roots[1:] != roots[:-1]) + 1).tolist(), len(roots)]
             for x, y in pairwise(edges):
                 if y > x:
-                    if held and leaves[x] != leaf:
+                    if held and roots[x] != root:
                         yield from flush()
                         held = []
-                    leaf = leaves[x]
+                    root = roots[x]
                     held.append((node[x:y], size[x:y], part[x:y], points[x:y]))
         if held:
             yield from flush()
 
-    return rows.repartition("leaf").sortWithinPartitions("leaf").select("leaf", "node", "size", "point", "component").mapInArrow(
+    return rows.repartition("root").sortWithinPartitions("root").select("root", "node", "size", "point", "component").mapInArrow(
         run, "a bigint, b bigint").distinct()
 
 
@@ -355,13 +356,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s
 
     every = leaves.select("leaf", "node").unionByName(leaves.select("leaf", F.col("head").alias("node")).distinct())
     labelled = every.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("leaf").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    mixed = mixed.where("lo <> hi and n > 2")  # of two, the star has tried the only pair
-    mixed = mixed.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf")  # one of the leaves with equal members
-    open_rows = labelled.join(mixed, "leaf", "left_semi").join(points, "node")
-    more = stored(leaf_pairs(open_rows, similarity).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
+    mixed = labelled.groupBy("leaf").agg(F.min("component").alias("root"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.where("root <> hi and n > 2").select("leaf", "root")  # of two, the star has tried the only pair
+    open_rows = labelled.join(mixed, "leaf").select("root", "node", "component").distinct().join(points, "node")
+    more = stored(tree_pairs(open_rows, similarity).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
     if not more.isEmpty():
         late = stored(verified(more, stored(sets_of(docs, more, rows, k, key, text), "late-sets"), similarity), "late-links")
         found = stored(components(edges.unionByName(late), "a", "b"), "labels")
