@@ -27,7 +27,7 @@ node; the component id is the smallest id of its rows, a null id counts only if
 from __future__ import annotations
 
 from fractions import Fraction
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -272,21 +272,34 @@ def fold(p: np.ndarray, groups: int) -> np.ndarray:
     return p.reshape(groups, -1).sum(1, dtype=np.int32)
 
 
-def within(points: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """Which of the pairs (i, j) keep within the bound on their points in full."""
-    p, q = similarity.numerator, similarity.denominator
-    width = np.minimum([len(points[x]) for x in i], [len(points[x]) for x in j])
-    keep = width <= GROUPS  # the tree has tried these in full
-    for w in np.unique(width[~keep]).tolist():
-        at = np.flatnonzero(width == w)
-        used = np.unique(np.concatenate((i[at], j[at])))
-        table = np.stack([fold(points[x], w) for x in used])
-        for k in range(0, len(at), 1024):
-            some = at[k:k + 1024]
-            a, b = np.searchsorted(used, i[some]), np.searchsorted(used, j[some])
-            bound = np.minimum(table[a], table[b]).sum(1, dtype=np.int64)
-            keep[some] = (p + q) * bound >= p * (sizes[i[some]] + sizes[j[some]])
-    return keep
+class Full:
+    """The points of a tree in full, folded to each number of coordinates once."""
+
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray):
+        self.points, self.sizes, self.tables = points, sizes, {}
+        self.widths = np.array([len(p) for p in points])
+
+    def _table(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in self.tables:
+            some = np.flatnonzero((self.widths >= width) & (self.widths <= 2 * width))
+            place = np.zeros(len(self.points), np.int64)
+            place[some] = np.arange(len(some))
+            self.tables[width] = place, np.stack([fold(self.points[x], width) for x in some])
+        return self.tables[width]
+
+    def within(self, i: np.ndarray, j: np.ndarray, similarity: Fraction) -> np.ndarray:
+        """Which of the pairs (i, j) keep within the bound on their points in full."""
+        p, q = similarity.numerator, similarity.denominator
+        width = np.minimum(self.widths[i], self.widths[j])
+        keep = width <= GROUPS  # the tree has tried these in full
+        for w in np.unique(width[~keep]).tolist():
+            place, table = self._table(w)
+            at = np.flatnonzero(width == w)
+            for k in range(0, len(at), 1024):
+                some = at[k:k + 1024]
+                bound = np.minimum(table[place[i[some]]], table[place[j[some]]]).sum(1, dtype=np.int64)
+                keep[some] = (p + q) * bound >= p * (self.sizes[i[some]] + self.sizes[j[some]])
+        return keep
 
 
 def tree_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
@@ -300,10 +313,11 @@ def tree_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
         root, held = None, []
 
         def flush():
-            node, size, part, points = (sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*held))
+            node, size, part, points = (list(chain(*c)) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*held))
             coarse = np.stack([fold(x, GROUPS) for x in points])
+            full = Full(points, size)
             for i, j in Tree(size, coarse, part).pairs(similarity):
-                keep = within(points, size, i, j, similarity)
+                keep = full.within(i, j, similarity)
                 i, j = i[keep], j[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
