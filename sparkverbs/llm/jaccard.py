@@ -46,6 +46,8 @@ GROUPS, HEAVY, GROWTH = 64, 3, 1.6
 DENSITY = 4
 #: Points in a node of the tree.
 FANOUT = 32
+#: Pairs of points that are bounded at once.
+AT_ONCE = 1 << 16
 #: Rows up to which the ids of linked documents are sent to every executor; beyond, they are joined by shuffling.
 SMALL = 1_000_000
 
@@ -244,8 +246,9 @@ class Tree:
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, i, j = stack.pop()
-            if len(i) > 65536:
-                stack += [(level, i[:65536], j[:65536]), (level, i[65536:], j[65536:])]
+            most = AT_ONCE // FANOUT ** 2 if level else AT_ONCE  # a pair of nodes opens into FANOUT ** 2 pairs
+            if len(i) > most:
+                stack += [(level, i[most:], j[most:]), (level, i[:most], j[:most])]
                 continue
             low, high, upper, part, one = self.levels[level]
             apart = ~(one[i] & one[j] & (part[i] == part[j]))
