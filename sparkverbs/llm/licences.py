@@ -1,10 +1,15 @@
 """Licence scan by sentence rules: sentences are normalised, known ones get an identifier, and ordered rules over the
 identifiers of a text name its licences.
 
-A sentence ends at a line break or at [.;:!?] before white space. Normalising lower-cases A-Z, turns every run of
-characters other than a-z and 0-9 into one space and drops copyright holders: any sentence that begins with ``copyright``
-becomes the identifier ``copyright``. Unknown sentences between two known ones don't matter; the order of the known ones
-does. Everything happens inside a row, so no text is shuffled and no group exists that could be large.
+A sentence ends at [.;:!?] before white space, at a line without letters and digits, and it may end at any other line break:
+licence texts are wrapped, often behind comment leaders, so a known sentence is found whole on one line and over several, but
+titles and notices on lines of their own are found too. Normalising lower-cases A-Z, turns every run of characters other than
+a-z and 0-9 into one space, which takes comment leaders out, and drops copyright holders: any line or sentence that begins with
+``copyright`` becomes the identifier ``copyright``, unless a known sentence runs over it. Unknown sentences between two known
+ones don't matter; the order of the known ones does. Everything happens inside a row, so no text is shuffled and no group
+exists that could be large.
+
+The SQL text knows sentences on one line, word for word; it agrees wherever texts hold no others.
 
 Null or empty text has no sentences and no licences; repeated rows give repeated results; other columns aren't read.
 """
@@ -81,20 +86,62 @@ RULES = {
 #: A licence that a longer rule of another one contains.
 WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
 
+#: Who or what a notice speaks of, how it names the licence, and what may follow. A space is any gap between two words.
+LEAD = ("(?:(?!copyright )(?:(?!not |never |cannot )[a-z0-9]+ ){0,8}?(?:is|are|was|be|been) (?:(?!not |never )[a-z]+ ){0,2}?)?"
+        "(?:licensed|released|distributed|available|provided|published|offered) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?"
+        "(?:the |a )?")
+TAIL = ("(?: the license)?(?: see (?:the )?(?:license|licence|copying)(?: file)?(?: txt| md)?(?: for (?:more |further )?(?:details|information))?)?")
+CC = "(?:creative commons attribution{0} 4 0(?: international)?(?: license)?(?: cc by{1} 4 0)?|cc by{1} 4 0(?: license)?)"
+#: Other wordings of the sentences above, as patterns over the normal form.
+VARIANTS = [
+    (LEAD + "(?:mit|expat) licen[sc]e(?: mit)?" + TAIL, "mit.notice"),
+    (LEAD + "apache (?:software )?licen[sc]e (?:version |v )?v?2(?: 0)?" + TAIL, "apache2.notice"),
+    (LEAD + "gnu general public license(?: gpl)? (?:version |v )?v?2(?: 0)?(?: only)?" + TAIL, "gpl2.notice"),
+    (LEAD + "gnu general public license(?: gpl)? (?:version |v )?v?3(?: 0)?(?: only)?" + TAIL, "gpl3.notice"),
+    (LEAD + CC.format("", "") + TAIL, "ccby4.notice"),
+    (LEAD + CC.format(" share ?alike", " sa") + TAIL, "ccbysa4.notice"),
+    (LEAD + CC.format(" non ?commercial", " nc") + TAIL, "ccbync4.notice"),
+    ("this source code form is subject to the terms of the mozilla public license v(?: [|])? 2 0", "mpl2.notice"),
+    ("the mit license mit", "mit.title"),
+    ("you may obtain a copy of the license at https? www apache org licenses license 2 0(?: html| txt)?", "apache2.copy"),
+    ("(?:[0-9]{1,2}|[a-d]) redistributions of source code must retain the above copyright notice this list of conditions and the following"
+     " disclaimer", "bsd.source"),
+    ("(?:[0-9]{1,2}|[a-d]) redistributions in binary form must reproduce the above copyright notice this list of conditions and the"
+     " following disclaimer in the documentation and or other materials provided with the distribution", "bsd.binary"),
+    ("(?:(?:[0-9]{1,2}|[a-d]) )?neither the names? of (?:[a-z0-9]+ ){1,30}?nor the names of (?:its|the|any|other) contributors may be used to"
+     " endorse or promote products derived from this software without specific prior written permission", "bsd.endorse"),
+    ("(?:(?:this|the) (?:[a-z0-9]+ ){1,4}?|[a-z0-9]+ )is free software", "gpl.free"),
+    ("permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that"
+     " the above copyright notice and this permission notice appear in all copies", "isc.grant"),
+]
+
 ENDS = r"[.;:!?]+[\x20\x09-\x0D]+|[\n\r]+"
+#: Marks of the normal form: ``|`` where a sentence ends, ``/`` where it may end.
+GAP = "(?: /)? "
+STEPS = [(r"\r\n?", "\n"), ("[|/]", " "), (r"(?m)^[^a-z0-9\n]*(?:dnl|rem|c)(?=[\x20\x09])", " "), (r"\n[^a-z0-9\n]*(?=\n)", "|"),
+         (r"[.;:!?]+[\x20\x09-\x0D]+", "|"), (r"\n", "/"), ("[^a-z0-9|/]+", " "), ("[ /]*[|][ /|]*", " | "), (" ?/[ /]*", " / ")]
 
 
 def _pattern(rule: list[str]) -> str:
     return "(^|,)" + "(,.*)?,".join(x.replace(".", "[.]") for x in rule) + "(,|$)"
 
 
+def _known() -> str:
+    """Pattern of all known sentences, each between two marks; the longest wording comes first."""
+    plain = sorted((x for x in SENTENCES if x != "copyright"), key=len, reverse=True)
+    every = "|".join(x.replace(" ", GAP) for x in [*plain, *(x for x, _ in VARIANTS)])
+    return f"(?<=[|/] )(?:(?:{every})(?= [|/])|copyright(?= ))"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    plain = F.transform(F.split(F.coalesce(text, F.lit("")), ENDS, -1),
-                        lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    named = F.transform(plain, lambda s: F.when(s.startswith("copyright "), "copyright").otherwise(s))
+    marked = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, to in STEPS:
+        marked = F.regexp_replace(marked, pattern, to)
+    found = F.regexp_extract_all(F.concat(F.lit("| "), F.trim(marked), F.lit(" |")), F.lit(_known()), F.lit(0))
     table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.transform(F.filter(named, lambda s: s.isin(list(SENTENCES))), lambda s: table[s])
+    return F.transform(F.transform(found, lambda s: F.replace(s, F.lit(" / "), F.lit(" "))), lambda s: F.coalesce(
+        table[s], *[F.when(s.rlike(f"^(?:{pattern})$"), F.lit(name)) for pattern, name in VARIANTS]))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -80,6 +80,90 @@ def test_licence_rules(docs):
                    4: (0, "", ""), 5: (2, "mit.notice,ccbync4.notice", "CC-BY-NC-4.0,MIT"), 9: (0, "", "")}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("leader, end", [("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), ("dnl ", "\n")])
+def test_wrapped_licence_texts(docs, leader, end):
+    texts = {"MIT": (MIT, "mit.title,copyright,mit.grant,mit.keep,mit.asis"), "BSD-2-Clause": (BSD, "copyright,bsd.grant,bsd.source,bsd.binary"),
+             "BSD-3-Clause": (BSD + ENDORSE, "copyright,bsd.grant,bsd.source,bsd.binary,bsd.endorse"),
+             "Apache-2.0": (APACHE, "apache2.notice,apache2.use,apache2.copy,apache2.asis,apache2.see"),
+             "GPL-2.0-or-later": (GPL % 2, "gpl.free,gpl2.later,gpl.hope"), "GPL-3.0-or-later": (GPL % 3, "gpl.free,gpl3.later,gpl.hope"),
+             "ISC": (ISC, "isc.grant"), "MPL-2.0": (MPL, "mpl2.notice")}
+    rows = [(i, end.join((leader + line).rstrip() for line in text.split("\n")), "en", "s") for i, (text, _) in enumerate(texts.values())]
+    got = {r.doc_id: (r.licences, r.sentence_ids) for r in licences.scan(docs(rows)).collect()}
+    assert got == {i: (name, ids) for i, (name, (_, ids)) in enumerate(texts.items())}
+
+
+def test_notices_with_other_words_around(docs):
+    texts = {"This file is licensed under the MIT License.": "MIT", "Code in this folder is made available under the terms of\nthe MIT license": "MIT",
+             "This project is not licensed under the MIT License.": "", "The rules of the MIT License are short.": "",
+             "// Copyright 2020 Someone\n// Released under the MIT License": "MIT", "Title\nLicensed under CC BY-NC 4.0\nmore words": "CC-BY-NC-4.0",
+             "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+             "The library is released under the GNU General Public License, version 3.": "GPL-3.0", "\n" * 50_000 + "x" + " / |" * 50_000: ""}
+    rows = [(i, text, "en", "s") for i, text in enumerate(texts)]
+    assert [r.licences for r in licences.scan(docs(rows)).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def brute_shards(rows, limit):
     import hashlib
 
