@@ -142,6 +142,43 @@ def test_hits_against_brute_force(docs, spark):
     assert got == brute_hits(rows, items)
 
 
+def best(text, item):
+    """The largest similarity of an item and a window of a text, over all windows, wherever they lie."""
+    from collections import Counter
+
+    d, w = text.lower().split(), item.lower().split()
+    k, size = min(5, len(w)), min(len(w), len(d))
+
+    def count(x):
+        return Counter(" ".join(x[i:i + k]) for i in range(len(x) - k + 1))
+
+    return max((Fraction((count(d[s:s + size]) & count(w)).total(), (count(d[s:s + size]) | count(w)).total()) for s in range(len(d) - size + 1)), default=0)
+
+
+def test_items_that_hang_over_an_end(docs, spark):
+    """Copies that lack words at the start or the end of a text, and texts shorter than the item, against all windows."""
+    rng = random.Random(8)
+    v = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(v, k=n))) for i, n in enumerate([15, 24, 40, 59])]
+    texts, filler = [], rng.choices(v, k=60)
+    for _, t in items:
+        w = t.split()
+        for cut in range(0, 15):
+            texts += [w[cut:] + filler, filler + w[:len(w) - cut], w[cut:], w[:len(w) - cut], w[cut // 2:len(w) - (cut - cut // 2)]]
+    rows = [(100 + i, " ".join(t), "en", "s") for i, t in enumerate(texts)] + [(None, "words before " + items[2][1], "en", "s"), (None, "words", "en", "s")]
+    got = {(r.doc_id, r.item_id) for r in decontamination.hits(docs(rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = {}
+    for doc, text, *_ in rows:
+        for i, t in items:
+            want[doc, i] = max(best(text, t), want.get((doc, i), 0))
+    assert got <= {x for x, s in want.items() if 100 * s >= 80}
+    assert {x for x, s in want.items() if 100 * s >= EDGE} <= got and (None, 2) in got
+
+
+#: The SimHash radius is sure enough to hold for similarities from here on.
+EDGE = 87
+
+
 def test_hits_against_sql(spark):
     tables = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     assert differences(decontamination.hits(*tables).toArrow(), connect(FOLDER).sql(decontamination.SQL).to_arrow_table()) == []
