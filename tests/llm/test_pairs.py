@@ -171,12 +171,22 @@ def test_items_that_hang_over_an_end(docs, spark):
     for doc, text, *_ in rows:
         for i, t in items:
             want[doc, i] = max(best(text, t), want.get((doc, i), 0))
-    assert got <= {x for x, s in want.items() if 100 * s >= 80}
-    assert {x for x, s in want.items() if 100 * s >= EDGE} <= got and (None, 2) in got
-
-
-#: The SimHash radius is sure enough to hold for similarities from here on.
-EDGE = 87
+    assert got == {x for x, s in want.items() if 100 * s >= 80} and (None, 2) in got
+
+
+def test_no_near_copy_is_lost_at_the_radius(docs, spark):
+    """Copies with so many words changed at an edge that they are just similar enough; some differ in more than RADIUS bits."""
+    rng = random.Random(9)
+    v = [f"w{i}" for i in range(50_000)]
+    items, rows = [], []
+    for i in range(300):
+        size, changed = rng.choice([(24, 2), (34, 3), (44, 4), (59, 6)])
+        w = rng.choices(v, k=size)
+        items.append((i, " ".join(w)))
+        new = rng.choices(v, k=changed)
+        rows.append((i, " ".join(["before", *(new + w[changed:] if i % 2 else w[:-changed] + new), "after"]), "en", "s"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.hits(docs(rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, i) for i, t, *_ in rows if 100 * best(t, items[i][1]) >= 80} and len(got) > 200
 
 
 def test_hits_against_sql(spark):
