@@ -42,9 +42,8 @@ def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and end byte of every word, and the number of words of each text."""
-    ink = ~BLANK[data]
+def ink_spans(ink: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of every run of marked bytes within a text, and the number of runs of each text."""
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
@@ -56,6 +55,11 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.diff(edges)
 
 
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of every word, and the number of words of each text."""
+    return ink_spans(~BLANK[data], at)
+
+
 def word_codes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Code of every word, the distinct words that the codes number, and the number of words of each text."""
     data, at = raw(texts)

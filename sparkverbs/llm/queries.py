@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontamination, jaccard, language_model, licences, main_text, packing, quality, secrets, sharding
+from . import archives, decontamination, jaccard, language_model, licences, main_text, negatives, packing, passages, quality, secrets, sharding, spelling
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,8 +25,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_adaptive_quality": _over(quality.quality_report, "documents"),
         "op9_masked_likelihood": _over(language_model.score, "documents"),
         "op10_secret_network": _over(secrets.scan, "documents"),
+        "op11_angular_negatives": _over(negatives.mine, "embeddings"),
+        "op12_spelling_variants": _over(spelling.variants, "documents"),
+        "op13_suffix_dedup": _over(passages.report, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_simhash_decontamination": decontamination.SQL, "op3_packaged_archives": archives.SQL, "op5_extendible_hashing": sharding.SQL, "op6_licence_rules": licences.SQL, "op8_adaptive_quality": quality.SQL}
+    return {
+        "op3_packaged_archives": archives.SQL,
+        "op4_simhash_decontamination": decontamination.SQL,
+        "op5_extendible_hashing": sharding.SQL,
+        "op6_licence_rules": licences.SQL,
+        "op8_adaptive_quality": quality.SQL,
+        "op11_angular_negatives": negatives.SQL,
+        "op13_suffix_dedup": passages.SQL,
+    }
