@@ -372,7 +372,7 @@ class Suffixes:
     def _verified(self, order, group, start):
         n = len(order)
         share = np.full(n, -1, np.int64)
-        wrong = np.zeros(0, np.int64)
+        wrong = group[np.bincount(order, minlength=n) != 1]  # ranks that contradict each other
         inner = np.flatnonzero(start != np.arange(n))
         if len(inner):
             x, y = order[inner - 1], order[inner]
@@ -383,10 +383,10 @@ class Suffixes:
             share[inner] = exact
             at = np.minimum(exact, self.letters.shape[1] - 1)
             sorted_ = np.where(exact == most, self.lengths[x] <= self.lengths[y], self.letters[x, at] < self.letters[y, at])
-            wrong = np.unique(group[y[~sorted_]])
-        for g in wrong.tolist():  # a collision of prefix hashes: by bytes
-            at = np.flatnonzero(group[order] == g)
-            mine = sorted(order[at].tolist(), key=lambda i: self.letters[i, :self.lengths[i]].tobytes())
+            wrong = np.concatenate((wrong, group[y[~sorted_]]))
+        for g in np.unique(wrong).tolist():  # a collision of prefix hashes: by bytes
+            at = np.flatnonzero(group == g)
+            mine = sorted(at.tolist(), key=lambda i: self.letters[i, :self.lengths[i]].tobytes())
             order[at] = mine
             for a, i, j in zip(at[1:], mine, mine[1:]):
                 most = int(min(self.lengths[i], self.lengths[j]))
@@ -537,15 +537,20 @@ def _narrowed(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | N
     return docs.join(F.broadcast(ids), on, "left_semi"), docs.join(F.broadcast(ids), on, "left_anti")
 
 
-def _listed(rows: DataFrame) -> DataFrame:
-    """Distinct ids in the column of packed ids."""
+def _listed(rows: DataFrame, n: int) -> DataFrame:
+    """Each id in the column of packed ids once; the rows of a place hold the ids of that place."""
 
-    def run(batches):
+    def fewer(batches):
         for batch in batches:
-            for packed in batch.column("ids").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(packed, "<i8")))], names=["id"])
+            packed = [np.unique(np.frombuffer(b, "<i8")).tobytes() for b in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(packed, pa.binary())], names=["place", "ids"])
+
+    def each(batches):
+        for _, held in _by_place(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.frombuffer(r["ids"], "<i8") for r in held])))], names=["id"])
 
-    return stored(rows.select("ids").mapInArrow(run, "id bigint").distinct(), "ids")
+    packed = rows.select("place", "ids").mapInArrow(fewer, "place int, ids binary").repartition(n, "place").sortWithinPartitions("place")
+    return stored(packed.mapInArrow(each, "id bigint"), "ids")
 
 
 def _beside(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -566,12 +571,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     marks = long.select("id", "text").mapInArrow(_marks(n), _MARKS).repartition(n, "place").sortWithinPartitions("place")
     wanted = stored(marks.mapInArrow(_answers(n), _WANTED), "wanted")
-    some, _ = _narrowed(long, _listed(wanted))
+    some, _ = _narrowed(long, _listed(wanted, n))
     contexts = _beside(some, wanted, n).select("place", "kind", "hashes", "ids", "id", "text").mapInArrow(_contexts(n), _CONTEXTS)
     contexts = contexts.repartition(n, "place").sortWithinPartitions("place")
     spans = stored(contexts.mapInArrow(_repeats(n), _PLACED), "repeats")
 
-    cut, whole = _narrowed(docs, _listed(spans))
+    cut, whole = _narrowed(docs, _listed(spans, n))
     schema = f"key {kind}, kept binary, n_bytes bigint, removed_from array<int>, removed_to array<int>"
     out = _beside(cut, spans, n).mapInArrow(_cut(kind), schema)
     if whole is not None:
