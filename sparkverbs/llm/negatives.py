@@ -9,7 +9,7 @@ room for a wanted score.
    stored in single precision, so limits are widened by ``SLACK`` and one whole score before they are compared.
 3. *Search.* Anchors are a stated query set (``vec_id`` divisible by 100). They travel in groups to every shelf, a set of
    blocks, as an equi-join on the shelf's number; pairs of groups and blocks whose bounds can't meet are left out of the join.
-   A task holds one group and one block at a time. First the positives are found, then the negatives: an anchor starts with
+   A task holds a few groups and one block at a time. First the positives are found, then the negatives: an anchor starts with
    the scores that its own block guarantees, and its limits rise as better rows are found.
 
 A vector's components become floor(256 * x). Rows with a null label, a null vector or a component that is null, NaN or infinite
@@ -38,8 +38,8 @@ from .common import stored
 
 #: Reference directions, and rows that they are fitted to.
 REFERENCES, SAMPLE, ROUNDS = 16, 4096, 6
-#: Rows of a block and of a window, anchors of a group, blocks of a shelf.
-BLOCK, WINDOW, GROUP, SHELF = 4096, 64, 1024, 64
+#: Rows of a block and of a window, anchors of a group, blocks of a shelf, groups that a task keeps open.
+BLOCK, WINDOW, GROUP, SHELF, OPEN = 4096, 64, 1024, 64, 16
 #: Positives of an anchor, negatives of a positive, and the rows of its own block whose scores an anchor remembers.
 POSITIVES, NEGATIVES, KNOWN = 5, 10, 256
 ANCHOR = 100
@@ -344,16 +344,16 @@ _FOUND = "row bigint, id bigint, place bigint, positive bigint, positive_score b
 
 def _searcher(most: int, same: bool):
     def run(batches):
-        number, held, search, seen, block = None, None, None, None, None
+        held: dict[int, Search] = {}  # whichever side of the join comes in order, a few groups are kept open
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                if search is None or r["group"] != number:
-                    if search is not None:
-                        yield search.out()
-                    number, search = r["group"], Search(r, most, same)
-                search.see(Block(r))
-        if search is not None:
+                if r["group"] not in held:
+                    if len(held) == OPEN:
+                        yield held.pop(next(iter(held))).out()
+                    held[r["group"]] = Search(r, most, same)
+                held[r["group"]].see(Block(r))
+        for search in held.values():
             yield search.out()
 
     return run
