@@ -1,8 +1,10 @@
-"""Item-by-item products over a shared feature: co-occurrence, correlation, distance.
+"""Products of items over shared features: co-occurrence, correlation, distance.
 
-The direct form joins a table to itself on the feature and emits every pair of items of every feature.
-Here each feature becomes one short vector over a bounded item list, tasks add up the item-by-item
-matrix of their own features with numpy, and only those small matrices are shuffled and summed.
+The direct form joins a table to itself on the feature and shuffles every pair of items of every feature. Here a feature is one
+row with its items, a task adds up the pairs of many features at once with numpy, and only sums are shuffled: one row for each pair
+that meets and each batch of features. Where a batch has few items for its pairs, their matrix is multiplied as a whole; otherwise
+its pairs are listed in tiles of bounded size and added up by sorting. The number of items is not bounded, and pairs that never
+meet cost nothing.
 """
 
 from __future__ import annotations
@@ -11,126 +13,152 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..session import materialise
-from .levels import list_levels
+from .joins import join_on, rows_in
 
-MAX_ITEMS = 2_000   # the item-by-item matrix of a task then takes at most 32 MB
-BATCH_CELLS = 4_000_000
+#: Items of a batch that are multiplied as one matrix at most, cells of that matrix at once, pairs of a tile.
+DENSE, CELLS, TILE = 1_024, 4_000_000, 1 << 20
+SUMS = ["n_both", "dot", "a_with_b", "b_with_a"]
 
 
-def _listed(df: DataFrame, item: str, items: list):
-    """The items as an array literal of the column's type, also if there are none."""
-    return F.array(*[F.lit(i) for i in items]).cast(f"array<{dict(df.dtypes)[item]}>")
+def feature_rows(df: DataFrame, item: str, feature: Sequence[str], value: str | None = None) -> DataFrame:
+    """One row per feature with its items (``__i``) and their summed values (``__v``, 1 without a value)."""
+    amount = F.lit(1.0) if value is None else F.coalesce(F.sum(value).cast("double"), F.lit(0.0))
+    one = df.where(F.col(item).isNotNull()).groupBy(*feature, item).agg(amount.alias("__v"))
+    rows = one.groupBy(*feature).agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col("__v").alias("v"))).alias("__e"))
+    return rows.select(*feature, F.col("__e.i").alias("__i"), F.col("__e.v").alias("__v"))
 
 
-def _cells(df, item, feature, value, keys, items, kind, presence) -> DataFrame:
-    """Summed matrices as rows (keys, __p, total); place ``width * width`` holds the number of features."""
-    if len(items) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
-    place = F.array_position(_listed(df, item, items), F.col(item)) - 1
-    amount = F.lit(1.0) if value is None else F.sum(value).cast("double")
-    # the hashed membership test comes first, so the linear search for the place runs on the few rows left
-    one = df.where(F.col(item).isin(items)).select(*keys, *feature, place.cast("int").alias("__i"), *([value] if value else []))
-    one = one.groupBy(*keys, *feature, "__i").agg(amount.alias("__v"))
-    # one row per feature with at most one entry per listed item
-    rows = one.groupBy(*keys, *feature).agg(F.collect_list(F.struct("__i", "__v")).alias("__e"))
-    rows = rows.select(*keys, F.col("__e.__i").alias("__i"), F.col("__e.__v").alias("__v"))
-    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "__m array<double>"])
-    partial = rows.mapInArrow(_adder(keys, len(items), kind, presence), schema)
-    return partial.select(*keys, F.posexplode("__m").alias("__p", "__v")).groupBy(*keys, "__p").agg(F.sum("__v").alias("total"))
+def item_products(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Sums over features, per group of ``keys``, for all pairs of items that meet in a feature, from ``feature_rows``.
 
-
-def _pairs(cells: DataFrame, keys, items, names) -> DataFrame:
-    width = max(1, len(items))
-    return cells.where(F.col("__p") < len(items) ** 2).select(
-        *keys, names[F.expr(f"int(__p div {width})")].alias("item_a"), names[F.expr(f"int(__p % {width})")].alias("item_b"), "total")
-
-
-def item_matrix(df: DataFrame, item: str, feature: Sequence[str], value: str | None = None, keys: Sequence[str] = (),
-                items: list | None = None, kind: str = "dot", right: str | None = None) -> DataFrame:
-    """Sum over features of a product (``dot``) or squared difference (``sqdist``) for all ordered item pairs.
-
-    df      long table, several rows of one (keys, feature, item) are added up first
-    value   measure of an item in a feature; without it presence counts 1
-    right   ``presence`` pairs the value of the first item with the presence of the second
-    items   bounded list of items to consider; taken from the data (at most ``MAX_ITEMS``) if not given
-    Result: keys, item_a, item_b, total. Pairs that never meet have total 0 in ``dot`` form.
+    Columns: keys, item_a, item_b (item_a < item_b), n_both (features with both), dot (sum of products), a_with_b (what a has
+    where b is present), b_with_a.
     """
-    items = list_levels(df, item, MAX_ITEMS) if items is None else list(items)
-    cells = _cells(df, item, list(feature), value, list(keys), items, kind, right == "presence")
-    return _pairs(cells, list(keys), items, _listed(df, item, items))
+    keys = list(keys)
+    kind = rows.schema["__i"].dataType.elementType
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("item_a", kind), StructField("item_b", kind), StructField("n_both", LongType()),
+                         *[StructField(s, DoubleType()) for s in SUMS[1:]]])
+    partial = rows.select(*keys, "__i", "__v").mapInArrow(_adder(keys), schema)
+    return partial.groupBy(*keys, "item_a", "item_b").agg(*[F.sum(s).alias(s) for s in SUMS])
 
 
-def _adder(keys: list[str], width: int, kind: str, presence: bool):
+def _adder(keys: list[str]):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        features: dict[tuple, int] = {}
-        kinds: list[pa.DataType] = []
-        step = max(1, BATCH_CELLS // max(1, width))
-        limit = max(1, 16 * BATCH_CELLS // max(1, width * width))
-
-        def flush():
-            arrays = [pa.array([k[i] for k in sums], type=kinds[i]) for i in range(len(keys))]
-            flat = pa.array([np.append(m.ravel(), features[k]) for k, m in sums.items()], type=pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([*arrays, flat], names=[*keys, "__m"])
-
         for batch in batches:
-            kinds = [batch.schema.field(k).type for k in keys]
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                lists = part.column("__i")
-                lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(part.num_rows), lengths)
-                x = np.zeros((part.num_rows, width))
-                x[row, lists.flatten().to_numpy()] = part.column("__v").flatten().to_numpy()
-                groups = list(zip(*[part.column(k).to_pylist() for k in keys])) if keys else [()] * part.num_rows
-                places: dict[tuple, list[int]] = {}
-                for at, g in enumerate(groups):
-                    places.setdefault(g, []).append(at)
-                for g, at in places.items():
-                    block = x[at] if keys else x
-                    if kind == "sqdist":
-                        add_up = sum((np.subtract.outer(r, r) ** 2 for r in block), np.zeros((width, width)))
-                    else:
-                        add_up = block.T @ ((block != 0).astype(float) if presence else block)
-                    sums[g] = sums[g] + add_up if g in sums else add_up
-                    features[g] = features.get(g, 0) + len(at)
-                if len(sums) > limit:
-                    yield flush()
-                    sums, features = {}, {}
-        if sums:
-            yield flush()
+            if not batch.num_rows:
+                continue
+            lists = batch.column("__i")
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            names, rank = coded.dictionary.take(pa.array(order)), np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            item, amount = rank[coded.indices.to_numpy(zero_copy_only=False)], batch.column("__v").flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            by = np.lexsort((item, row))
+            item, amount = item[by], amount[by]
+            after = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(item)) - 1  # items of the same feature that follow
+            group, heads = _groups(batch, keys)
+            few = len(heads) == 1 and len(names) <= DENSE and batch.num_rows * len(names) ** 2 < 500 * after.sum()
+            found = _dense(row, item, amount, batch.num_rows, len(names)) if few else _listed(row, item, amount, after, group, len(names))
+            for g, a, b, *sums in found:
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(k).take(pa.array(heads[g])) for k in keys], names.take(pa.array(a)), names.take(pa.array(b)),
+                    pa.array(sums[0].astype(np.int64)), *[pa.array(s) for s in sums[1:]]], names=[*keys, "item_a", "item_b", *SUMS])
 
     return add
 
 
-def pairwise_phi(df: DataFrame, item: str, feature: str, items: list | None = None) -> DataFrame:
-    """Correlation of the presence of two items over features, for all ordered pairs of different items.
-
-    Presence is binary: repeated rows of an item in a feature count once. The number of features is that of
-    features with at least one of the items. Null where an item is in every feature.
-    Columns: item1, item2, n_both, correlation.
+def _groups(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each row, and one row of each group."""
+    if not keys:
+        return np.zeros(batch.num_rows, np.int64), np.zeros(1, np.int64)
+    codes = np.stack([batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys])
+    _, heads, group = np.unique(codes, axis=1, return_index=True, return_inverse=True)
+    return group.ravel(), heads
+
+
+def _dense(row, item, amount, n, width):
+    """All pairs by multiplying the matrix of features and items."""
+    sums = [np.zeros((width, width)) for _ in SUMS[:3]]
+    step = max(1, CELLS // max(1, width))
+    for start in range(0, n, step):
+        some = slice(*np.searchsorted(row, [start, start + step]))
+        x, present = np.zeros((min(step, n - start), width)), np.zeros((min(step, n - start), width))
+        x[row[some] - start, item[some]] = amount[some]
+        present[row[some] - start, item[some]] = 1
+        for s, more in zip(sums, (present.T @ present, x.T @ x, x.T @ present)):
+            s += more
+    both, dot, given = sums
+    a, b = np.nonzero(np.triu(both, 1))
+    yield np.zeros(len(a), np.int64), a, b, both[a, b], dot[a, b], given[a, b], given[b, a]
+
+
+def _listed(row, item, amount, after, group, width):
+    """Pairs in tiles of about ``TILE``, added up by pair."""
+    tile = np.cumsum(after) // TILE
+    for some in np.split(np.arange(len(item)), np.flatnonzero(np.diff(tile)) + 1) if len(item) else []:
+        left = np.repeat(some, after[some])
+        if not len(left):
+            continue
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after[some]) - after[some], after[some])
+        pair, at = np.unique((group[row[left]] * width + item[left]) * width + item[right], return_inverse=True)
+        x, y = amount[left], amount[right]
+        sums = [np.bincount(at, w, len(pair)) for w in (None, x * y, x, y)]
+        yield pair // width // width, pair // width % width, pair % width, *sums
+
+
+def _paired(own: DataFrame, pairs: DataFrame, columns: dict[str, str], complete: bool, mirror: bool) -> DataFrame:
+    """Pairs of items with columns of both. ``complete`` adds the pairs that never meet, ``mirror`` each pair the other way
+    round."""
+    if complete:  # the caller asks for all pairs, so that the list of items is the shorter side of the result
+        names = own.agg(F.collect_list("item")).scalar()
+        every = own.select(F.col("item").alias("item_a"), F.explode(names).alias("item_b")).where("item_a < item_b")
+        pairs = join_on(every, pairs, ["item_a", "item_b"], "left").na.fill(0, subset=[c for c in pairs.columns if c not in ("item_a", "item_b")])
+    for side in "ab":
+        pairs = pairs.join(own.select(F.col("item").alias(f"__{side}"), *[F.col(c).alias(f"{n}{side}") for c, n in columns.items()]),
+                           F.col(f"item_{side}") == F.col(f"__{side}")).drop(f"__{side}")
+    if not mirror:
+        return pairs.withColumnsRenamed({"item_a": "item1", "item_b": "item2"})
+    both = F.array(*[F.struct(F.col(x).alias("item1"), F.col(y).alias("item2")) for x, y in (("item_a", "item_b"), ("item_b", "item_a"))])
+    return pairs.withColumn("__p", F.explode(both)).select("__p.*", *[c for c in pairs.columns if c not in ("item_a", "item_b")])
+
+
+def _kept(df: DataFrame, item: str, items: DataFrame | Sequence | None) -> DataFrame:
+    if items is None:
+        return df
+    return rows_in(df, item, items) if isinstance(items, DataFrame) else df.where(F.col(item).isin(list(items)))
+
+
+def pairwise_phi(df: DataFrame, item: str, feature: str, items: DataFrame | Sequence | None = None, complete: bool = False,
+                 mirror: bool = False) -> DataFrame:
+    """Correlation of the presence of two items over features, for the pairs that meet with item1 < item2.
+
+    ``items`` are the items to consider (a list, or a table with the item's column). Presence is binary: repeated rows of an item in
+    a feature count once. The number of features is that of features with at least one of the items. Null where an item is in
+    every feature. Columns: item1, item2, n_both, correlation.
     """
-    items = list_levels(df, item, MAX_ITEMS) if items is None else list(items)
-    # one small row set, read four times below
-    cells = materialise(_cells(df, item, [feature], None, [], items, "dot", False))
-    total = cells.where(F.col("__p") == len(items) ** 2).select("total").scalar()
-    both = _pairs(cells, [], items, _listed(df, item, items))
-    own = both.where(F.col("item_a") == F.col("item_b"))
-    pairs = (both.where(F.col("item_a") != F.col("item_b"))
-             .join(own.select("item_a", F.col("total").alias("na")), "item_a")
-             .join(own.select("item_b", F.col("total").alias("nb")), "item_b"))
-    pairs = pairs.withColumn("n", total)
-    scale = F.sqrt(F.col("na") * (F.col("n") - F.col("na")) * F.col("nb") * (F.col("n") - F.col("nb")))
-    phi = F.try_divide(F.col("n") * F.col("total") - F.col("na") * F.col("nb"), scale)
-    return pairs.select(F.col("item_a").alias("item1"), F.col("item_b").alias("item2"),
-                        F.col("total").cast("bigint").alias("n_both"), phi.alias("correlation"))
-
-
-def pairwise_distance(df: DataFrame, item: str, feature: str, value: str, items: list | None = None) -> DataFrame:
-    """Euclidean distance between the profiles of all pairs of items; a missing cell counts 0."""
-    squared = item_matrix(df, item, [feature], value, items=items, kind="sqdist")
-    return squared.where(F.col("item_a") != F.col("item_b")).select(
-        F.col("item_a").alias("item1"), F.col("item_b").alias("item2"), F.sqrt("total").alias("distance"))
+    rows = materialise(feature_rows(_kept(df, item, items).where(F.col(feature).isNotNull()), item, [feature]))  # a row per feature
+    own = materialise(rows.select(F.explode("__i").alias("item")).groupBy("item").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    pairs = item_products(rows).select("item_a", "item_b", "n_both")
+    pairs = _paired(own, pairs, {"n": "n"}, complete, mirror).withColumn("n", rows.agg(F.count(F.lit(1)).cast("double")).scalar())
+    return pairs.select("item1", "item2", "n_both", phi(F.col("n"), F.col("n_both"), F.col("na"), F.col("nb")).alias("correlation"))
+
+
+def phi(n: Column, both: Column, a: Column, b: Column) -> Column:
+    return F.try_divide(n * both - a * b, F.sqrt(a * (n - a) * b * (n - b)))
+
+
+def pairwise_distance(df: DataFrame, item: str, feature: str, value: str, complete: bool = False, mirror: bool = False) -> DataFrame:
+    """Euclidean distance between the profiles of the pairs of items that meet in a feature; a missing cell counts 0."""
+    rows = materialise(feature_rows(df, item, [feature], value))
+    cells = rows.select(F.explode(F.arrays_zip("__i", "__v")).alias("c"))
+    own = materialise(cells.groupBy(F.col("c.__i").alias("item")).agg(F.sum(F.col("c.__v") * F.col("c.__v")).alias("s")))
+    pairs = _paired(own, item_products(rows).select("item_a", "item_b", "dot"), {"s": "s"}, complete, mirror)
+    squared = F.col("sa") + F.col("sb") - 2 * F.col("dot")
+    return pairs.select("item1", "item2", F.sqrt(F.greatest(squared, F.lit(0.0))).alias("distance"))

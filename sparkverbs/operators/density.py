@@ -1,8 +1,9 @@
 """Two-dimensional Gaussian kernel density on a grid.
 
 The kernel is a product of two one-dimensional kernels, so the sum over points is a product of two thin
-matrices. Each task adds up the grids of its own points with numpy and emits one grid per group; only grids
-are shuffled. No point-by-cell table is built and no kernel tail is cut.
+matrices. Each task adds up the tiles of its own points with numpy and emits one sum per group and tile; only sums
+are shuffled. A tile is a strip of the grid, so a grid may have any number of cells. No point-by-cell table is built and no
+kernel tail is cut.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .aggregates import exact_quantiles
+from .joins import join_on
 
-MAX_CELLS = 250_000
-GRIDS_IN_MEMORY = 64
+#: Cells of a tile, cells that a task holds, and cells of the kernel matrices at once.
+TILE, HELD, AT_ONCE = 250_000, 16_000_000, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -31,10 +33,6 @@ class Grid:
     y_max: float
     ny: int
 
-    def __post_init__(self):
-        if self.nx * self.ny > MAX_CELLS:
-            raise ValueError(f"a grid has at most {MAX_CELLS} cells")
-
     @staticmethod
     def from_bounds(x_min: float, x_max: float, y_min: float, y_max: float, per_unit: float = 2.0) -> "Grid":
         """Grid with ``per_unit`` points per unit of length on each axis."""
@@ -59,21 +57,22 @@ def kernel_density(df: DataFrame, x: str, y: str, grid: Grid, bandwidth: float |
     hx, hy = bandwidth if isinstance(bandwidth, tuple) else (bandwidth, bandwidth)
     sx, sy = hx / 4, hy / 4
     gx, gy = grid.axes()
-    ny = grid.ny
-    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *([group] if group else []), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    schema = ", ".join([*([f"`{group}` {points.schema[group].dataType.simpleString()}"] if group else []),
-                        "__n bigint, __z array<double>"])
+    ny, keys = grid.ny, [group] if group else []
+    width = max(1, TILE // ny)  # a tile is a strip of so many values of x
+    strips = [gx[k:k + width] for k in range(0, grid.nx, width)]
+    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    schema = ", ".join([*[f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys], "__s int, __z array<double>"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[object, list] = {}
+        sums: dict[tuple, np.ndarray] = {}
         kind = None
 
         def flush():
-            first = [pa.array(list(sums), type=kind)] if group else []
-            counts = pa.array([n for n, _ in sums.values()], type=pa.int64())
-            flat = pa.array([z.ravel() for _, z in sums.values()], type=pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([*first, counts, flat], names=[*([group] if group else []), "__n", "__z"])
+            for (g, strip), z in sums.items():
+                first = [pa.array([g], type=kind)] if group else []
+                yield pa.RecordBatch.from_arrays([*first, pa.array([strip], pa.int32()), pa.array([z.ravel()], type=pa.list_(pa.float64()))],
+                                                 names=[*keys, "__s", "__z"])
+            sums.clear()
 
         for batch in batches:
             xs, ys = batch.column("__x").to_numpy(), batch.column("__y").to_numpy()
@@ -84,25 +83,26 @@ def kernel_density(df: DataFrame, x: str, y: str, grid: Grid, bandwidth: float |
                 codes = coded.indices.to_numpy()
                 parts = [(g, codes == i) for i, g in enumerate(coded.dictionary.to_pylist())]
             for g, at in parts:
-                kx = np.exp(-0.5 * ((gx[None, :] - xs[at][:, None]) / sx) ** 2)
-                ky = np.exp(-0.5 * ((gy[None, :] - ys[at][:, None]) / sy) ** 2)
-                known = sums.get(g)
-                z = kx.T @ ky
-                sums[g] = [known[0] + len(kx), known[1] + z] if known else [len(kx), z]
-            if len(sums) > GRIDS_IN_MEMORY:
-                yield flush()
-                sums = {}
-        if sums:
-            yield flush()
-
-    partial = points.mapInArrow(add, schema)
-    keys = [group] if group else []
-    # the number of points travels as one more cell, so that the kernels are evaluated once and a null group keeps its own
-    every = F.concat("__z", F.array(F.col("__n").cast("double")))
-    cells = partial.select(*keys, F.posexplode(every).alias("__p", "__v")).groupBy(*keys, "__p").agg(F.sum("__v").alias("__v"))
-    last, own = F.col("__p") == grid.nx * ny, Window.partitionBy(*(keys or [F.lit(0)]))  # a grid has a fixed number of cells
-    cells = cells.withColumn("__total", F.max(F.when(last, F.col("__v"))).over(own)).where(~last)
-    ix, iy = F.expr(f"int(__p div {ny})"), F.expr(f"int(__p % {ny})")
+                px, py = xs[at], ys[at]
+                step = max(1, AT_ONCE // (ny + width))
+                for k in range(0, len(px), step):
+                    ky = np.exp(-0.5 * ((gy[None, :] - py[k:k + step, None]) / sy) ** 2)
+                    for i, strip in enumerate(strips):
+                        kx = np.exp(-0.5 * ((strip[None, :] - px[k:k + step, None]) / sx) ** 2)
+                        z = kx.T @ ky
+                        sums[g, i] = sums[g, i] + z if (g, i) in sums else z
+                        if len(sums) * TILE > HELD:
+                            yield from flush()
+        yield from flush()
+
+    cells = points.mapInArrow(add, schema).select(*keys, "__s", F.posexplode("__z").alias("__p", "__v"))
+    cells = cells.groupBy(*keys, "__s", "__p").agg(F.sum("__v").alias("__v"))
+    # the points are counted apart; their kernels are evaluated once
+    if group:
+        cells = join_on(cells, points.groupBy(group).agg(F.count(F.lit(1)).alias("__total")), keys, null_safe=True)
+    else:
+        cells = cells.withColumn("__total", points.agg(F.count(F.lit(1))).scalar())
+    ix, iy = F.expr(f"int(__s * {width} + __p div {ny})"), F.expr(f"int(__p % {ny})")
     return cells.select(
         *keys, ix.alias("ix"), iy.alias("iy"),
         (F.lit(grid.x_min) + ix * ((grid.x_max - grid.x_min) / (grid.nx - 1))).alias("x"),

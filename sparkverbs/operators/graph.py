@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
-from .reshape import longer, union_by_name, wider
+from .cooccurrence import feature_rows, item_products
+from .reshape import union_by_name
 from .windows import top_n
 
 
@@ -17,11 +18,24 @@ def missing_vertices(edges: DataFrame, vertices: DataFrame, name: str = "name",
     return used.join(vertices.select(name), name, "left_anti")
 
 
+def with_vertices(edges: DataFrame, vertices: DataFrame, name: str = "name", ends: Sequence[str] = ("from", "to")) -> DataFrame:
+    """Edges with the attributes of their end points as ``<end>_<attribute>``. An edge whose end point is not a vertex stops the
+    query with an error; the check is part of the joins, so it needs no job of its own."""
+    attributes = [c for c in vertices.columns if c != name]
+    for end in ends:
+        other = vertices.select(F.col(name).alias("__name"), *[F.col(c).alias(f"{end}_{c}") for c in attributes])
+        edges = edges.join(other, F.col(end) == F.col("__name"), "left")
+        what = F.concat(F.lit("an edge ends in something that is not a vertex: "), F.coalesce(F.col(end).cast("string"), F.lit("null")))
+        kind = edges.schema[end].dataType
+        edges = edges.withColumn(end, F.when(F.col("__name").isNotNull(), F.col(end)).otherwise(F.raise_error(what).cast(kind))).drop("__name")
+    return edges
+
+
 def adjacency(df: DataFrame, source: str, targets: Sequence[str]) -> DataFrame:
-    """Weighted edges from one column to each of several others, stacked; target values become text."""
-    parts = [df.groupBy(F.col(source).alias("from"), F.col(t).cast("string").alias("to"))
-             .agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(t)) for t in targets]
-    return union_by_name(*parts)
+    """Weighted edges from one column to each of several others, stacked; target values become text. One scan, one aggregate."""
+    pairs = F.array(*[F.struct(F.lit(t).alias("kind"), F.col(t).cast("string").alias("to")) for t in targets])
+    rows = df.select(F.col(source).alias("from"), F.explode(pairs).alias("p"))
+    return rows.groupBy("from", F.col("p.to").alias("to"), F.col("p.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n")).select("from", "to", "n", "kind")
 
 
 def hierarchy(df: DataFrame, leaf: str, parent: str, weight: str, root: str) -> tuple[DataFrame, DataFrame]:
@@ -53,24 +67,17 @@ def attribute_broadcasts(df: DataFrame, group: Sequence[str], sender: str, weigh
     return joined.select(*group, sender, (F.col(weight) + F.coalesce("__shared", F.lit(0))).alias(weight))
 
 
-def interaction_edges(df: DataFrame, outer: Sequence[str], scene: Sequence[str], member: str, members: Sequence, weight: str):
-    """Directed edges between members that share a scene.
+def interaction_edges(df: DataFrame, outer: Sequence[str], scene: Sequence[str], member: str, weight: str) -> DataFrame:
+    """Directed edges between members that share a scene, whoever occurs.
 
-    The weight of s -> t per ``outer`` group is the sum, over scenes with both present, of what s has in the scene.
-    ``members`` is a short literal list. A scene becomes one row with a column per member, and all pair weights
-    come out of one partial aggregate: no self-join, no pairs per scene.
+    The weight of s -> t per ``outer`` group is the sum, over scenes with both present, of what s has in the scene. A scene
+    is one row with its members, and tasks add up the pairs of many scenes before anything is shuffled.
     """
-    members = list(members)
-    columns = [f"__m{i}" for i in range(len(members))]
-    wide = wider(df.groupBy(*outer, *scene, member).agg(F.sum(weight).alias("__w")), [*outer, *scene], member, members, "__w")
-    wide = wide.toDF(*outer, *scene, *columns)
-    pairs = {f"{i}>{j}": F.sum(F.when(F.col(b).isNotNull(), F.col(a)))
-             for i, a in enumerate(columns) for j, b in enumerate(columns) if i != j}
-    sums = wide.groupBy(*outer).agg(*[v.alias(k) for k, v in pairs.items()])
-    edges = longer(sums, list(pairs), "__pair", "weight").where(F.col("weight").isNotNull())
-    names = F.array(*[F.lit(m) for m in members])
-    ends = F.split("__pair", ">")
-    return edges.select(*outer, names[ends[0].cast("int")].alias("from"), names[ends[1].cast("int")].alias("to"), "weight")
+    rows = feature_rows(df, member, [*outer, *scene], weight)
+    pairs = item_products(rows, outer)
+    ways = F.array(*[F.struct(F.col(f"item_{x}").alias("from"), F.col(f"item_{y}").alias("to"), F.col(f"{x}_with_{y}").cast(
+        df.select(F.sum(weight)).schema[0].dataType).alias("weight")) for x, y in ("ab", "ba")])
+    return pairs.select(*outer, F.explode(ways).alias("e")).select(*outer, "e.*")
 
 
 def top_edges(edges: DataFrame, n: int, keys: Sequence[str], weight: str = "weight") -> DataFrame:

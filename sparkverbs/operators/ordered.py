@@ -2,14 +2,20 @@
 
 A window without keys, or with a key that holds a large share of the rows, puts those rows into one
 task. ``ordered_scan`` spreads them instead: rows are range-partitioned and sorted, every partition is
-scanned by itself, and one small row per partition carries the state over to the next partition.
+scanned where it lies, batch by batch, and one small row per partition carries the state over to the next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..functions.nulls import ColumnOrName, as_col
 from ..session import materialise
@@ -27,7 +33,7 @@ def _ordering(order_by) -> list[Column]:
 def stamp(df: DataFrame, order_by: Sequence[ColumnOrName], keys: Sequence[str] = ()) -> DataFrame:
     """Rows sorted over all partitions, each with its partition and a position that rises within the partition.
 
-    One range shuffle; the stamp is taken in the sorted stage and fixed by the checkpoint.
+    One range shuffle; the stamp is taken in the sorted stage and fixed by writing the rows.
     """
     ranged = df.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *_ordering(order_by))
     stamped = materialise(ranged.withColumn(POSITION, F.monotonically_increasing_id()))
@@ -70,34 +76,29 @@ def ordered_scan(
             final[row_number] = F.col("__rn").cast("bigint")
         return _finish(rows, df, final)
 
-    stamped = stamp(df.withColumns(inputs) if inputs else df, order_by, keys)
-
     if row_number and not (running or previous):
+        stamped = stamp(df, order_by, keys)
         numbered = _number_by_heads(stamped, keys, row_number)
         if numbered is not None:
             return _finish(numbered, df, {row_number: F.col(row_number)})
+        df, source = stamped.drop(PARTITION), df  # rows keep their order: stamps rise
+        order_by = [POSITION]
+        ordering = _ordering(order_by)
+    else:
+        source = df
 
-    local = Window.partitionBy(PARTITION, *keys).orderBy(POSITION)
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    new = {"__rn": F.row_number().over(local)}
-    new |= {f"__run_{n}": F.sum(f"__sum_{n}").over(upto) for n in running}
-    new |= {f"__lag_{n}": F.lag(f"__val_{n}").over(local) for n in previous}
-    rows = stamped.withColumns(new)
+    rows = materialise(_scanned(df.withColumns(inputs) if inputs else df, ordering, keys, list(running), list(previous)))
 
-    # state carried into a partition: only groups that span partitions need it, so at most one row per partition
+    # only the last group of a partition can go on in the next one, so one row per partition carries its state over
     names = [f"__c{i}" for i in range(len(keys))]
-    state = [F.count(F.lit(1)).alias("__n")]
-    state += [F.sum(f"__sum_{n}").alias(f"__t_{n}") for n in running]
-    state += [F.max_by(f"__val_{n}", POSITION).alias(f"__p_{n}") for n in previous]
-    parts = stamped.groupBy(F.col(PARTITION).alias("__cpart"), *[F.col(k).alias(c) for k, c in zip(keys, names)]).agg(*state)
-    across = Window.partitionBy(*(names or [F.lit(0)])).orderBy("__cpart")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    carry = parts.select(
-        "__cpart", *names,
-        F.sum("__n").over(earlier).alias("__before"),
-        *[F.sum(f"__t_{n}").over(earlier).alias(f"__b_{n}") for n in running],
-        *[F.lag(f"__p_{n}").over(across).alias(f"__q_{n}") for n in previous],
-    ).where(F.col("__before").isNotNull())
+    ends = rows.where("__last").select(
+        PARTITION, *[F.col(k).alias(c) for k, c in zip(keys, names)], "__rn", *[f"__run_{n}" for n in running], *[f"__val_{n}" for n in previous])
+    upto = Window.partitionBy(*(names or [F.lit(0)])).orderBy(PARTITION).rowsBetween(Window.unboundedPreceding, 0)
+    carry = ends.select(
+        F.lead(PARTITION).over(Window.orderBy(PARTITION)).alias("__cpart"), *names,
+        F.sum("__rn").over(upto).alias("__before"),
+        *[F.sum(f"__run_{n}").over(upto).alias(f"__b_{n}") for n in running],
+        *[F.col(f"__val_{n}").alias(f"__q_{n}") for n in previous]).where("__cpart is not null")
 
     on = F.col(PARTITION) == F.col("__cpart")
     for k, c in zip(keys, names):
@@ -113,7 +114,90 @@ def ordered_scan(
               for n, (_, d) in previous.items()}
     if row_number:
         final[row_number] = F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))
-    return _finish(rows, df, final)
+    return _finish(rows, source, final)
+
+
+def _scanned(df: DataFrame, ordering: list[Column], keys: list[str], sums: list[str], lags: list[str]) -> DataFrame:
+    """Rows sorted over all partitions, with what a scan of the own partition tells: place in the group (``__rn``), running sums,
+    previous values, and a flag on the partition's last row. Groups are told apart by a 64-bit hash of their keys."""
+    group = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *ordering]
+    # the type of a sum is that of the engine's own aggregate; an average over nothing but the schema is asked for here
+    kinds = df.limit(0).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"__sum_{n}").alias(n) for n in sums]).schema if sums else None
+    totals = df.withColumns({f"__sum_{n}": F.col(f"__sum_{n}").cast(kinds[n].dataType) for n in sums}) if sums else df
+    rows = totals.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__g", group)
+    fields = [f for f in rows.schema.fields if f.name != "__g"]
+    fields += [StructField(f"__run_{n}", rows.schema[f"__sum_{n}"].dataType) for n in sums]
+    fields += [StructField(f"__lag_{n}", rows.schema[f"__val_{n}"].dataType) for n in lags]
+    fields += [StructField("__rn", LongType()), StructField("__last", BooleanType()), StructField(PARTITION, IntegerType())]
+    return rows.mapInArrow(_scanner(sums, lags), StructType(fields)).drop(*[f"__sum_{n}" for n in sums])
+
+
+def _scanner(sums: list[str], lags: list[str]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        group, count, totals, last, waiting = None, 0, {n: None for n in sums}, {}, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            if waiting is not None:
+                yield waiting(False)
+            g = batch.column("__g").to_numpy()
+            new = np.concatenate(([group is None or g[0] != group], g[1:] != g[:-1]))
+            heads = np.flatnonzero(new)
+            start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            number = np.arange(n) - start + 1
+            number[start < 0] = count + np.arange(1, int((start < 0).sum()) + 1)
+            added = []
+            for name in sums:
+                run, total = _running(batch.column(f"__sum_{name}"), heads, totals[name])
+                totals[name] = total
+                added.append(run)
+            for name in lags:
+                values = batch.column(f"__val_{name}")
+                added.append(pa.concat_arrays([last.get(name, pa.nulls(1, values.type)), values.slice(0, n - 1)]))
+                last[name] = pa.concat_arrays([values.slice(n - 1, 1)])
+            group, count = g[-1], int(number[-1])
+            kept = [c for c in batch.schema.names if c != "__g"]
+            columns = [*[batch.column(c) for c in kept], *added, pa.array(number)]
+            names = [*kept, *[f"__run_{s}" for s in sums], *[f"__lag_{s}" for s in lags], "__rn", "__last", PARTITION]
+
+            def waiting(end, columns=columns, names=names, n=n):
+                flag = np.zeros(n, bool)
+                flag[-1] = end
+                return pa.RecordBatch.from_arrays([*columns, pa.array(flag), pa.array(np.full(n, part, np.int32))], names=names)
+
+        if waiting is not None:
+            yield waiting(True)
+
+    return scan
+
+
+def _running(values: pa.Array, heads: np.ndarray, carried):
+    """Running sum within the stretches that begin at ``heads``, on top of what the first one has carried over (None: only
+    nulls so far); and what the last one carries on."""
+    n = len(values)
+    exact = pa.types.is_decimal(values.type)
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    if exact:
+        filled = np.array([Decimal(0) if v is None else v for v in values.to_pylist()], object)
+    else:
+        filled = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+    sums = np.empty(n, filled.dtype)
+    seen = np.zeros(n, bool)
+    edges = [0, *heads[heads > 0].tolist(), n]
+    for a, b in zip(edges, edges[1:]):
+        base = carried if a == 0 and not (len(heads) and heads[0] == 0) else None
+        sums[a:b] = np.cumsum(filled[a:b])
+        seen[a:b] = np.logical_or.accumulate(known[a:b])
+        if base is not None:
+            sums[a:b] += base
+            seen[a:b] = True
+    out = pa.array(sums.tolist() if exact else sums, values.type, mask=None if exact else ~seen)
+    if exact:
+        out = pc.if_else(pa.array(seen), out, pa.nulls(n, values.type))
+    return out, (sums[-1] if seen[-1] else None)
 
 
 def _number_by_heads(stamped: DataFrame, keys: list[str], name: str) -> DataFrame | None:
@@ -154,8 +238,13 @@ def lag_value(df: DataFrame, value: ColumnOrName, order_by, keys=(), name: str =
     return ordered_scan(df, order_by, keys, previous={name: (value, default)}, bounded=bounded)
 
 
-def slice_rows(df: DataFrame, positions: Column, order_by, name: str = "row_number") -> DataFrame:
-    """Rows whose position in the order satisfies ``positions`` (an expression over ``name``)."""
+def slice_rows(df: DataFrame, positions: Column, order_by, name: str = "row_number", last: int | None = None) -> DataFrame:
+    """Rows whose position in the order satisfies ``positions`` (an expression over ``name``).
+
+    If no position is beyond ``last``, only so many rows are sorted out and numbered.
+    """
+    if last is not None:
+        return number_rows(df.orderBy(*_ordering(order_by)).limit(last), order_by, name=name, bounded=True).where(positions)
     return number_rows(df, order_by, name=name).where(positions)
 
 

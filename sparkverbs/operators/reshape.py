@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import CELL_SEPARATOR, cells, words
+from .levels import list_levels
 
 
 def union_by_name(*tables: DataFrame) -> DataFrame:
@@ -45,24 +46,45 @@ def longer_sets(df: DataFrame, sets: dict[object, dict[str, str]], names_to: str
     return df.select(*keep, F.inline(rows))
 
 
-def wider(df: DataFrame, keys: Sequence[str], names_from: str, names: Sequence, values_from: str, fill=None,
-          aggregate: Callable[[Column], Column] = F.first) -> DataFrame:
-    """Long to wide for the listed names. The list fixes the schema and saves a job."""
-    out = df.groupBy(*keys).pivot(names_from, list(names)).agg(aggregate(F.col(values_from)))
+def wider(df: DataFrame, keys: Sequence[str], names_from: str, names: Sequence | None, values_from: str, fill=None,
+          aggregate: Callable[[Column], Column] = F.first, others: str = "error") -> DataFrame:
+    """Long to wide. ``names`` fixes the columns and saves a job; ``None`` takes all names that occur.
+
+    A row with a name that isn't listed stops the query with an error, unless ``others="drop"`` says that it is not wanted. A null
+    name counts as one that isn't listed (``None`` passes it over).
+    """
+    df, names = _named(df, names_from, names, others)
+    out = df.groupBy(*keys).pivot(names_from, names).agg(aggregate(F.col(values_from)))
     return out if fill is None else out.na.fill(fill, subset=[str(n) for n in names])
 
 
-def wider_multi(df: DataFrame, keys: Sequence[str], names_from: str, names: Sequence, values_from: Sequence[str]) -> DataFrame:
-    """Long to wide with several value columns, named ``<value>_<name>``."""
-    out = df.groupBy(*keys).pivot(names_from, list(names)).agg(*[F.first(v).alias(v) for v in values_from])
-    return out.withColumnsRenamed({f"{n}_{v}": f"{v}_{n}" for n in names for v in values_from})
+def _named(df: DataFrame, names_from: str, names: Sequence | None, others: str) -> tuple[DataFrame, list]:
+    if names is None:
+        return df.where(F.col(names_from).isNotNull()), list_levels(df, names_from)
+    if others not in ("error", "drop"):
+        raise ValueError("others is 'error' or 'drop'")
+    listed = F.col(names_from).isin(list(names))
+    if others == "drop":
+        return df.where(listed), list(names)
+    what = F.concat(F.lit(f"{names_from} has a value that is not listed: "), F.coalesce(F.col(names_from).cast("string"), F.lit("null")))
+    kind = df.schema[names_from].dataType
+    return df.withColumn(names_from, F.when(listed, F.col(names_from)).otherwise(F.raise_error(what).cast(kind))), list(names)
+
+
+def wider_multi(df: DataFrame, keys: Sequence[str], names_from: str, names: Sequence | None, values_from: Sequence[str],
+                others: str = "error") -> DataFrame:
+    """Long to wide with several value columns, named ``<value>_<name>``; names as in ``wider``."""
+    df, names = _named(df, names_from, names, others)
+    one = F.struct(*[F.col(v) for v in values_from])
+    out = df.groupBy(*keys).pivot(names_from, names).agg(F.first(one))
+    return out.select(*keys, *[F.col(f"`{n}`")[v].alias(f"{v}_{n}") for n in names for v in values_from])
 
 
-def pivot_table(df: DataFrame, index: Sequence[str], columns: str, names: Sequence, values: str, fill=0,
-                aggregate: Callable[[Column], Column] = F.avg) -> DataFrame:
-    """Pivot with the mean by default; null keys are dropped and empty cells filled."""
+def pivot_table(df: DataFrame, index: Sequence[str], columns: str, names: Sequence | None, values: str, fill=0,
+                aggregate: Callable[[Column], Column] = F.avg, others: str = "error") -> DataFrame:
+    """Pivot with the mean by default; null keys are dropped and empty cells filled; names as in ``wider``."""
     present = df.na.drop(subset=[*index, columns])
-    return wider(present, index, columns, names, values, fill, aggregate)
+    return wider(present, index, columns, names, values, fill, aggregate, others)
 
 
 def split_rows(df: DataFrame, column: str, separator: str = CELL_SEPARATOR) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import clamp, divide
 from ..session import materialise
-from .reshape import longer, wider
-from .windows import with_group_stats, zscore
+from .joins import join_on
+from .windows import zscore
 
 
 def ols_fit(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -25,22 +28,24 @@ def ols_augment(df: DataFrame, y: str, x: str) -> DataFrame:
             .withColumn("sign", (-F.signum("resid")).cast("int")))
 
 
-def chisq_residuals(df: DataFrame, row: str, column: str, columns: Sequence) -> DataFrame:
+def chisq_residuals(df: DataFrame, row: str, column: str) -> DataFrame:
     """Contingency table in long form with observed and expected counts and Pearson residuals.
 
-    Every row level meets every one of the listed column levels; a pair that does not occur counts 0.
-    Columns: row, column, observed, expected, residual.
+    Every row level that occurs meets every column level that occurs; a pair that does not occur counts 0. Rows with a missing
+    level are left out. Columns: row, column, observed, expected, residual.
     """
-    counts = df.groupBy(row).pivot(column, list(columns)).agg(F.count(F.lit(1))).na.fill(0)
     # the table of counts is small against its input and read four times
-    table = materialise(longer(counts, [str(c) for c in columns], column, "observed"))
-    cells = with_group_stats(table, [row], __row=F.sum("observed"))
-    cells = with_group_stats(cells, [column], table, __col=F.sum("observed"))
-    cells = with_group_stats(cells, [], table, __all=F.sum("observed"))
+    counts = materialise(df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count(F.lit(1)).alias("observed")))
+    rows = counts.groupBy(row).agg(F.sum("observed").alias("__row"))
+    # the column levels as one list: each row level gets them all, which is the size of the table
+    levels = counts.groupBy(column).agg(F.sum("observed").alias("__col")).agg(F.collect_list(F.struct(column, "__col")).alias("l")).scalar()
+    total = counts.agg(F.sum("observed")).scalar()
+    cells = rows.withColumn("__level", F.explode(levels)).select(row, F.col("__level")[column].alias(column), "__row", F.col("__level.__col"), total.alias("__all"))
+    cells = join_on(cells, counts, [row, column], "left").withColumn("observed", F.coalesce("observed", F.lit(0).cast("bigint")))
     expected = divide(F.col("__row").cast("double") * F.col("__col"), F.col("__all"))
     return (cells.withColumn("expected", expected)
             .withColumn("residual", divide(F.col("observed") - F.col("expected"), F.sqrt("expected")))
-            .drop("__row", "__col", "__all"))
+            .select(row, column, "observed", "expected", "residual"))
 
 
 def chisq_statistic(residuals: DataFrame) -> DataFrame:
@@ -56,32 +61,90 @@ def clipped_residuals(residuals: DataFrame, low: float = 0.0, high: float = 1.0)
 
 
 def principal_axes(df: DataFrame, columns: Sequence[str], k: int = 2, prefix: str = "axis_") -> DataFrame:
-    """Coordinates on the first k principal axes of the standardised columns."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    """Coordinates on the first k principal axes of the standardised columns; rows with a missing value are left out.
 
-    rows = zscore(df.na.drop(subset=list(columns)), columns, "_z")
-    rows = VectorAssembler(inputCols=[c + "_z" for c in columns], outputCol="__in").transform(rows)
-    rows = PCA(k=k, inputCol="__in", outputCol="__out").fit(rows).transform(rows)
-    at = vector_to_array("__out")
-    return rows.withColumns({f"{prefix}{i + 1}": at[i] for i in range(k)}).drop("__in", "__out", *[c + "_z" for c in columns])
-
-
-def similarity_groups(df: DataFrame, item: str, column: str, columns: Sequence, value: str, k: int, seed: int = 1) -> DataFrame:
-    """Group items with similar profiles by bisecting k-means.
-
-    ``df`` is long (item, column, value). Adds, per item, the group and the distance to its centre;
-    (cluster, distance, item) is an order that puts similar items next to each other.
+    One aggregate gives means, deviations and correlations; the axes of that small matrix become literals of a plain
+    expression. The largest loading of an axis is positive. A column without deviation has no part in the axes.
+    """
+    columns = list(columns)
+    rows = df.na.drop(subset=columns)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
+    one = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"d{i}") for i, c in enumerate(columns)],
+                   *[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    gram = np.eye(len(columns))
+    for i, j in pairs:
+        known = one[f"c{i}_{j}"]
+        gram[i, j] = gram[j, i] = 0 if known is None or not np.isfinite(known) else known
+    for i in range(len(columns)):
+        gram[i, i] = 1.0 if one[f"d{i}"] else 0.0
+    values, vectors = np.linalg.eigh(gram)
+    axes = vectors[:, np.argsort(-values, kind="stable")[:k]]
+    axes = axes * np.sign(axes[np.argmax(np.abs(axes), axis=0), np.arange(axes.shape[1])])
+    z = [(F.col(c) - one[f"m{i}"]) / one[f"d{i}"] if one[f"d{i}"] else F.lit(0.0) for i, c in enumerate(columns)]
+    return rows.withColumns({f"{prefix}{a + 1}": sum((z[i] * float(axes[i, a]) for i in range(len(columns))), F.lit(0.0)) for a in range(axes.shape[1])})
+
+
+def spanning_tree(distances: DataFrame, a: str = "item1", b: str = "item2", distance: str = "distance") -> DataFrame:
+    """Smallest spanning tree (forest) of a table of distances: (a, b, distance) with a < b.
+
+    Every round each part takes the nearest edge that leaves it (ties by the names of the ends), and parts joined by an edge
+    become one; the number of parts at least halves. Edges within a part are passed over by an equi-join with the parts of both ends.
+    """
+    edges = materialise(distances.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(distance).alias("w")).where("a <> b").distinct())
+    parts = materialise(edges.select(F.explode(F.array("a", "b")).alias("item")).distinct().withColumn("part", F.col("item")))
+    tree = edges.limit(0)
+    while True:
+        at = lambda end: parts.select(F.col("item").alias(end), F.col("part").alias(f"p{end}"))
+        apart = edges.join(at("a"), "a").join(at("b"), "b").where("pa <> pb")
+        ends = F.array(*[F.struct(F.col(x).alias("part"), F.col(y).alias("other")) for x, y in (("pa", "pb"), ("pb", "pa"))])
+        best = apart.select("a", "b", "w", F.explode(ends).alias("e")).groupBy(F.col("e.part").alias("part")).agg(
+            F.min(F.struct("w", "a", "b", F.col("e.other").alias("other"))).alias("best"))
+        best = materialise(best)
+        if best.isEmpty():
+            return tree.select(F.col("a").alias(a), F.col("b").alias(b), F.col("w").alias(distance))
+        tree = materialise(tree.unionByName(best.select("best.a", "best.b", "best.w").distinct()))
+        # two parts that chose each other: the smaller one leads; then every part follows to its leader
+        lead = best.select("part", F.col("best.other").alias("up"))
+        back = lead.select(F.col("part").alias("__part"), F.col("up").alias("__up"))
+        lead = lead.join(back, F.col("up") == F.col("__part")).select(
+            "part", F.when((F.col("__up") == F.col("part")) & (F.col("part") < F.col("up")), F.col("part")).otherwise(F.col("up")).alias("up"))
+        while True:
+            lead = materialise(lead)
+            up = lead.select(F.col("part").alias("__part"), F.col("up").alias("__up"))
+            after = lead.join(up, F.col("up") == F.col("__part")).select("part", "up", F.col("__up").alias("top"))
+            if after.where("up <> top").isEmpty():
+                break
+            lead = after.select("part", F.col("top").alias("up"))
+        parts = materialise(parts.join(lead, "part", "left").select("item", F.coalesce("up", "part").alias("part")))
+
+
+def similarity_order(distances: DataFrame, item: str, a: str = "item1", b: str = "item2", distance: str = "distance") -> DataFrame:
+    """Order that puts similar items next to each other: (item, position from 1, distance to the part already placed).
+
+    A walk over the smallest spanning tree from the smallest item that always takes the nearest edge to a new item. For n items
+    the distances have n * n rows; the tree that one task walks has n.
     """
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    names = [f"__f{i}" for i in range(len(columns))]
-    wide = wider(df, [item], column, columns, value, fill=0.0).toDF(item, *names)
-    wide = VectorAssembler(inputCols=names, outputCol="features").transform(wide)
-    model = BisectingKMeans(k=k, seed=seed, predictionCol="cluster").fit(wide)
-    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
-    gaps = F.zip_with(vector_to_array("features"), centres[F.col("cluster")], lambda a, b: (a - b) * (a - b))
-    distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v))
-    return model.transform(wide).select(item, "cluster", distance.alias("distance"))
+    tree = spanning_tree(distances, a, b, distance)
+    kind = distances.schema[a].dataType.simpleString()
+
+    def walk(edges: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for x, y, w in zip(edges[a], edges[b], edges[distance]):
+            near.setdefault(x, []).append((w, x, y))
+            near.setdefault(y, []).append((w, x, y))
+        rows, seen = [], set()
+        for start in sorted(near):  # a table in several pieces is walked piece by piece
+            ahead = [(float("-inf"), start, start)] if start not in seen else []
+            while ahead:
+                w, x, y = heapq.heappop(ahead)
+                new = y if x in seen else x
+                if new in seen:
+                    continue
+                seen.add(new)
+                rows.append((new, len(rows) + 1, None if w == float("-inf") else w))
+                for e in near[new]:
+                    if e[1] not in seen or e[2] not in seen:
+                        heapq.heappush(ahead, e)
+        return pd.DataFrame(rows, columns=[item, "position", "distance"])
+
+    return tree.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(walk, f"`{item}` {kind}, position bigint, distance double")

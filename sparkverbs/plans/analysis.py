@@ -16,15 +16,13 @@ from ..operators.ordered import number_rows
 from ..operators.reshape import longer, longer_sets, tokens, wider
 from ..operators.windows import bands, rescale01, scale_max
 from ..session import materialise
-from ..sources.polygons import rings_from_json, star_polygons
+from ..sources.polygons import nested_shape, rings_from_json, star_polygons
 from ..sources.sequences import literal_table
 from .grouping import HLS_SQL, PART_HEX, part_colours
 from .joining import EVENT_TYPES
 from .registry import query
 from .reshaping import WORD_SQL
 
-TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
 # --- statistics -----------------------------------------------------------------------------------
 
 
@@ -47,7 +45,7 @@ def ols_residual_sign(t):
 CHISQ_SQL = """
 WITH o AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL),
 g AS (SELECT b.p_brand, c.p_type, coalesce(n, 0) AS observed FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN
-      (SELECT unnest(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD']) AS p_type) c LEFT JOIN o USING (p_brand, p_type)),
+      (SELECT DISTINCT p_type FROM part) c LEFT JOIN o USING (p_brand, p_type)),
 e AS (SELECT *, sum(observed) OVER (PARTITION BY p_brand) * sum(observed) OVER (PARTITION BY p_type) / sum(observed) OVER ()::DOUBLE AS expected FROM g),
 x AS (SELECT *, (observed - expected) / sqrt(expected) AS residual FROM e)
 """
@@ -55,14 +53,28 @@ x AS (SELECT *, (observed - expected) / sqrt(expected) AS residual FROM e)
 
 @query("chisq_residuals", CHISQ_SQL + "SELECT p_brand, p_type, observed, round(expected, 6) AS expected, round(residual, 6) AS residual FROM x")
 def chisq_residuals(t):
-    out = stats.chisq_residuals(t.part, "p_brand", "p_type", TYPES)
+    out = stats.chisq_residuals(t.part, "p_brand", "p_type")
     return out.withColumns({c: F.round(c, 6) for c in ("expected", "residual")})
 
 
 @query("chisq_statistic", CHISQ_SQL + """
 SELECT round(sum(residual * residual), 4) AS statistic, ((count(DISTINCT p_brand) - 1) * (count(DISTINCT p_type) - 1))::BIGINT AS df FROM x""")
 def chisq_statistic(t):
-    return stats.chisq_statistic(stats.chisq_residuals(t.part, "p_brand", "p_type", TYPES)).withColumn("statistic", F.round("statistic", 4))
+    return stats.chisq_statistic(stats.chisq_residuals(t.part, "p_brand", "p_type")).withColumn("statistic", F.round("statistic", 4))
+
+
+@query("chisq_levels", """
+WITH l AS (SELECT l_returnflag || l_linestatus AS flags, l_suppkey AS supplier FROM lineitem WHERE l_quantity > 49),
+o AS (SELECT supplier, flags, count(*) AS n FROM l GROUP BY ALL),
+g AS (SELECT s.supplier, f.flags, coalesce(n, 0) AS observed FROM (SELECT DISTINCT supplier FROM l) s CROSS JOIN (SELECT DISTINCT flags FROM l) f
+      LEFT JOIN o ON o.supplier = s.supplier AND o.flags = f.flags),
+e AS (SELECT *, sum(observed) OVER (PARTITION BY supplier) * sum(observed) OVER (PARTITION BY flags) / sum(observed) OVER ()::DOUBLE AS expected FROM g)
+SELECT supplier, flags, observed, round(expected, 6) AS expected, round((observed - expected) / sqrt(expected), 6) AS residual FROM e""")
+def chisq_levels(t):
+    """Levels of both sides come from the rows, and many pairs do not occur."""
+    lines = t.lineitem.where("l_quantity > 49").select(F.concat("l_returnflag", "l_linestatus").alias("flags"), F.col("l_suppkey").alias("supplier"))
+    out = stats.chisq_residuals(lines, "supplier", "flags")
+    return out.withColumns({c: F.round(c, 6) for c in ("expected", "residual")})
 
 
 def _points(t):
@@ -105,10 +117,22 @@ f AS (SELECT a.k, b.s, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT k FROM c) a C
 SELECT a.k AS item1, b.k AS item2, round(sqrt(sum((a.v - b.v) ** 2)), 6) AS distance FROM f a JOIN f b ON a.s = b.s AND a.k <> b.k GROUP BY ALL""")
 def pairwise_distance(t):
     profile = count_by(t.customer, "c_nationkey", "c_mktsegment", name="v")
-    out = cooccurrence.pairwise_distance(profile, "c_nationkey", "c_mktsegment", "v")
+    out = cooccurrence.pairwise_distance(profile, "c_nationkey", "c_mktsegment", "v", complete=True, mirror=True)
     return out.withColumn("distance", F.round("distance", 6))
 
 
+@query("pairs_that_meet", """
+WITH k AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+c AS (SELECT count(DISTINCT o)::DOUBLE AS n FROM k), i AS (SELECT p, count(*)::DOUBLE AS n FROM k GROUP BY 1),
+b AS (SELECT x.p AS item1, y.p AS item2, count(*) AS n_both FROM k x JOIN k y ON x.o = y.o AND x.p < y.p GROUP BY ALL)
+SELECT item1, item2, n_both, round((c.n * n_both - x.n * y.n) / sqrt(x.n * (c.n - x.n) * y.n * (c.n - y.n)), 6) AS correlation
+FROM b JOIN i x ON x.p = item1 JOIN i y ON y.p = item2, c""")
+def pairs_that_meet(t):
+    """All parts are items; only the pairs that share an order are touched."""
+    out = cooccurrence.pairwise_phi(t.lineitem.select("l_orderkey", "l_partkey"), "l_partkey", "l_orderkey")
+    return out.withColumn("correlation", F.round("correlation", 6))
+
+
 WORDS_SQL = f"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD_SQL}', 1)) AS word FROM documents),
 """
@@ -143,22 +167,64 @@ JOIN i a ON a.word = x.item1 JOIN i b ON b.word = x.item2, c""")
 def pairwise_phi(t):
     found = word_counts(t)
     top = [r["word"] for r in top_counts(found, FEW_WORDS, "word", weight="tokens").collect()]
-    out = cooccurrence.pairwise_phi(found, "word", "doc_id", top)
+    out = cooccurrence.pairwise_phi(found, "word", "doc_id", top, complete=True, mirror=True)
     return out.withColumn("correlation", F.round("correlation", 6))
 
 
-@query("cluster_order")
+@query("cluster_order", CHISQ_SQL.replace("WITH o", "WITH RECURSIVE o", 1).rstrip() + """,
+r AS (SELECT p_brand, p_type, greatest(0, least(1, residual)) AS v FROM x),
+d AS (SELECT a.p_brand AS i, b.p_brand AS j, round(sqrt(sum((a.v - b.v) ** 2)), 9) AS w FROM r a JOIN r b ON a.p_type = b.p_type AND a.p_brand <> b.p_brand GROUP BY ALL),
+walk AS (
+  SELECT 1::BIGINT AS position, min(i) AS item, NULL::DOUBLE AS w, [min(i)] AS seen FROM d
+  UNION ALL
+  SELECT position + 1, n.j, n.w, list_append(seen, n.j) FROM (
+    SELECT position, seen, (SELECT arg_min({j: j, w: w}, {w: w, a: least(i, j), b: greatest(i, j)}) FROM d
+                            WHERE list_contains(seen, i) AND NOT list_contains(seen, j)) AS n FROM walk) WHERE n IS NOT NULL)
+SELECT item AS p_brand, position, round(w, 6) AS distance FROM walk""")
 def cluster_order(t):
-    residuals = stats.clipped_residuals(stats.chisq_residuals(t.part, "p_brand", "p_type", TYPES))
-    groups = stats.similarity_groups(residuals, "p_brand", "p_type", TYPES, "residual", k=4)
-    return number_rows(groups, ["cluster", "distance", "p_brand"], name="p_brand_ord")
+    residuals = stats.clipped_residuals(stats.chisq_residuals(t.part, "p_brand", "p_type"))
+    far = cooccurrence.pairwise_distance(residuals, "p_brand", "p_type", "residual").withColumn("distance", F.round("distance", 9))
+    return stats.similarity_order(far, "p_brand").withColumn("distance", F.round("distance", 6))
+
+
+def axes_sql(columns: list[str], k: int, squarings: int = 40) -> str:
+    """Tables v1 to vk with the first axes of the correlations of table ``t``: a matrix that is squared again and again becomes
+    the projection on its leading axis; that axis is taken out for the next. Table ``s`` has means and deviations."""
+    n = len(columns)
+    cells = [(i, j) for i in range(n) for j in range(n)]
+    out = "s AS (SELECT " + ", ".join([f"avg({c}) AS m{i}, stddev_pop({c}) AS d{i}" for i, c in enumerate(columns)]
+                                       + [f"corr({columns[i]}, {columns[j]}) AS c{i}{j}" for i, j in cells if j < i]) + " FROM t),\n"
+    out += "g1 AS (SELECT " + ", ".join(("1.0::DOUBLE" if i == j else f"c{max(i, j)}{min(i, j)}") + f" AS a{i}{j}" for i, j in cells) + " FROM s),\n"
+    size = " + ".join(f"a{i}{j} * a{i}{j}" for i, j in cells)
+    for a in range(1, k + 1):
+        names = ", ".join(f"a{i}{j}" for i, j in cells)
+        squared = ", ".join("(" + " + ".join(f"a{i}{x} * a{x}{j}" for x in range(n)) + f") / ({size}) AS a{i}{j}" for i, j in cells)
+        out += f"p{a} AS (SELECT 0 AS step, {names} FROM g{a} UNION ALL SELECT step + 1, {squared} FROM p{a} WHERE step < {squarings}),\n"
+        lead = lambda i: " ".join(f"WHEN a{j}{j} = greatest({', '.join(f'a{x}{x}' for x in range(n))}) THEN a{i}{j} / sqrt(a{j}{j})" for j in range(n))
+        out += f"v{a} AS (SELECT " + ", ".join(f"CASE {lead(i)} END AS v{i}" for i in range(n)) + f" FROM p{a} WHERE step = {squarings}),\n"
+        value = " + ".join(f"v{i} * a{i}{j} * v{j}" for i, j in cells)
+        if a < k:
+            out += f"g{a + 1} AS (SELECT " + ", ".join(f"a{i}{j} - ({value}) * v{i} * v{j} AS a{i}{j}" for i, j in cells) + f" FROM g{a}, v{a}),\n"
+    return out
+
+
+def on_axes(columns: list[str], k: int, digits: int = 4) -> str:
+    return ", ".join(f"round({' + '.join(f'(t.{c} - s.m{i}) / s.d{i} * v{a}.v{i}' for i, c in enumerate(columns))}, {digits}) + 0 AS axis_{a}"
+                     for a in range(1, k + 1))
+
+
+AXES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("embed_2d", "WITH RECURSIVE t AS (SELECT * FROM lineitem),\n" + axes_sql(AXES, 2).rstrip(",\n")
+       + f"\nSELECT l_orderkey, l_linenumber, {on_axes(AXES, 2)} FROM t, s, v1, v2")
+def embed_2d(t):
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", *AXES)
+    return rounded_axes(stats.principal_axes(lines, AXES)).drop(*AXES)
 
 
-@query("embed_2d")
-def embed_2d(t):
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", *columns)
-    return stats.principal_axes(lines, columns).select("l_orderkey", "l_linenumber", "axis_1", "axis_2")
+def rounded_axes(df, digits: int = 4):
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in df.columns if c.startswith("axis_")})
 
 
 @query("cumulative_median", """
@@ -237,11 +303,11 @@ SELECT "from", "to", CASE WHEN w > 0 AND w <= 0.065 THEN 'weak' WHEN w > 0.065 A
 def graph_tables(t):
     found = word_counts(t)
     top = top_counts(found, MANY_WORDS, "word", weight="tokens").collect()  # a top-k
-    phi = cooccurrence.pairwise_phi(found, "word", "doc_id", [r["word"] for r in top]).where("correlation > 0")
+    phi = cooccurrence.pairwise_phi(found, "word", "doc_id", [r["word"] for r in top], mirror=True).where("correlation > 0")
     edges = phi.select(F.col("item1").alias("from"), F.col("item2").alias("to"), F.when(F.col("correlation") <= 0.065, "weak").when(
         F.col("correlation") <= 0.13, "middle").otherwise("strong").alias("strength"))
-    counts = literal_table(t.spark, [tuple(r) for r in top], "from string, from_n bigint")
-    return edges.join(F.broadcast(counts), "from")
+    vertices = literal_table(t.spark, [tuple(r) for r in top], "word string, n bigint")
+    return graph.with_vertices(edges, F.broadcast(vertices), "word").drop("to_n")
 
 
 @query("adjacency_union", """
@@ -272,7 +338,7 @@ e AS (SELECT a.day, a.event_type AS "from", b.event_type AS "to", sum(a.n)::BIGI
 
 def _daily_edges(t):
     counts = t.events.groupBy(F.to_date("ts").alias("day"), "user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return graph.interaction_edges(counts, ["day"], ["user_id"], "event_type", EVENT_TYPES, "n")
+    return graph.interaction_edges(counts, ["day"], ["user_id"], "event_type", "n")
 
 
 @query("interaction_edges", EDGES_SQL + "SELECT * FROM e")
@@ -340,6 +406,17 @@ def polygon_centroid(t):
     return out.select("s_suppkey", F.round("area", 6).alias("area"), F.round("cx", 6).alias("cx"), F.abs(F.round("cy", 6)).alias("cy"))
 
 
+@query("polygon_main_part", """
+SELECT n_nationkey, CASE WHEN odd THEN 3 ELSE 0 END AS ring, CASE WHEN odd THEN 0 ELSE 1 END::BIGINT AS n_holes, CASE WHEN odd THEN 25 ELSE 15 END::DOUBLE AS area,
+       round(CASE WHEN odd THEN x + 22.5 ELSE (16 * (x + 2) - (x + 1.5)) / 15 END, 6) AS cx, round(CASE WHEN odd THEN 2.5 ELSE (16 * 2 - 1.5) / 15 END, 6) AS cy
+FROM (SELECT n_nationkey, n_nationkey % 2 = 1 AS odd, n_nationkey * 100.0::DOUBLE AS x FROM nation)""")
+def polygon_main_part(t):
+    """Shapes of a square with a hole, a triangle and a third square that is the largest part of every other shape."""
+    shapes = rings_from_json(t.nation.select("n_nationkey", nested_shape("n_nationkey").alias("shape")), "shape").drop("hole")
+    out = rings.main_part(shapes, ["n_nationkey"])
+    return out.select("n_nationkey", "ring", "n_holes", *[F.round(c, 6).alias(c) for c in ("area", "cx", "cy")])
+
+
 @query("ring_vertices", """
 SELECT n_nationkey, ring::INT AS ring, seq::INT AS seq, (n_nationkey + seq)::DOUBLE AS x, (ring * 10 + seq * seq)::DOUBLE AS y, ring > 0 AS hole
 FROM nation, range(2) a(ring), range(3) b(seq)""")
@@ -369,7 +446,13 @@ def circle_layout(t):
     return placed.select("n_name", (F.round(at["x"], 6) + 0.0).alias("x"), (F.round(at["y"], 6) + 0.0).alias("y"))
 
 
-MEASURES_SQL = """
+def measures_sql(by: str, p: str = "") -> str:
+    """Tables m, s and f (with a suffix): mean measures by a column of part, scaled to 0..1, in long form."""
+    return MEASURE_TABLES.replace("WITH ", "").replace("p_type", by).replace("m AS (", f"m{p} AS (").replace("s AS (", f"s{p} AS (").replace(
+        "f AS (", f"f{p} AS (").replace("FROM m)", f"FROM m{p})").replace("FROM s WHERE", f"FROM s{p} WHERE").strip()
+
+
+MEASURE_TABLES = """
 WITH m AS (SELECT p_type, avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax,
              avg(l_linenumber) AS l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
 s AS (SELECT p_type, unnest([{feature: 'discount', v: (l_discount - min(l_discount) OVER ()) / (max(l_discount) OVER () - min(l_discount) OVER ())},
@@ -379,14 +462,16 @@ s AS (SELECT p_type, unnest([{feature: 'discount', v: (l_discount - min(l_discou
    {feature: 'tax', v: (l_tax - min(l_tax) OVER ()) / (max(l_tax) OVER () - min(l_tax) OVER ())}]) AS q FROM m),
 f AS (SELECT p_type, q.feature AS feature, q.v AS v, list_position(['discount','extendedprice','linenumber','quantity','tax'], q.feature) AS no FROM s WHERE q.v <> 0)
 """
+MEASURES_SQL = MEASURE_TABLES
 PETAL_COLUMNS = ["x1", "y1", "x2", "y2", "x3", "y3", "x0", "y0", "r"]
 
 
-def type_features(t):
-    """Mean line measures per part type, scaled to 0..1, in long form with the number of the feature."""
+def type_features(t, by="p_type"):
+    """Mean line measures per part type (or another column), scaled to 0..1, in long form with the number of the feature."""
     measures = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     sums = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in measures])
-    means = sums.join(t.part.select("p_partkey", "p_type"), "p_partkey").groupBy("p_type").agg(
+    kinds = t.part.select("p_partkey", F.col(by) if isinstance(by, str) else by)
+    means = sums.join(kinds, "p_partkey").groupBy(kinds.columns[1]).agg(
         *[(F.sum(c) / F.sum("n")).alias(c) for c in measures])
     long = longer(rescale01(materialise(means), measures), measures, "feature", "v", prefix="l_").where("v <> 0")
     names = sorted(c[2:] for c in measures)
@@ -451,6 +536,15 @@ def label_angle(t):
     return rows.select("vec_id", F.round(geometry.upright_angle("x", "y"), 6).alias("upright"), F.round(geometry.radial_angle(angle), 6).alias("radial"))
 
 
+# Room around a node and between the two directions of a link, as in ``geometry.link_ends``.
+LINK_SQL = """w AS (SELECT *, CASE WHEN s = 1 THEN atan2(y1 - y0, x1 - x0) ELSE atan2(y0 - y1, x0 - x1) END AS g FROM l)
+SELECT {keys}, s::INT AS direction,
+  round(CASE WHEN s = 1 THEN x0 + (r0 + 0.06) * cos(g) ELSE x1 + (r1 + 0.06) * cos(g) END - s * 0.05 * sin(g), 5) + 0 AS x_from,
+  round(CASE WHEN s = 1 THEN y0 + (r0 + 0.06) * sin(g) ELSE y1 + (r1 + 0.06) * sin(g) END + s * 0.05 * cos(g), 5) + 0 AS y_from,
+  round(CASE WHEN s = 1 THEN x1 - (r1 + 0.06) * cos(g) ELSE x0 - (r0 + 0.06) * cos(g) END - s * 0.05 * sin(g), 5) + 0 AS x_to,
+  round(CASE WHEN s = 1 THEN y1 - (r1 + 0.06) * sin(g) ELSE y0 - (r0 + 0.06) * sin(g) END + s * 0.05 * cos(g), 5) + 0 AS y_to FROM w"""
+
+
 @query("link_offset", EDGES_SQL + """,
 n AS (SELECT day, event_type, sum(n)::DOUBLE AS n FROM c GROUP BY ALL),
 p AS (SELECT day, event_type, cos((list_position(['click','error','purchase','signup','view'], event_type) - 1) * pi() / 3) AS x,
@@ -458,12 +552,7 @@ p AS (SELECT day, event_type, cos((list_position(['click','error','purchase','si
 l AS (SELECT e.day, e."from", e."to", a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, a.rad AS r0, b.rad AS r1,
         CASE WHEN b.x > a.x OR (b.x = a.x AND b.y > a.y) THEN 1 ELSE -1 END AS s
       FROM e JOIN p a ON a.day = e.day AND a.event_type = e."from" JOIN p b ON b.day = e.day AND b.event_type = e."to"),
-w AS (SELECT *, CASE WHEN s = 1 THEN atan2(y1 - y0, x1 - x0) ELSE atan2(y0 - y1, x0 - x1) END AS g FROM l)
-SELECT day, "from", "to", s::INT AS direction,
-  round(CASE WHEN s = 1 THEN x0 + (r0 + 0.06) * cos(g) ELSE x1 + (r1 + 0.06) * cos(g) END - s * 0.05 * sin(g), 5) + 0 AS x_from,
-  round(CASE WHEN s = 1 THEN y0 + (r0 + 0.06) * sin(g) ELSE y1 + (r1 + 0.06) * sin(g) END + s * 0.05 * cos(g), 5) + 0 AS y_from,
-  round(CASE WHEN s = 1 THEN x1 - (r1 + 0.06) * cos(g) ELSE x0 - (r0 + 0.06) * cos(g) END - s * 0.05 * sin(g), 5) + 0 AS x_to,
-  round(CASE WHEN s = 1 THEN y1 - (r1 + 0.06) * sin(g) ELSE y0 - (r0 + 0.06) * sin(g) END + s * 0.05 * cos(g), 5) + 0 AS y_to FROM w""")
+""" + LINK_SQL.format(keys='day, "from", "to"'))
 def link_offset(t):
     nodes = t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     nodes = scale_max(nodes, "n", [], "size").withColumn("rad", F.sqrt("size") / 2)

@@ -1,37 +1,59 @@
 """Functions of the user on columns and groups."""
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators.custom import aggregate_groups, map_groups, scalar_function
+from ..operators.custom import aggregate_groups, fold_groups, scalar_function
 from ..sources.polygons import star_polygons
 from .registry import query
 
 
-def _initials(names: pd.Series) -> pd.Series:
-    return names.str.split(" ").map(lambda parts: "".join(p[0] for p in parts))
+def _luhn(numbers: pd.Series) -> pd.Series:
+    """Check digit of each number: every second digit from the right counts double, its digits added up."""
+    rest, total, double = numbers.astype("int64"), pd.Series(0, numbers.index, dtype="int64"), True
+    while (rest > 0).any():
+        digit = rest % 10 * (2 if double else 1)
+        total += digit // 10 + digit % 10
+        rest, double = rest // 10, not double
+    return (-total) % 10
 
 
 @query("udf_scalar", """
-SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '') AS initials FROM part""")
+WITH d AS (SELECT p_partkey, unnest(range(1, length(p_partkey::VARCHAR) + 1)) AS i, reverse(p_partkey::VARCHAR) AS t FROM part),
+e AS (SELECT p_partkey, t[i]::INT * CASE WHEN i % 2 = 1 THEN 2 ELSE 1 END AS v FROM d)
+SELECT p_partkey, ((10 - sum(v // 10 + v % 10) % 10) % 10)::BIGINT AS check_digit FROM e GROUP BY 1""")
 def udf_scalar(t):
-    return t.part.select("p_partkey", scalar_function(_initials, "string")("p_name").alias("initials"))
+    """A loop whose length depends on the data, over whole batches."""
+    return t.part.select("p_partkey", scalar_function(_luhn, "bigint")("p_partkey").alias("check_digit"))
 
 
-def _largest(values: pd.Series) -> float:
-    return float(values.max())
+def _log_total(values: pd.Series) -> float:
+    """Logarithm of a sum of exponentials, without overflow; partial results add up the same way."""
+    top = float(values.max())
+    return top + math.log(float(np.exp(values.to_numpy(float) - top).sum()))
 
 
-@query("udf_aggregate", "SELECT l_returnflag, l_suppkey, max(l_extendedprice) AS largest FROM lineitem GROUP BY ALL")
+@query("udf_aggregate", """
+WITH m AS (SELECT l_returnflag, l_suppkey, max(l_extendedprice) AS top FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, l_suppkey, round(any_value(top) + ln(sum(exp(l_extendedprice - top))), 6) AS log_total FROM lineitem JOIN m USING (l_returnflag, l_suppkey) GROUP BY ALL""")
 def udf_aggregate(t):
     lines = t.lineitem.select("l_returnflag", "l_suppkey", "l_extendedprice")
-    return aggregate_groups(lines, ["l_returnflag", "l_suppkey"], _largest, _largest, "l_extendedprice", "double", "largest")
+    out = aggregate_groups(lines, ["l_returnflag", "l_suppkey"], _log_total, _log_total, "l_extendedprice", "double", "log_total")
+    return out.withColumn("log_total", F.round("log_total", 6))
+
+
+def _walk(state, ring: pd.DataFrame):
+    """First point, last point and length of a stretch of a ring."""
+    x, y = ring["x"].to_numpy(), ring["y"].to_numpy()
+    own = (x[0], y[0]), (x[-1], y[-1]), float(np.hypot(np.diff(x), np.diff(y)).sum())
+    return own if state is None else _join(state, own)
 
 
-def _perimeter(ring: pd.DataFrame) -> pd.DataFrame:
-    ring = ring.sort_values("seq")
-    dx, dy = ring.x.diff().fillna(ring.x.iloc[0] - ring.x.iloc[-1]), ring.y.diff().fillna(ring.y.iloc[0] - ring.y.iloc[-1])
-    return pd.DataFrame({"s_suppkey": ring.s_suppkey.iloc[:1], "perimeter": ((dx ** 2 + dy ** 2) ** 0.5).sum()})
+def _join(left, right):
+    return left[0], right[1], left[2] + right[2] + math.dist(left[1], right[0])
 
 
 @query("udf_per_group", """
@@ -39,5 +61,6 @@ WITH v AS (SELECT s_suppkey, seq, s_suppkey + CASE WHEN seq % 2 = 0 THEN 1.0 ELS
              CASE WHEN seq % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE * sin(seq * 2 * pi() / 10) AS y FROM supplier, range(10) r(seq))
 SELECT a.s_suppkey, round(sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS perimeter FROM v a JOIN v b ON a.s_suppkey = b.s_suppkey AND b.seq = (a.seq + 1) % 10 GROUP BY 1""")
 def udf_per_group(t):
-    out = map_groups(star_polygons(t.supplier, "s_suppkey"), ["s_suppkey"], _perimeter, "s_suppkey bigint, perimeter double")
+    ring = star_polygons(t.supplier, "s_suppkey")
+    out = fold_groups(ring, ["s_suppkey"], ["seq"], _walk, _join, lambda s: {"perimeter": s[2] + math.dist(s[1], s[0])}, "perimeter double")
     return out.withColumn("perimeter", F.round("perimeter", 6))

@@ -76,7 +76,7 @@ SELECT a.event_type AS "from", b.event_type AS "to", sum(a.n)::BIGINT AS weight
 FROM c a JOIN c b ON a.user_id = b.user_id AND a.day = b.day AND a.event_type <> b.event_type GROUP BY ALL""")
 def pair_edges(t):
     counts = t.events.groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return interaction_edges(counts, [], ["user_id", "day"], "event_type", EVENT_TYPES, "n")
+    return interaction_edges(counts, [], ["user_id", "day"], "event_type", "n")
 
 
 @query("cross_dims", """

@@ -163,7 +163,7 @@ SELECT * FROM r WHERE row_number IN (1, 2, 3, 5, 8, 13) OR row_number BETWEEN 10
 def slice_index(t):
     at = F.col("row_number")
     return o.slice_rows(t.orders.select("o_orderkey", "o_totalprice"), at.isin(1, 2, 3, 5, 8, 13) | at.between(100, 110),
-                        ["o_totalprice", "o_orderkey"]).drop("o_totalprice")
+                        ["o_totalprice", "o_orderkey"], last=110).drop("o_totalprice")
 
 
 @query("sort_by_level", """

@@ -6,7 +6,7 @@ from ..functions.dates import WEEKDAYS, weekday_index
 from ..functions.nulls import safe_cast
 from ..operators.project import table_shape
 from ..operators.reshape import union_by_name
-from ..session import scratch_path
+from ..session import remove_at_exit, scratch_path
 from ..sources.delimited import read_csv, read_csv2, typed, write_csv
 from ..sources.markup import extract_attribute, with_tag
 from ..sources.polygons import star_polygons
@@ -19,7 +19,7 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, nullif(o
 FROM orders""")
 def read_csv_roundtrip(t):
     rows = t.orders.withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
-    path = scratch_path(t.spark, "csv")
+    path = remove_at_exit(t.spark, scratch_path(t.spark, "csv"))
     write_csv(rows, path)
     return read_csv(t.spark, path, rows.schema)
 
@@ -27,28 +27,28 @@ def read_csv_roundtrip(t):
 @query("read_csv_text", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def read_csv_text(t):
     """Text with quotes, separators and line breaks survives the round trip."""
-    path = scratch_path(t.spark, "read-csv-text")
+    path = remove_at_exit(t.spark, scratch_path(t.spark, "read-csv-text"))
     write_csv(t.documents, path)
     return read_csv(t.spark, path, t.documents.schema)
 
 
 @query("read_csv_inferred", "SELECT p_name, p_size, p_retailprice, p_partkey::int AS p_partkey FROM part")
 def read_csv_inferred(t):
-    path = scratch_path(t.spark, "read-csv-inferred")
+    path = remove_at_exit(t.spark, scratch_path(t.spark, "read-csv-inferred"))
     write_csv(t.part.select("p_name", "p_size", "p_retailprice", "p_partkey"), path)
     return read_csv(t.spark, path)
 
 
 @query("read_csv_headerless", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer")
 def read_csv_headerless(t):
-    path = scratch_path(t.spark, "csv")
+    path = remove_at_exit(t.spark, scratch_path(t.spark, "csv"))
     write_csv(t.customer.select("c_custkey", "c_name", "c_mktsegment"), path, header=False)
     return read_csv(t.spark, path, "a bigint, b string, c string", header=False, column_names=["id", "name", "segment"])
 
 
 @query("read_csv2", "SELECT p_partkey, p_name, p_retailprice FROM part")
 def read_decimal_comma(t):
-    path = scratch_path(t.spark, "csv")
+    path = remove_at_exit(t.spark, scratch_path(t.spark, "csv"))
     comma = F.translate(F.col("p_retailprice").cast("string"), ".", ",").alias("p_retailprice")
     write_csv(t.part.select("p_partkey", "p_name", comma), path, sep=";")
     return read_csv2(t.spark, path, {"p_partkey": "bigint", "p_name": "string", "p_retailprice": "double"})

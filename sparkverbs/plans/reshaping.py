@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reshape as r
 from ..operators.ordered import chunk_rows as number_chunks
+from ..session import materialise
 from .registry import query
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -69,14 +70,14 @@ def pivot_fill(t):
 
 @query("pivot_multi", """
 WITH g AS (SELECT c_mktsegment, year(o_orderdate) AS y, count(*) AS total, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
-SELECT c_mktsegment, max(CASE WHEN y = 1995 THEN total END) AS total_1995, max(CASE WHEN y = 1995 THEN top END) AS top_1995,
-       max(CASE WHEN y = 2000 THEN total END) AS total_2000, max(CASE WHEN y = 2000 THEN top END) AS top_2000 FROM g GROUP BY 1""")
+SELECT c_mktsegment, """ + ", ".join(f"max(CASE WHEN y = {y} THEN {c} END) AS {c}_{y}" for y in range(1995, 2002) for c in ("total", "top")) + """
+FROM g GROUP BY 1""")
 def pivot_multi(t):
     by_customer = t.orders.groupBy(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("y")).agg(
         F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("m"))
     g = by_customer.join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey").groupBy("c_mktsegment", "y").agg(
         F.sum("n").alias("total"), F.max("m").alias("top"))
-    return r.wider_multi(g, ["c_mktsegment"], "y", [1995, 2000], ["total", "top"])
+    return r.wider_multi(materialise(g), ["c_mktsegment"], "y", None, ["total", "top"])
 
 
 @query("pivot_table", """
@@ -84,8 +85,8 @@ SELECT l_suppkey, """ + ", ".join(
     f"round(coalesce(avg(CASE WHEN l_linenumber = {i} THEN l_quantity END), 0), 6) AS \"{i}\"" for i in range(1, 8)) + """
 FROM lineitem GROUP BY 1""")
 def pivot_table(t):
-    out = r.pivot_table(t.lineitem, ["l_suppkey"], "l_linenumber", list(range(1, 8)), "l_quantity", fill=0.0)
-    return out.select("l_suppkey", *[F.round(str(i), 6).alias(str(i)) for i in range(1, 8)])
+    out = r.pivot_table(t.lineitem, ["l_suppkey"], "l_linenumber", None, "l_quantity", fill=0.0)
+    return out.select("l_suppkey", *[F.round(c, 6).alias(c) for c in out.columns if c != "l_suppkey"])
 
 
 @query("unnest_list", """

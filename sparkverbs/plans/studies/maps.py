@@ -6,9 +6,9 @@ from ...functions import text as s
 from ...functions.nulls import any_present
 from ...functions.numeric import divide
 from ...operators import density, frames
-from ...operators.aggregates import count_by, within_fence
+from ...operators.aggregates import count_by, median_iqr
 from ...operators.joins import join_on
-from ...operators.levels import lump
+from ...operators.levels import lump, order_from, with_level_order
 from ...operators.ordered import number_rows
 from ...operators.project import clean_names
 from ...operators.reshape import longer
@@ -44,36 +44,62 @@ def study_plastic(t):
     return longer(out, ["mismanaged", "total"], "measure", "value")
 
 
-# Thresholds of the meteorite study, at the size of this data.
-GROUPS, CLASSES, SIZE, FENCE, BEST = 50, 4, 20, 2.0, 3
-
-
-@query("study_meteor", """
+# Thresholds of the meteorite study, at the size of this data, and finds that no fence leaves out.
+GROUPS, CLASSES, SIZE, FENCE, BEST, EXEMPT = 50, 4, 20, 0.45, 3, [1, 2, 7]
+METEOR_SQL = f"""
 WITH p AS (SELECT p_partkey, p_name AS grp, CASE WHEN regexp_matches(p_type, '^S') THEN 'S' WHEN regexp_matches(p_type, '^PROMO') THEN 'P' ELSE p_type END AS class FROM part),
-l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS mass, grp, class FROM lineitem JOIN p ON l_partkey = p_partkey WHERE l_quantity > 0),
-kg AS (SELECT grp FROM l GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 50),
-kc AS (SELECT class FROM l GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 4),
+l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS mass, l_quantity AS x, l_discount AS y, grp, class FROM lineitem JOIN p ON l_partkey = p_partkey
+      WHERE l_quantity BETWEEN 1 AND 49 AND l_discount > 0),
+kg AS (SELECT grp FROM l GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= {GROUPS}),
+kc AS (SELECT class FROM l GROUP BY 1 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= {CLASSES}),
 k AS (SELECT * REPLACE (CASE WHEN class IN (SELECT class FROM kc) THEN class ELSE 'Other' END AS class) FROM l WHERE grp IN (SELECT grp FROM kg)),
-s AS (SELECT grp, count(DISTINCT l_partkey) AS group_size, median(mass) AS m, quantile_cont(mass, 0.75) - quantile_cont(mass, 0.25) AS w FROM k GROUP BY 1),
-f AS (SELECT k.*, group_size FROM k JOIN s USING (grp) WHERE abs(mass - m) <= 2 * w AND group_size >= 20),
-t AS (SELECT * FROM f QUALIFY rank() OVER (PARTITION BY grp ORDER BY mass DESC) <= 3),
-n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY mass DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM t)
-SELECT l_orderkey, l_linenumber, l_partkey, grp, class, group_size, mass, rank, rank || '. ' || grp || ' (' ||
-  CASE WHEN mass / 1000 < 100 THEN printf('%.1fkg', round_even(mass / 1000, 1)) ELSE printf('%dkg', round_even(mass / 1000, 0)::BIGINT) END || ')' AS label FROM n""")
-def study_meteor(t):
+s AS (SELECT grp, count(DISTINCT l_partkey) AS group_size, median(x) AS median_x, median(y) AS median_y, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS wx,
+        quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS wy FROM k GROUP BY 1),
+f AS (SELECT k.*, group_size, median_x, median_y FROM k JOIN s USING (grp) WHERE group_size >= {SIZE}
+      AND (abs(x - median_x) <= {FENCE} * wx OR l_orderkey IN {tuple(EXEMPT)}) AND (abs(y - median_y) <= {FENCE} * wy OR l_orderkey IN {tuple(EXEMPT)})),
+o AS (SELECT grp, row_number() OVER (ORDER BY any_value(group_size), grp) AS grp_ord FROM f GROUP BY 1)
+"""
+
+
+def _meteorites(t):
+    """Finds within both fences of their group, or exempt from them, with the statistics of the group."""
     name = s.replace_all(s.replace_all(s.replace_all("p_name", r"\d"), r"\(.*\)"), r"\s\w$")
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"), F.trim(name).alias("grp"),
                           s.classify("p_type", [("^S", "S"), ("^PROMO", "P")]).alias("class"))
-    finds = t.lineitem.where("l_quantity > 0").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("mass"))
+    finds = t.lineitem.where("l_quantity between 1 and 49 and l_discount > 0").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("mass"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
     # frequencies and group sizes come from one row per part; the finds themselves are joined once
     seen = materialise(count_by(finds, "l_partkey").join(parts, "l_partkey"))
     rows = lump(finds.join(parts, "l_partkey"), "grp", GROUPS, counts=count_by(seen, "grp", weight="n"))
     rows = lump(rows, "class", CLASSES, counts=count_by(seen, "class", weight="n")).where("grp <> 'Other'")
     sizes = seen.groupBy("grp").agg(F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") >= SIZE)
     rows = materialise(rows.join(sizes, "grp"))
-    inside = within_fence(rows, "mass", ["grp"], FENCE)
-    best = number_rows(top_n(inside, BEST, "mass", ["grp"]), [F.col("mass").desc(), "l_orderkey", "l_linenumber", "l_partkey"], ["grp"], name="rank")
-    return best.withColumn("label", s.paste("rank", F.lit(". "), "grp", F.lit(" ("), s.format_kg("mass"), F.lit(")")))
+    inside = rows
+    for c in "xy":
+        inside = join_on(inside, median_iqr(rows, c, ["grp"], f"median_{c}", f"w{c}"), ["grp"])
+    exempt = F.col("l_orderkey").isin(EXEMPT)
+    for c in "xy":
+        inside = inside.where((F.abs(F.col(c) - F.col(f"median_{c}")) <= FENCE * F.col(f"w{c}")) | exempt)
+    inside = materialise(inside.drop("wx", "wy"))
+    order = order_from(inside.select("grp", "group_size").distinct(), "grp", ["group_size"], bounded=True)
+    return with_level_order(inside, "grp", order).withColumn("grp_ord", F.col("grp_ord").cast("bigint"))
+
+
+@query("study_meteor", METEOR_SQL + f""",
+t AS (SELECT * FROM f QUALIFY rank() OVER (PARTITION BY grp ORDER BY mass DESC) <= {BEST}),
+n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY mass DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey, grp, class, group_size, grp_ord, mass, rank, rank || '. ' || grp || ' (' ||
+  CASE WHEN mass / 1000 < 100 THEN printf('%.1fkg', round_even(mass / 1000, 1)) ELSE printf('%dkg', round_even(mass / 1000, 0)::BIGINT) END || ')' AS label FROM n JOIN o USING (grp)""")
+def study_meteor(t):
+    best = number_rows(top_n(_meteorites(t), BEST, "mass", ["grp"]), [F.col("mass").desc(), "l_orderkey", "l_linenumber", "l_partkey"], ["grp"], name="rank")
+    best = best.withColumn("label", s.paste("rank", F.lit(". "), "grp", F.lit(" ("), s.format_kg("mass"), F.lit(")")))
+    return best.drop("x", "y", "median_x", "median_y")
+
+
+@query("study_meteor_groups", METEOR_SQL + """
+SELECT grp, grp_ord, any_value(group_size) AS group_size, any_value(median_x) AS median_x, round(any_value(median_y), 6) AS median_y FROM f JOIN o USING (grp) GROUP BY ALL""")
+def study_meteor_groups(t):
+    return _meteorites(t).groupBy("grp", "grp_ord").agg(*[F.min(c).alias(c) for c in ("group_size", "median_x")], F.round(F.min("median_y"), 6).alias("median_y"))
 
 
 UFO_SQL = """

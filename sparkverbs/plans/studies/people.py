@@ -7,34 +7,38 @@ from ...functions.nulls import any_present, case_when, in_set, not_in_set, same_
 from ...functions.numeric import sqrt_scale
 from ...operators.aggregates import count_by, exact_quantiles
 from ...operators.graph import adjacency
-from ...operators.joins import expand_until, join_on, natural_join, rows_in, set_difference
-from ...operators.levels import median_order
+from ...operators.joins import expand_until, join_on, natural_join, rows_in
+from ...operators.levels import order_from, with_level_order
 from ...operators.ordered import number_rows
 from ...operators.project import clean_names
 from ...operators.reshape import fill_sequence, wider_multi
 from ...operators.rings import segments
-from ...operators.windows import first_rows, top_n, with_group_stats
-from ...session import materialise, scratch_path
+from ...operators.windows import first_rows, top_n
+from ...session import materialise, remove_at_exit, scratch_path
 from ...sources.delimited import read_csv, write_csv
 from ..registry import query
 
 
 @query("study_tennis", """
 WITH n AS (SELECT c_custkey, c_mktsegment, count(*) AS wins FROM orders JOIN customer ON o_custkey = c_custkey
-           WHERE o_orderstatus IN ('F', 'P') AND c_acctbal > 0 GROUP BY ALL),
+           WHERE o_orderstatus = 'F' AND c_acctbal > 0 GROUP BY ALL),
 top AS (SELECT c_custkey FROM n QUALIFY rank() OVER (PARTITION BY c_mktsegment ORDER BY wins DESC) <= 4),
 o AS (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_custkey IN (SELECT c_custkey FROM top)),
-e AS (SELECT o_custkey AS "from", o_orderpriority AS "to", count(*) AS n FROM o GROUP BY ALL UNION ALL
-      SELECT o_custkey, year(o_orderdate)::VARCHAR, count(*) FROM o GROUP BY ALL UNION ALL
+e AS (SELECT o_custkey AS "from", o_orderpriority AS "to", count(*) AS n FROM o WHERE o_orderstatus = 'F' GROUP BY ALL UNION ALL
+      SELECT o_custkey, year(o_orderdate)::VARCHAR, count(*) FROM o WHERE o_orderstatus = 'F' GROUP BY ALL UNION ALL
       SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'Champion' ELSE 'Finalist' END, count(*) FROM o GROUP BY ALL)
 SELECT *, CASE WHEN "to" = '1996' THEN 'a' WHEN "to" = 'Champion' THEN 'b' WHEN regexp_matches("to", '^[1-5]-') THEN 'c' ELSE 'd' END AS colour FROM e""")
 def study_tennis(t):
     outcome = case_when((F.col("o_orderstatus") == "F", "Champion"), (F.col("o_orderstatus") == "P", "Finalist"))
     games = t.orders.select("o_custkey", "o_orderpriority", outcome.alias("outcome"), F.year("o_orderdate").alias("year")).where("outcome is not null")
     players = t.customer.where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
-    wins = join_on(count_by(games, "o_custkey", name="wins"), players, [("o_custkey", "c_custkey")], "left").where("c_mktsegment is not null")
+    won = F.col("outcome") == "Champion"
+    wins = join_on(count_by(games.where(won), "o_custkey", name="wins"), players, [("o_custkey", "c_custkey")], "left").where("c_mktsegment is not null")
     best = top_n(materialise(wins), 4, "wins", ["c_mktsegment"])
-    edges = adjacency(rows_in(games, "o_custkey", best), "o_custkey", ["o_orderpriority", "year", "outcome"])
+    mine = rows_in(games, "o_custkey", best)
+    # places and years count for champions only, so they are missing on the other rows
+    shown = mine.select("o_custkey", *[F.when(won, F.col(c)).alias(c) for c in ("o_orderpriority", "year")], "outcome")
+    edges = adjacency(shown, "o_custkey", ["o_orderpriority", "year", "outcome"]).where("to is not null")
     colour = case_when((same_text("to", 1996), "a"), (same_text("to", "Champion"), "b"), (F.col("to").rlike("^[1-5]-"), "c"), default="d")
     return edges.select("from", "to", "n", colour.alias("colour"))
 
@@ -60,24 +64,20 @@ def study_anime(t):
 @query("study_nobel", """
 WITH d AS (SELECT DISTINCT o_orderpriority AS category, o_orderkey, (year(l_shipdate) - year(o_orderdate))::INT AS years
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-x AS (SELECT *, max(years) OVER w AS hi, min(years) OVER w AS lo FROM d WINDOW w AS (PARTITION BY category)),
-m AS (SELECT category, round(avg(years), 6) AS mean_years, max(hi) AS longest, min(lo) AS shortest FROM x GROUP BY 1),
-r AS (SELECT category, count(*) AS n_rest, median(years) AS md FROM x WHERE years <> hi AND years <> lo GROUP BY 1)
-SELECT category, mean_years, longest, shortest, n_rest, row_number() OVER (ORDER BY md, category) AS category_ord FROM m JOIN r USING (category)""")
+m AS (SELECT category, avg(years) AS mean_years, max(years) AS hi, min(years) AS lo FROM d GROUP BY 1),
+o AS (SELECT category, row_number() OVER (ORDER BY mean_years, category) AS category_ord FROM m)
+SELECT category, o_orderkey, years, round(mean_years, 6) AS mean_years, hi AS longest, lo AS shortest, category_ord
+FROM d JOIN m USING (category) JOIN o USING (category) WHERE years <> hi AND years <> lo""")
 def study_nobel(t):
+    """Rows between the extremes of their category; categories are ordered by their mean."""
     shipped = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.year("l_shipdate").alias("ship_year")).distinct()
     prizes = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("category"), F.year("o_orderdate").alias("year"))
     d = shipped.join(prizes, "o_orderkey").select("category", "o_orderkey", (F.col("ship_year") - F.col("year")).alias("years")).distinct()
-    # the rest needs only how often each number of years occurs in a category
-    d = materialise(d.groupBy("category", "years").agg(F.count(F.lit(1)).alias("n")))
-    means = d.groupBy("category").agg(F.round(F.sum(F.col("years") * F.col("n")) / F.sum("n"), 6).alias("mean_years"))
-    longest, shortest = top_n(d, 1, "years", ["category"]), top_n(d, 1, "years", ["category"], bottom=True)
-    rest = set_difference(set_difference(d, longest), shortest)
-    out = means
-    for extreme, name in ((longest, "longest"), (shortest, "shortest")):
-        out = out.join(extreme.groupBy("category").agg(F.first("years").alias(name)), "category")
-    out = out.join(count_by(rest, "category", weight="n", name="n_rest"), "category")
-    return out.join(median_order(rest, "category", "years", weight="n").select("category", "category_ord"), "category")
+    d = materialise(d)
+    means = d.groupBy("category").agg(F.avg("years").alias("mean_years"), F.max("years").alias("longest"), F.min("years").alias("shortest"))
+    ordered = with_level_order(means, "category", order_from(means, "category", ["mean_years"], bounded=True))
+    rest = join_on(d, ordered, ["category"]).where((F.col("years") != F.col("longest")) & (F.col("years") != F.col("shortest")))
+    return rest.withColumn("mean_years", F.round("mean_years", 6)).withColumn("category_ord", F.col("category_ord").cast("bigint"))
 
 
 @query("study_school", """
@@ -97,7 +97,7 @@ def study_school(t):
     codes = {"Diverse": "1", "Undiverse": "0", "Extremely undiverse": "-1"}
     rows = raw.select(F.col("leaid").alias("id"), "total", F.substring("school_year", 1, 4).alias("year"), safe_cast(recode("diverse", codes), "int").alias("diverse"))
     wide = wider_multi(rows.where(in_set("year", ["1995", "2000"])), ["id"], "year", ["1995", "2000"], ["diverse", "total"]).na.drop()
-    path = scratch_path(t.spark, "csv")
+    path = remove_at_exit(t.spark, scratch_path(t.spark, "csv"))
     write_csv(wide, path)
     read = read_csv(t.spark, path, wide.schema)
     top = read.agg(F.greatest(F.max("total_1995"), F.max("total_2000"))).scalar()

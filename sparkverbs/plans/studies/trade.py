@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...functions import text as s
-from ...functions.categories import level_ordinal, relevel
+from ...functions.categories import interaction, level_ordinal, relevel
 from ...functions.dates import WEEKDAYS, weekday_index, weekday_label
 from ...functions.nulls import in_set, mean_of, not_in_set, safe_cast
 from ...operators import stats
@@ -13,6 +13,8 @@ from ...operators.levels import order_from, with_level_order
 from ...operators.ordered import number_rows
 from ...operators.reshape import longer, pivot_table, union_by_name, wider
 from ...operators.windows import share_of, zscore
+from ...session import materialise
+from ..analysis import axes_sql, on_axes, rounded_axes
 from ..registry import query
 
 # Thresholds of the popularity flags.
@@ -54,17 +56,24 @@ def study_bike(t):
 
 @query("study_econ", """
 WITH d AS (SELECT l_returnflag AS flag, l_linestatus AS status, avg(l_discount) * 10 AS discount, 1 - avg(l_discount) * 10 AS rest FROM lineitem GROUP BY ALL),
-f AS (SELECT flag, row_number() OVER (ORDER BY avg(discount) DESC, flag) AS flag_ord FROM d GROUP BY 1)
-SELECT flag, flag_ord, CASE WHEN status = 'F' THEN 'Filled lines' ELSE 'Open lines' END AS status, kind, round(v, 6) AS value
-FROM (SELECT flag, status, 'discount' AS kind, discount AS v FROM d UNION ALL SELECT flag, status, 'rest', rest FROM d) JOIN f USING (flag)""")
+f AS (SELECT flag, row_number() OVER (ORDER BY avg(discount), flag) AS flag_ord FROM d GROUP BY 1),
+n AS (SELECT status, row_number() OVER (ORDER BY avg(discount), CASE WHEN status = 'F' THEN 'Filled lines' ELSE 'Open lines' END) AS status_ord FROM d GROUP BY 1)
+SELECT flag, flag_ord, CASE WHEN status = 'F' THEN 'Filled lines' ELSE 'Open lines' END AS status, status_ord, kind, round(v, 6) AS value,
+       kind || '.' || CASE WHEN discount < rest THEN 'less' ELSE 'not_less' END AS kind_ratio
+FROM (SELECT *, 'discount' AS kind, discount AS v FROM d UNION ALL SELECT *, 'rest', rest FROM d) JOIN f USING (flag) JOIN n USING (status)""")
 def study_econ(t):
     means = t.lineitem.groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(
         (F.avg("l_discount") * 10).alias("discount"))
     both = means.withColumn("rest", F.lit(1) - F.col("discount"))
-    order = order_from(both.groupBy("flag").agg(mean_of("discount").alias("m")), "flag", [F.col("m").desc()])
     status = s.replace_all(F.when(F.col("status") == "F", "Filled_lines").otherwise("Open_lines"), "_", " ")
-    long = longer(both.withColumn("status", status), ["discount", "rest"], "kind", "value")
-    return with_level_order(long, "flag", order).withColumn("value", F.round("value", 6))
+    ratio = F.when(F.col("discount") < F.col("rest"), "less").otherwise("not_less")
+    both = materialise(both.withColumn("status", status).withColumn("ratio", ratio))  # one row per flag and status
+    long = longer(both, ["discount", "rest"], "kind", "value")
+    for level in ("flag", "status"):
+        order = order_from(both.groupBy(level).agg(mean_of("discount").alias("m")), level, ["m"], bounded=True)
+        long = with_level_order(long, level, order)
+    long = long.withColumns({"kind_ratio": interaction("kind", "ratio"), "value": F.round("value", 6)}).drop("ratio")
+    return long.withColumns({c: F.col(c).cast("bigint") for c in ("flag_ord", "status_ord")})
 
 
 @query("study_birds", """
@@ -139,9 +148,13 @@ def study_olympics(t):
     return out.orderBy(F.col("gold").desc(), F.col("silver").desc(), F.col("bronze").desc())
 
 
-@query("study_olympics_map")
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("study_olympics_map", "WITH RECURSIVE t AS (SELECT l.*, string_split(p_name, ' ')[1] AS sport FROM lineitem l JOIN part ON l_partkey = p_partkey),\n"
+       + axes_sql(MEASURES, 2).rstrip(",\n") + f"\nSELECT l_orderkey, l_linenumber, sport, {on_axes(MEASURES, 2)} FROM t, s, v1, v2")
 def study_olympics_map(t):
-    measures = ["l_quantity", "l_extendedprice", "l_discount"]
+    measures = MEASURES
     sports = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), s.split_first("p_name").alias("sport")), "l_partkey")
     rows = sports.dropna(subset=measures).select("l_orderkey", "l_linenumber", "sport", *measures)
-    return stats.principal_axes(rows, measures).drop(*measures)
+    return rounded_axes(stats.principal_axes(rows, measures)).drop(*measures)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,11 +61,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint, so that values which depend on how the rows were
-    laid out (partition numbers) stay the same in every later use, also after an executor is lost."""
+    """Write a table below the shared folder and read it back: rows are computed once, columns stay apart, and values that
+    depend on how rows were laid out (partition numbers) are the same in every later use, also after an executor is lost.
+
+    Files go when the driver ends in order.
+    """
     spark = df.sparkSession
-    folder, current = shared_folder(spark), spark.sparkContext.getCheckpointDir()
-    if current is None or urlparse(folder).path not in current:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    """Have a scratch path removed when the driver ends in order."""
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove() -> None:
+    for spark, path in _written:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone
+            return

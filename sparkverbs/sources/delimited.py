@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions.dates import parse_timestamp
 from ..functions.nulls import ColumnOrName, as_col
+from .records import records
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, header: bool = True, sep: str = ",",
-             column_names: list[str] | None = None, multi_line: bool = True) -> DataFrame:
+             column_names: list[str] | None = None, multi_line: bool | str = True) -> DataFrame:
     """Read a delimited file; ``NA`` and empty text are missing.
 
-    Quoted text may hold line breaks, so a file is one unit of work, as many files as the writer had partitions. Where no
-    value has a line break, ``multi_line=False`` lets Spark split large files.
+    multi_line  True: quoted text may hold line breaks, and files are still read by many tasks (``sources.records``);
+                False: no value has a line break, and Spark's own reader splits the files, which is the fastest way;
+                "whole": each file is one unit of work for Spark's own reader
+    schema      without one all columns are read as text first, and types follow from all values
+    column_names  names (or renames) the columns, for files without a header row
 
-    Give a schema: without one Spark reads the file twice to infer types, which is for small files only.
-    ``column_names`` names (or renames) the columns, for files without a header row. A blank header becomes ``X<position>``.
+    A blank header becomes ``X<position>``.
     """
-    reader = spark.read.options(header=header, sep=sep, nullValue="NA", quote='"', escape='"', multiLine=multi_line)
-    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    if multi_line is True:
+        df = _read_records(spark, path, schema, header, sep)
+    else:
+        reader = spark.read.options(header=header, sep=sep, multiLine=multi_line == "whole", **PARSER)
+        df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     if column_names:
         df = df.toDF(*column_names)
     elif header:
@@ -29,6 +38,34 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return df.withColumns({c: F.nullif(F.col(f"`{c}`"), F.lit("")) for c in text}) if text else df
 
 
+PARSER = {"nullValue": "NA", "quote": '"', "escape": '"'}
+#: What a column of text may become, the first that fits all values.
+TYPES = ["int", "bigint", "double", "date", "timestamp", "boolean"]
+
+
+def _read_records(spark: SparkSession, path: str, schema: StructType | str | None, header: bool, sep: str) -> DataFrame:
+    rows = records(spark, path, sep).where("record <> ''")
+    parser = {"sep": sep, "multiLine": "true", **PARSER}
+    if schema is not None:
+        fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+        rows = rows.where("not first") if header else rows
+        return rows.select(F.from_csv("record", ddl, parser).alias("r")).select("r.*")
+    top = rows.where("first").first()
+    head = next(csv.reader(io.StringIO(top["record"]), delimiter=sep)) if top else []
+    names = [f"_c{i}" if not header or not c.strip() else c for i, c in enumerate(head)]
+    inner = [f"c{i}" for i in range(len(names))]
+    rows = rows.where("not first") if header else rows
+    if not names:
+        return spark.createDataFrame([], StructType())
+    texts = rows.select(F.from_csv("record", ", ".join(f"{c} string" for c in inner), parser).alias("r")).select("r.*")
+    known = {c: F.nullif(F.col(c), F.lit("")) for c in inner}
+    unfit = texts.agg(*[F.count(F.when(v.isNotNull() & v.try_cast(t).isNull(), 1)).alias(f"{c}_{t}") for c, v in known.items() for t in TYPES],
+                      *[F.count(v).alias(c) for c, v in known.items()]).first()
+    kinds = {c: next((t for t in TYPES if unfit[f"{c}_{t}"] == 0), "string") if unfit[c] else "string" for c in inner}
+    return texts.select(*[F.col(c) if kinds[c] == "string" else known[c].try_cast(kinds[c]).alias(c) for c in inner]).toDF(*names)
+
+
 def read_csv2(spark: SparkSession, path: str, columns: dict[str, str], header: bool = True) -> DataFrame:
     """Read semicolon-separated text with a decimal comma; ``columns`` maps names to types."""
     text = ", ".join(f"`{c}` string" for c in columns)

@@ -43,8 +43,14 @@ def test_whole_table_number_has_no_single_task_window(spark):
     assert text.count("Exchange SinglePartition") <= 1 and "Exchange hashpartitioning" not in text
     few = ordered.number_rows(df.withColumn("k", F.col("id") % 3), ["v", "id"], ["k"])
     assert "BroadcastHashJoin" in physical(few) and physical(few).count("Exchange hashpartitioning") == 1
-    text = physical(ordered.running_sum(df, "v", ["v", "id"]))
-    assert "windowspecdefinition(__part" in text
+
+
+@pytest.mark.parametrize("build", [lambda df: ordered.running_sum(df, "v", ["v", "id"], ["k"]), lambda df: ordered.lag_value(df, "v", ["v", "id"], ["k"])])
+def test_scans_do_not_move_rows_again(spark, build):
+    df = spark.range(1000).select("id", F.rand(1).alias("v"), (F.col("id") % 3).alias("k"))
+    text = physical(build(df))
+    rows, carry = text.split("BroadcastExchange", 1)
+    assert "Exchange" not in rows.replace("BroadcastExchange", "") and "Window" not in rows  # only one row per partition is sorted and sent
 
 
 def test_top_n_limits_before_its_shuffle(spark):
