@@ -88,8 +88,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Se
         F.max(F.when(F.col("__t") == i, F.col("__v"))).alias(f"__s{i}") for i in range(2 * len(probs))])
     if not names:
         picked = picked.where("__total is not null")
-    blend = {n: F.col(f"__s{2 * i}") + (F.col(f"__s{2 * i + 1}") - F.col(f"__s{2 * i}")) * (at - F.floor(at))
-             for i, (n, at) in enumerate(zip(probs, places))}
+    ends = [(F.col(f"__s{2 * i}"), F.col(f"__s{2 * i + 1}")) for i in range(len(probs))]
+    # equal ends are no sum, which matters for infinite ones
+    blend = {n: F.when(a == b, a).otherwise(a + (b - a) * (at - F.floor(at))) for n, at, (a, b) in zip(probs, places, ends)}
     return picked.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *[v.alias(n) for n, v in blend.items()])
 
 

@@ -65,7 +65,7 @@ def fold_groups(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Col
         total = states[0]
         for s in states[1:]:
             total = merge(total, s)
-        return pdf.iloc[:1].assign(__state=[pickle.dumps(total)])
+        return pdf.iloc[:1].assign(__part=pdf["__up"].iloc[0], __state=[pickle.dumps(total)]).drop(columns="__up")
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -75,8 +75,8 @@ def fold_groups(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Col
     states = materialise(rows.mapInPandas(stretches, state_schema))
     spread = (states.agg(F.max("__part")).first()[0] or 0) + 1
     while spread > 1:  # a group lies in neighbouring partitions, so the numbers of partitions shrink with the tree
-        states = states.withColumn("__part", F.expr(f"__part div {FAN_IN}"))
-        states = materialise(states.groupBy(*keys, "__part").applyInPandas(join_states, state_schema))
+        states = states.withColumn("__up", F.expr(f"__part div {FAN_IN}"))
+        states = materialise(states.groupBy(*keys, "__up").applyInPandas(join_states, state_schema))
         spread = -(-spread // FAN_IN)
     out = ", ".join([*[f"`{k}` {t}" for k, t in kinds.items()], schema])
     return states.mapInPandas(last, out)

@@ -77,7 +77,7 @@ def interaction_edges(df: DataFrame, outer: Sequence[str], scene: Sequence[str],
     pairs = item_products(rows, outer)
     ways = F.array(*[F.struct(F.col(f"item_{x}").alias("from"), F.col(f"item_{y}").alias("to"), F.col(f"{x}_with_{y}").cast(
         df.select(F.sum(weight)).schema[0].dataType).alias("weight")) for x, y in ("ab", "ba")])
-    return pairs.select(*outer, F.explode(ways).alias("e")).select(*outer, "e.*")
+    return pairs.select(*outer, F.explode(ways).alias("__e")).select(*outer, "__e.*")
 
 
 def top_edges(edges: DataFrame, n: int, keys: Sequence[str], weight: str = "weight") -> DataFrame:

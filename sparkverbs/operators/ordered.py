@@ -67,13 +67,13 @@ def ordered_scan(
         w = Window.partitionBy(*keys).orderBy(*ordering)
         new = {f"__run_{n}": F.sum(f"__sum_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for n in running}
         new |= {f"__lag_{n}": F.lag(f"__val_{n}").over(w) for n in previous}
-        new["__rn"] = F.row_number().over(w)
+        new["__scan_n"] = F.row_number().over(w)
         rows = rows.withColumns(new)
         final = {n: F.col(f"__run_{n}") for n in running}
-        final |= {n: F.when(F.col("__rn") == 1, F.lit(d)).otherwise(F.col(f"__lag_{n}"))
+        final |= {n: F.when(F.col("__scan_n") == 1, F.lit(d)).otherwise(F.col(f"__lag_{n}"))
                   for n, (_, d) in previous.items()}
         if row_number:
-            final[row_number] = F.col("__rn").cast("bigint")
+            final[row_number] = F.col("__scan_n").cast("bigint")
         return _finish(rows, df, final)
 
     if row_number and not (running or previous):
@@ -91,12 +91,12 @@ def ordered_scan(
 
     # only the last group of a partition can go on in the next one, so one row per partition carries its state over
     names = [f"__c{i}" for i in range(len(keys))]
-    ends = rows.where("__last").select(
-        PARTITION, *[F.col(k).alias(c) for k, c in zip(keys, names)], "__rn", *[f"__run_{n}" for n in running], *[f"__val_{n}" for n in previous])
+    ends = rows.where("__scan_last").select(
+        PARTITION, *[F.col(k).alias(c) for k, c in zip(keys, names)], "__scan_n", *[f"__run_{n}" for n in running], *[f"__val_{n}" for n in previous])
     upto = Window.partitionBy(*(names or [F.lit(0)])).orderBy(PARTITION).rowsBetween(Window.unboundedPreceding, 0)
     carry = ends.select(
         F.lead(PARTITION).over(Window.orderBy(PARTITION)).alias("__cpart"), *names,
-        F.sum("__rn").over(upto).alias("__before"),
+        F.sum("__scan_n").over(upto).alias("__before"),
         *[F.sum(f"__run_{n}").over(upto).alias(f"__b_{n}") for n in running],
         *[F.col(f"__val_{n}").alias(f"__q_{n}") for n in previous]).where("__cpart is not null")
 
@@ -109,27 +109,27 @@ def ordered_scan(
     final = {n: F.when(F.col(f"__b_{n}").isNull(), F.col(f"__run_{n}"))
                  .when(F.col(f"__run_{n}").isNull(), F.col(f"__b_{n}"))
                  .otherwise(F.col(f"__run_{n}") + F.col(f"__b_{n}")) for n in running}
-    final |= {n: F.when(F.col("__rn") > 1, F.col(f"__lag_{n}"))
+    final |= {n: F.when(F.col("__scan_n") > 1, F.col(f"__lag_{n}"))
                   .when(F.col("__before").isNotNull(), F.col(f"__q_{n}")).otherwise(F.lit(d))
               for n, (_, d) in previous.items()}
     if row_number:
-        final[row_number] = F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))
+        final[row_number] = F.col("__scan_n") + F.coalesce(F.col("__before"), F.lit(0))
     return _finish(rows, source, final)
 
 
 def _scanned(df: DataFrame, ordering: list[Column], keys: list[str], sums: list[str], lags: list[str]) -> DataFrame:
-    """Rows sorted over all partitions, with what a scan of the own partition tells: place in the group (``__rn``), running sums,
+    """Rows sorted over all partitions, with what a scan of the own partition tells: place in the group (``__scan_n``), running sums,
     previous values, and a flag on the partition's last row. Groups are told apart by a 64-bit hash of their keys."""
     group = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
     by = [*[F.col(k).asc_nulls_first() for k in keys], *ordering]
     # the type of a sum is that of the engine's own aggregate; an average over nothing but the schema is asked for here
     kinds = df.limit(0).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"__sum_{n}").alias(n) for n in sums]).schema if sums else None
     totals = df.withColumns({f"__sum_{n}": F.col(f"__sum_{n}").cast(kinds[n].dataType) for n in sums}) if sums else df
-    rows = totals.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__g", group)
-    fields = [f for f in rows.schema.fields if f.name != "__g"]
+    rows = totals.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__scan_g", group)
+    fields = [f for f in rows.schema.fields if f.name != "__scan_g"]
     fields += [StructField(f"__run_{n}", rows.schema[f"__sum_{n}"].dataType) for n in sums]
     fields += [StructField(f"__lag_{n}", rows.schema[f"__val_{n}"].dataType) for n in lags]
-    fields += [StructField("__rn", LongType()), StructField("__last", BooleanType()), StructField(PARTITION, IntegerType())]
+    fields += [StructField("__scan_n", LongType()), StructField("__scan_last", BooleanType()), StructField(PARTITION, IntegerType())]
     return rows.mapInArrow(_scanner(sums, lags), StructType(fields)).drop(*[f"__sum_{n}" for n in sums])
 
 
@@ -143,7 +143,7 @@ def _scanner(sums: list[str], lags: list[str]):
                 continue
             if waiting is not None:
                 yield waiting(False)
-            g = batch.column("__g").to_numpy()
+            g = batch.column("__scan_g").to_numpy()
             new = np.concatenate(([group is None or g[0] != group], g[1:] != g[:-1]))
             heads = np.flatnonzero(new)
             start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
@@ -159,9 +159,9 @@ def _scanner(sums: list[str], lags: list[str]):
                 added.append(pa.concat_arrays([last.get(name, pa.nulls(1, values.type)), values.slice(0, n - 1)]))
                 last[name] = pa.concat_arrays([values.slice(n - 1, 1)])
             group, count = g[-1], int(number[-1])
-            kept = [c for c in batch.schema.names if c != "__g"]
+            kept = [c for c in batch.schema.names if c != "__scan_g"]
             columns = [*[batch.column(c) for c in kept], *added, pa.array(number)]
-            names = [*kept, *[f"__run_{s}" for s in sums], *[f"__lag_{s}" for s in lags], "__rn", "__last", PARTITION]
+            names = [*kept, *[f"__run_{s}" for s in sums], *[f"__lag_{s}" for s in lags], "__scan_n", "__scan_last", PARTITION]
 
             def waiting(end, columns=columns, names=names, n=n):
                 flag = np.zeros(n, bool)

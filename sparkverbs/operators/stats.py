@@ -63,18 +63,18 @@ def clipped_residuals(residuals: DataFrame, low: float = 0.0, high: float = 1.0)
 def principal_axes(df: DataFrame, columns: Sequence[str], k: int = 2, prefix: str = "axis_") -> DataFrame:
     """Coordinates on the first k principal axes of the standardised columns; rows with a missing value are left out.
 
-    One aggregate gives means, deviations and correlations; the axes of that small matrix become literals of a plain
+    One aggregate gives means, deviations and covariances; the axes of that small matrix become literals of a plain
     expression. The largest loading of an axis is positive. A column without deviation has no part in the axes.
     """
     columns = list(columns)
     rows = df.na.drop(subset=columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
     one = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"d{i}") for i, c in enumerate(columns)],
-                   *[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+                   *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     gram = np.eye(len(columns))
     for i, j in pairs:
-        known = one[f"c{i}_{j}"]
-        gram[i, j] = gram[j, i] = 0 if known is None or not np.isfinite(known) else known
+        spread = (one[f"d{i}"] or 0) * (one[f"d{j}"] or 0)
+        gram[i, j] = gram[j, i] = one[f"c{i}_{j}"] / spread if spread else 0
     for i in range(len(columns)):
         gram[i, i] = 1.0 if one[f"d{i}"] else 0.0
     values, vectors = np.linalg.eigh(gram)

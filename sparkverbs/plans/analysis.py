@@ -38,7 +38,7 @@ m AS (SELECT regr_slope(r, a) AS s, regr_intercept(r, a) AS i FROM n)
 SELECT l_suppkey, round(r - (i + s * a), 6) AS resid, (-sign(r - (i + s * a)))::INT AS sign FROM n, m""")
 def ols_residual_sign(t):
     n = wider(t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).cast("double").alias("n")),
-              ["l_suppkey"], "l_returnflag", ["A", "R"], "n", fill=0.0)
+              ["l_suppkey"], "l_returnflag", ["A", "R"], "n", fill=0.0, others="drop")
     return stats.ols_augment(n, "R", "A").select("l_suppkey", F.round("resid", 6).alias("resid"), "sign")
 
 
