@@ -1,19 +1,21 @@
 """Instant-runoff counts.
 
-Equal ballots are merged first, so every round scans distinct preference lists with a weight. A round is one
-aggregate straight from that table with the removed candidates as a literal list: the plan does not grow with the
-rounds and there is no lineage to cut between them. Per round one row per candidate comes to the driver, because
-the next round depends on it.
+Equal ballots are merged first, so every round scans distinct preference lists with a weight. A round writes one small table of
+counts straight from that table, and only the loser, the largest count and their sum come to the driver, because the next round
+depends on them; the ranking of all rounds is put together from the tables. From time to time the ballots are written
+anew without the removed candidates, so neither plans nor lists of removed candidates grow with the rounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
 
-MAX_CANDIDATES = 10_000
-ROUND_SCHEMA = "round int, position int, candidate string, total bigint, share double"
+#: Rounds after which removed candidates are taken out of the ballots.
+REWRITE = 50
 
 
 def preference_lists(votes: DataFrame, ballot: str, rank: str, candidate: str) -> DataFrame:
@@ -45,20 +47,32 @@ def instant_runoff(votes: DataFrame, ballot: str, rank: str, candidate: str) ->
     """
     spark = votes.sparkSession
     papers = materialise(preference_lists(votes, ballot, rank, candidate))
-    rows, removed, number = [], [], 0
+    counts, gone, open_, number = [], [], [], 0
     while True:
-        counts = _first_choices(papers, removed).limit(MAX_CANDIDATES + 1).collect()
-        if len(counts) > MAX_CANDIDATES:
-            raise ValueError(f"more than {MAX_CANDIDATES} candidates")
-        ranking = sorted(((r["candidate"], r["total"]) for r in counts), key=lambda r: (-r[1], r[0]))
-        alive = sum(t for _, t in ranking)
-        board = ranking + [(c, 0) for c in reversed(removed)]
-        rows += [(number, i + 1, c, t, t / alive if alive else None) for i, (c, t) in enumerate(board)]
-        if len(ranking) < 2 or (number > 0 and ranking[0][1] * 2 > alive):
+        now = materialise(_first_choices(papers, open_))
+        last = F.max_by("candidate", F.struct((-F.col("total")).alias("t"), "candidate"))
+        loser, alive, best, n = now.agg(last, F.sum("total"), F.max("total"), F.count(F.lit(1))).first()
+        counts.append(now.select(F.lit(number).alias("round"), "candidate", "total", F.lit(alive).cast("bigint").alias("__alive")))
+        if n < 2 or (number > 0 and best * 2 > alive):
             break
-        removed = [*removed, ranking[-1][0]]
+        gone.append((loser, number + 1))
+        open_.append(loser)
         number += 1
-    return spark.createDataFrame(rows, ROUND_SCHEMA)
+        if len(open_) == REWRITE:
+            left = F.filter("prefs", lambda p: ~p["candidate"].isin(open_))
+            papers = materialise(papers.select(left.alias("prefs"), "weight").where(F.size("prefs") > 0).groupBy("prefs").agg(F.sum("weight").alias("weight")))
+            open_ = []
+    # candidates left in each round, then those removed so far, latest removal first
+    live = reduce(DataFrame.unionAll, counts)
+    place = F.row_number().over(Window.partitionBy("round").orderBy(F.col("total").desc(), "candidate"))
+    out = live.select("round", place.alias("position"), "candidate", F.col("total").cast("bigint").alias("total"), (F.col("total") / F.col("__alive")).alias("share"))
+    if gone:
+        sizes = live.groupBy("round").agg(F.count(F.lit(1)).alias("__n"))
+        out_of = spark.createDataFrame(gone, "candidate string, __since int").withColumn("round", F.explode(F.sequence("__since", F.lit(number))))
+        behind = out_of.join(sizes, "round").select("round", (F.col("__n") + F.col("round") - F.col("__since") + 1).cast("int").alias("position"), "candidate",
+                                                   F.lit(0).cast("bigint").alias("total"), F.lit(0.0).alias("share"))
+        out = out.unionByName(behind)
+    return out
 
 
 def transfers(rounds: DataFrame) -> DataFrame:

@@ -174,11 +174,33 @@ def _scanner(sums: list[str], lags: list[str]):
     return scan
 
 
+def _unscaled(values: pa.Array, carried) -> tuple[pa.Array, Decimal] | None:
+    """Decimals as whole numbers of their smallest unit, if these and all their sums fit 63 bits."""
+    if not pa.types.is_decimal128(values.type):
+        return None
+    step = Decimal(10) ** values.type.scale
+    words = np.frombuffer(values.buffers()[1], "<i8").reshape(-1, 2)[values.offset:values.offset + len(values)]
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    low = np.where(known, words[:, 0], 0)
+    most = int(np.abs(low).max(initial=0)) * max(1, len(low)) + (0 if carried is None else abs(int(carried * step)))
+    if (known & (words[:, 1] != words[:, 0] >> 63)).any() or low.min(initial=0) == np.iinfo(np.int64).min or most >= 2 ** 62:
+        return None
+    return pa.array(low, mask=~known), step
+
+
 def _running(values: pa.Array, heads: np.ndarray, carried):
     """Running sum within the stretches that begin at ``heads``, on top of what the first one has carried over (None: only
     nulls so far); and what the last one carries on."""
     n = len(values)
     exact = pa.types.is_decimal(values.type)
+    if exact and (small := _unscaled(values, carried)) is not None:
+        units, step = small
+        run, last = _running(units, heads, None if carried is None else int(carried * step))
+        filled = pc.fill_null(run, 0).to_numpy(zero_copy_only=False)
+        words = np.stack([filled, filled >> 63], axis=1)  # a small decimal is its low word and the sign
+        valid = None if run.null_count == 0 else run.buffers()[0]
+        out = pa.Array.from_buffers(values.type, n, [valid, pa.py_buffer(words)], null_count=run.null_count)
+        return out, None if last is None else Decimal(int(last)) / step
     known = values.is_valid().to_numpy(zero_copy_only=False)
     if exact:
         filled = np.array([Decimal(0) if v is None else v for v in values.to_pylist()], object)

@@ -153,10 +153,20 @@ p AS (SELECT a.word AS item1, b.word AS item2, count(*) AS n_both FROM k a JOIN
 FEW_WORDS, MANY_WORDS = 120, 150
 
 
-def word_counts(t):
-    """Words of each document with the number of their tokens, from one pass over the texts."""
+def top_words(t, n, keep=lambda found: found):
+    """The ``n`` words with most tokens as rows (word, n): a top-k."""
+    return top_counts(keep(t.documents.select(F.explode(words("text")).alias("word"))), n, "word").collect()
+
+
+def found_words(t, listed):
+    """Tokens of the listed words. Texts are read once more; only these words are kept of them."""
     found = t.documents.select("doc_id", "n_chars", F.explode(words("text")).alias("word"))
-    return materialise(found.groupBy("doc_id", "n_chars", "word").agg(F.count(F.lit(1)).alias("tokens")))
+    return found.where(F.col("word").isin(list(listed)))
+
+
+def word_counts(t, listed):
+    """The listed words of each document with the number of their tokens."""
+    return found_words(t, listed).groupBy("doc_id", "n_chars", "word").agg(F.count(F.lit(1)).alias("tokens"))
 
 
 @query("pairwise_phi", phi_sql(FEW_WORDS) + """
@@ -165,9 +175,8 @@ SELECT x.item1, x.item2, coalesce(n_both, 0) AS n_both,
 FROM (SELECT a.word AS item1, b.word AS item2 FROM i a JOIN i b ON a.word <> b.word) x LEFT JOIN p ON x.item1 = p.item1 AND x.item2 = p.item2
 JOIN i a ON a.word = x.item1 JOIN i b ON b.word = x.item2, c""")
 def pairwise_phi(t):
-    found = word_counts(t)
-    top = [r["word"] for r in top_counts(found, FEW_WORDS, "word", weight="tokens").collect()]
-    out = cooccurrence.pairwise_phi(found, "word", "doc_id", top, complete=True, mirror=True)
+    top = [r["word"] for r in top_words(t, FEW_WORDS)]
+    out = cooccurrence.pairwise_phi(found_words(t, top), "word", "doc_id", complete=True, mirror=True)
     return out.withColumn("correlation", F.round("correlation", 6))
 
 
@@ -254,8 +263,7 @@ top AS (SELECT word FROM w GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 120)
 SELECT word, count(*) AS n, round(avg(n_chars), 4) AS mean_chars, round(avg(quality), 6) AS mean_quality
 FROM w JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id) WHERE word IN (SELECT word FROM top) GROUP BY 1""")
 def word_averages(t):
-    found = word_counts(t)
-    return token_averages(t, rows_in(found, "word", top_counts(found, FEW_WORDS, "word", weight="tokens")))
+    return token_averages(t, word_counts(t, [r["word"] for r in top_words(t, FEW_WORDS)]))
 
 
 def token_averages(t, counts):
@@ -301,9 +309,8 @@ e AS (SELECT p.item1 AS "from", p.item2 AS "to", (c.n * n_both - a.n * b.n) / nu
 SELECT "from", "to", CASE WHEN w > 0 AND w <= 0.065 THEN 'weak' WHEN w > 0.065 AND w <= 0.13 THEN 'middle' WHEN w > 0.13 AND w <= 1 THEN 'strong' END AS strength,
        top.tokens::BIGINT AS from_n FROM e JOIN top ON top.word = e."from" WHERE w > 0""")
 def graph_tables(t):
-    found = word_counts(t)
-    top = top_counts(found, MANY_WORDS, "word", weight="tokens").collect()  # a top-k
-    phi = cooccurrence.pairwise_phi(found, "word", "doc_id", [r["word"] for r in top], mirror=True).where("correlation > 0")
+    top = top_words(t, MANY_WORDS)
+    phi = cooccurrence.pairwise_phi(found_words(t, [r["word"] for r in top]), "word", "doc_id", mirror=True).where("correlation > 0")
     edges = phi.select(F.col("item1").alias("from"), F.col("item2").alias("to"), F.when(F.col("correlation") <= 0.065, "weak").when(
         F.col("correlation") <= 0.13, "middle").otherwise("strong").alias("strength"))
     vertices = literal_table(t.spark, [tuple(r) for r in top], "word string, n bigint")

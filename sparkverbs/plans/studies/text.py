@@ -15,7 +15,7 @@ from ...operators.reshape import split_rows, tokens
 from ...operators.windows import first_rows, scale_max
 from ...session import materialise
 from ...sources.sequences import literal_table
-from ..analysis import LINK_SQL, STOP_WORDS, token_averages, word_counts
+from ..analysis import LINK_SQL, STOP_WORDS, token_averages, top_words, word_counts
 from ..grouping import HLS_SQL, part_colours
 from ..registry import query
 from ..reshaping import WORD_SQL
@@ -39,10 +39,9 @@ WORDS_1, BINS_1 = 120, [0.02, 0.05, 1]
 WORDS_2, BINS_2 = 150, [0, 0.065, 0.13, 1]
 
 
-def _word_graph(t, words, n, breaks):
-    """Edges between correlated words, with the word's averages."""
-    listed = [r["word"] for r in top_counts(words, n, "word", weight="tokens").collect()]  # a top-k
-    words = materialise(words.where(F.col("word").isin(listed)))
+def _word_graph(t, keep, n, breaks):
+    """Edges between correlated words, with the word's averages; ``keep`` says which words may be among the ``n``."""
+    words = materialise(word_counts(t, [r["word"] for r in top_words(t, n, keep)]))
     phi = cooccurrence.pairwise_phi(words.select("word", "doc_id"), "word", "doc_id", mirror=True).where(F.col("correlation") > breaks[0])
     averages = token_averages(t, words)
     edges = phi.select(F.col("item1").alias("from"), F.col("item2").alias("to"), F.round("correlation", 6).alias("correlation"),
@@ -58,15 +57,14 @@ def _bins_sql(breaks):
                                            keep=f"word IN (SELECT unnest(regexp_extract_all(lower(text), '{WORD_SQL}', 1)) FROM benchmark)"))
 def study_wine_words(t):
     listed = tokens(t.benchmark.select("text"), "text").distinct()
-    return _word_graph(t, rows_in(word_counts(t), "word", listed), WORDS_1, BINS_1)
+    return _word_graph(t, lambda found: rows_in(found, "word", listed), WORDS_1, BINS_1)
 
 
 @query("study_wine_terms", WINE_SQL.format(w=WORD_SQL, n=WORDS_2, low=BINS_2[0], bins=_bins_sql(BINS_2),
                                            keep=f"word NOT IN ({', '.join(repr(w) for w in STOP_WORDS)}) AND NOT regexp_matches(word, '^\\d+$')"))
 def study_wine_terms(t):
     stops = F.broadcast(literal_table(t.spark, [(w,) for w in STOP_WORDS], "word string"))
-    words = rows_not_in(word_counts(t).where(~F.col("word").rlike(r"^\d+$")), "word", stops)
-    return _word_graph(t, words, WORDS_2, BINS_2)
+    return _word_graph(t, lambda found: rows_not_in(found.where(~F.col("word").rlike(r"^\d+$")), "word", stops), WORDS_2, BINS_2)
 
 
 @query("study_ross", """
