@@ -1,15 +1,18 @@
 """Main text of HTML pages by host consensus.
 
-1. Every page is read once into a tree without boilerplate, and its containers are scored: a block of text counts for the
-   container around it, and half for the next one out, by its characters less twice those inside links.
+1. Every page is read once into a tree without boilerplate, and its containers are scored by the text in all of their
+   subtree: characters less twice those inside links. The page's own choice is the lowest container that holds most of the
+   page's text (``MOST``), but never less than a whole article, or a whole main part without one. It counts in full; a container
+   further out counts half for each step, and any other half of its text.
 2. Containers vote for their path, the tags from the body down with their classes, digits generalised. Votes are shares of
    the page's best score, so long pages don't outvote short ones. Spark adds them up for each host.
 3. Every page is read again with the winning path of its host; the outermost containers on that path give the text. A page
-   without such a container uses its own best one.
+   without such a container, or without text in it, uses its own choice.
 
 Left out with all they contain: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts
-and reader comments, known by tag or by the words of class, id and role. Character references are decoded. White space
-inside a block becomes one space; blocks are trimmed and joined in page order by one space.
+and reader comments, known by tag or by the words of class, id and role. A compound name such as ``layout-sidebar-right`` can
+also belong to a wrapper: its element stays if it holds an article or main part, or more than half of the page's text. Character
+references are decoded. White space inside a block becomes one space; blocks are trimmed and joined in page order by one space.
 
 Null or empty html gives empty text; a null url is a host of its own. Repeated pages are extracted each; text is never cut.
 An empty table gives no rows, and further columns aren't read. Ties between paths go to the first in alphabetical order.
@@ -44,6 +47,11 @@ NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsor
             " pagination pager skip".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEGATED = {"no", "has", "with", "without", "is"}
+#: Names of parts that are never wrappers of the article.
+ALWAYS = set("ad ads adv advert adverts advertisement advertising comment comments disqus respond replies footer nav navbar navigation menu menus".split())
+#: Share of a page's text that its own choice holds at least.
+MOST = 0.6
+KEEP, DROP, MAYBE = 0, 1, 2
 #: An opening tag closes an open element of these kinds, unless the stop lies between.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -56,8 +64,11 @@ class Page:
 
     def __init__(self, source: str):
         self.parents, self.paths, self.text = [-1], [""], []  # text: (container, text or None for a break, inside a link)
+        self.tags, self.doubtful = [""], []  # doubtful: containers with a compound name of boilerplate
         self.stack = [("", 0, False)]  # tag, container, whether it is left out
         self._read(source)
+        if self.doubtful:
+            self._decide()
 
     def _read(self, source: str) -> None:
         at, links = 0, 0
@@ -102,28 +113,48 @@ class Page:
         if tag in VOID:
             return
         names = dict((m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)) if attributes else {}
-        out = self.stack[-1][2] or tag in DROPPED or tag not in NEVER and bool(names) and self._boilerplate(names)
+        box = not inline and tag not in ("p", "html")
+        named = KEEP if tag in NEVER or not names else self._boilerplate(names)
+        out = self.stack[-1][2] or tag in DROPPED or named == DROP or named == MAYBE and not box
         node = self.stack[-1][1]
-        if not inline and not out and tag not in ("p", "html"):
+        if box and not out:
             classes = DIGITS.sub("#", ".".join(sorted(names.get("class", "").lower().split())))
             step = f"{tag}.{classes}" if classes else tag
             self.parents.append(node)
             self.paths.append(f"{self.paths[node]}>{step}" if self.paths[node] else step)
+            self.tags.append(tag)
             node = len(self.paths) - 1
+            if named == MAYBE:
+                self.doubtful.append(node)
         self.stack.append((tag, node, out))
 
     @staticmethod
-    def _boilerplate(names: dict[str, str]) -> bool:
+    def _boilerplate(names: dict[str, str]) -> int:
         if "hidden" in names or names.get("aria-hidden") == "true" or names.get("role", "").lower() in ROLES:
-            return True
+            return DROP
         if "display:none" in names.get("style", "").replace(" ", "").lower():
-            return True
+            return DROP
+        found = KEEP
         for value in (names.get("class", ""), names.get("id", "")):
             for name in value.split():
-                words = BLANK_WORD.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-                if any(w in NAMES and not (i and words[i - 1] in NEGATED) for i, w in enumerate(words)):
-                    return True
-        return False
+                words = [w for w in BLANK_WORD.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+                hits = [w for i, w in enumerate(words) if w in NAMES and not (i and words[i - 1] in NEGATED)]
+                if hits:
+                    if len(hits) == len(words) or not ALWAYS.isdisjoint(hits):
+                        return DROP
+                    found = MAYBE
+        return found
+
+    def _decide(self) -> None:
+        """Leave out the doubtful containers that don't wrap the article."""
+        sums, semantic = self.sums(), [t in ("article", "main") for t in self.tags]
+        for i in range(len(self.tags) - 1, 0, -1):  # children come later
+            semantic[self.parents[i]] |= semantic[i]
+        gone = [False] * len(self.tags)
+        doubtful = set(self.doubtful)
+        for i in range(1, len(self.tags)):
+            gone[i] = gone[self.parents[i]] or i in doubtful and not semantic[i] and 2 * sums[i] <= sums[0]
+        self.text = [(n, t, link) if not gone[n] else (0, None, False) for n, t, link in self.text]
 
     def _end_paragraph(self) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -155,16 +186,12 @@ class Page:
         if tag not in INLINE:
             self._break()
 
-    def scores(self) -> list[int]:
-        """Score of every container, in halves of a character."""
+    def sums(self) -> list[int]:
+        """Characters less twice those inside links, of all blocks below each container."""
         out, plain, linked, last = [0] * len(self.paths), 0, 0, 0
 
         def block():
-            worth = max(0, plain - 2 * linked)
-            if worth:
-                out[last] += 2 * worth
-                if self.parents[last] >= 0:
-                    out[self.parents[last]] += worth
+            out[last] += max(0, plain - 2 * linked)
 
         for node, text, link in self.text:
             if text is None or node != last:
@@ -175,30 +202,48 @@ class Page:
                 n = len(" ".join(text.split()))
                 plain, linked = plain + n, linked + n * link
         block()
+        for i in range(len(out) - 1, 0, -1):  # children come later
+            out[self.parents[i]] += out[i]
         return out
 
+    def choice(self, sums: list[int]) -> int:
+        """The lowest container with most of the page's text; an article is not opened, a main part only for an article."""
+        large = [i for i, n in enumerate(sums) if n >= MOST * sums[0] > 0]  # a chain, as two of them can't be side by side
+        for tag in ("article", "main"):
+            whole = [i for i in large if self.tags[i] == tag]
+            if whole:
+                return whole[0]
+        return large[-1] if large else 0
+
     def best(self) -> tuple[int, list[int]]:
-        scores = self.scores()
-        return max(range(len(scores)), key=lambda i: (scores[i], -i)), scores
+        """The page's own choice, and the score of every container in units of 1/1024 of a character."""
+        sums = self.sums()
+        top = self.choice(sums)
+        out = [512 * n for n in sums]
+        at, score = top, 1024 * sums[top]
+        while at >= 0:
+            out[at], at, score = score, self.parents[at], score // 2
+        return top, out
 
     def votes(self) -> dict[str, int]:
         """Thousandths of the page's best score that the containers on a path reach, best one counted."""
         top, scores = self.best()
         out: dict[str, int] = {}
         for path, score in zip(self.paths, scores):
-            if score:
+            if score and scores[top]:
                 out[path] = max(out.get(path, 0), 1000 * score // scores[top])
         return out
 
     def main(self, path: str | None) -> str:
-        """Text of the containers on a path, or of the page's own best container if there is none."""
+        """Text of the containers on a path, or of the page's own choice if there is none or it has no text."""
         chosen = {i for i, p in enumerate(self.paths) if p == path}
-        if not chosen:
-            chosen = {self.best()[0]}
+        return (self._text(chosen) if chosen else "") or self._text({self.best()[0]})
+
+    def _text(self, chosen: set[int]) -> str:
         inside = [False] * len(self.paths)
         for i, parent in enumerate(self.parents):  # parents come first
             inside[i] = i in chosen or parent >= 0 and inside[parent]
-        parts = [" " if text is None else text for node, text, _ in self.text if inside[node]]
+        parts = [" " if text is None else text for node, text, _ in self.text if text is None or inside[node]]
         return " ".join(markup.unescape("".join(parts)).split())
 
 

@@ -46,6 +46,63 @@ def test_odd_markup(source, want):
     assert Page(source).main(None) == want
 
 
+TEXT = "Some words of the article stand here. "
+
+
+@pytest.mark.parametrize("body, want", [
+    # a lead beside the body of an article
+    ("<article><div class=lead>A lead.</div><div class=body>" + TEXT * 9 + "</div></article>", "A lead. " + (TEXT * 9).strip()),
+    ("<main><div class=lead>A lead.</div><div class=body>" + TEXT * 9 + "</div></main>", "A lead. " + (TEXT * 9).strip()),
+    # text two levels down, in siblings
+    ("<article>" + f"<section><div><p>{TEXT}</p></div></section>" * 3 + "</article>", (TEXT * 3).strip()),
+    ("<div id=content>" + f"<section><div><p>{TEXT}</p></div></section>" * 3 + "</div>", (TEXT * 3).strip()),
+    # wrappers with compound names, and parts that are none
+    (f'<div class="layout-sidebar-right"><article><p>{TEXT}</p></article></div>', TEXT.strip()),
+    (f'<div class="search-page"><div><p>{TEXT * 4}</p></div></div><p>Rest.</p>', (TEXT * 4).strip()),
+    (f'<div class="share-box">Share this</div><article><p>{TEXT}</p><div class="related-posts">More</div></article>', TEXT.strip()),
+    (f'<article><p>{TEXT}</p></article><section id="comments-area"><article>{TEXT * 20}</article></section>', TEXT.strip())])
+def test_articles_are_kept_whole(spark, body, want):
+    assert Page(body).main(None) == want
+    rows = [(i, f"http://d.example/{i}", f"<body>{body}</body>") for i in range(3)]
+    assert {r.text for r in main_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} == {want}
+
+
+def test_other_templates_on_a_host(spark):
+    """A page whose container on the winning path is empty, and one without it, use their own choice."""
+    common = [(i, "http://e.example", f"<body><article class=post><p>{TEXT}</p></article></body>") for i in range(5)]
+    odd = [(7, "http://e.example", f"<body><article class=post></article><div class=text><p>{TEXT * 2}</p></div></body>"),
+           (8, "http://e.example", f"<body><div class=story><p>{TEXT * 3}</p></div></body>")]
+    got = {r.page_id: r.text for r in main_text.main_text(spark.createDataFrame(common + odd, "page_id bigint, url string, html string")).collect()}
+    assert got[0] == TEXT.strip() and got[7] == (TEXT * 2).strip() and got[8] == (TEXT * 3).strip()
+
+
+def test_scores_against_brute_force():
+    """Sums and the choice, worked out from every container's own text."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        def part(depth):
+            inner = "".join(rng.choice([lambda: part(depth + 1), lambda: f"<p>{'word ' * rng.randint(1, 9)}</p>"])() for _ in range(rng.randint(1, 3))) if depth < 4 else "<p>leaf text</p>"
+            return f"<{(tag := rng.choice(['div', 'section', 'div', 'article']))}>{inner}</{tag}>"
+
+        page = Page(f"<body>{part(0)}{part(1)}</body>")
+        below = [{j for j in range(len(page.paths)) if i in chain(page, j)} for i in range(len(page.paths))]
+        want = [sum(len(" ".join(t.split())) for n, t, _ in page.text if t and n in below[i]) for i in range(len(page.paths))]
+        assert page.sums() == want
+        large = [i for i in range(len(want)) if want[i] >= 0.6 * want[0]]
+        articles = [i for i in large if page.tags[i] == "article"]
+        assert page.choice(want) == (min(articles) if articles else max(large, key=lambda i: len(chain(page, i))))
+
+
+def chain(page, i):
+    out = []
+    while i >= 0:
+        out.append(i)
+        i = page.parents[i]
+    return out
+
+
 def test_hostile_markup_is_read_in_linear_time():
     assert Page("<a " * 20_000 + "<div>" * 3_000 + "end").main(None).endswith("end")
     Page('<p title="' * 5_000).votes()
