@@ -1,12 +1,14 @@
 """Secret scan: base patterns, and a character convolutional network over every other candidate with its context.
 
-Candidates are the runs of 16 or more characters of ``[A-Za-z0-9+/_.=-]`` that hold a digit and don't overlap a base span.
-The network (numpy) reads the run, as its first and last ``HALF`` characters if it is longer than both, and the characters
-before it; it ends in one score. It is trained on the driver, on labelled findings: runs that a base pattern covers are
-labelled secrets, other runs of the corpus are not, each side a bounded sample of ``SAMPLE`` rows (the smallest hashes of
-the windows, whatever the partitioning), and ``DRAWN`` rows for each side are drawn from the fixed forms below with a fixed
-seed, so that secrets of forms unknown to the patterns are seen and an empty corpus still has a model. A fifth of the rows
-calibrates the score (Platt) and sets the threshold: the highest one that keeps ``RECALL`` of the labelled secrets.
+Candidates are the runs of ``LEAST`` or more characters of ``[A-Za-z0-9+/_.=-]``, or what base spans leave of them. The
+network (numpy) slides over the whole of a candidate: it reads ``WINDOW`` characters at a time, with the characters before and
+after them, and a longer candidate in windows that overlap by half. Windows that score high enough make the span, joined where they
+overlap. The network is trained on the driver, on labelled findings: what a base span covers of a run is a labelled secret,
+other runs of the corpus are not, each side a bounded sample of ``SAMPLE`` rows (the smallest hashes of the windows, whatever the
+partitioning), and ``DRAWN`` rows for each side are drawn from the fixed forms below with a fixed seed, alone and inside longer
+runs, so that secrets of forms unknown to the patterns are seen and an empty corpus still has a model. A fifth of the rows
+calibrates the score (Platt) and sets the threshold: the highest one that keeps ``RECALL`` of the labelled secrets, where half of
+what may be lost is kept back for the error of that sample.
 
 Every text is read whole, in two passes without a shuffle: one samples, one scans and scores. Null text is empty and has no
 spans; repeated rows give repeated results; further columns aren't read by ``scan``. Offsets count code points.
@@ -29,17 +31,17 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLE = 2000
-DRAWN = 1500
+DRAWN = 3000
 RECALL = 0.98
-HALF, BEFORE = 32, 24
+#: Characters of a candidate, of a window, and around it; from one window to the next of a long candidate.
+LEAST, WINDOW, AROUND, STEP = 16, 64, 24, 32
 
 KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ASSIGN_WORDS = re.compile(r"(?ai:passw|secret|token|api)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -54,7 +56,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
-    """(start, end, covered by a base span) of all candidate runs."""
+    """(start, end, covered by a base span) of all parts of runs that are long enough."""
     begins, ends = [], []  # base spans, merged where they overlap
     for a, _, b in base:
         if ends and a <= ends[-1]:
@@ -64,16 +66,25 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             ends.append(b)
     out = []
     for m in RUN.finditer(text):
-        if DIGIT.search(m[0]):
-            k = bisect.bisect_left(begins, m.end()) - 1
-            out.append((m.start(), m.end(), k >= 0 and ends[k] > m.start()))
-    return out
+        at, k = m.start(), bisect.bisect_right(ends, m.start())
+        while k < len(begins) and begins[k] < m.end():
+            out += [(at, begins[k], False), (max(at, begins[k]), min(ends[k], m.end()), True)]
+            at, k = min(ends[k], m.end()), k + 1
+        out.append((at, m.end(), False))
+    return [c for c in out if c[1] - c[0] >= LEAST]
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of a candidate that the network reads, which cover all of it."""
+    if end - start <= WINDOW:
+        return [(start, end)]
+    return [(a, a + WINDOW) for a in [*range(start, end - WINDOW, STEP), end - WINDOW]]
 
 
 def window(text: str, start: int, end: int) -> str:
-    """What the network reads: the context before, padded, and the run."""
-    run = text[start:end] if end - start <= 2 * HALF else text[start:start + HALF] + text[end - HALF:end]
-    return text[max(0, start - BEFORE):start].rjust(BEFORE, "\0") + run.ljust(2 * HALF, "\0")
+    """What the network reads of a stretch: the characters before, the stretch itself and the characters after it, padded."""
+    return (text[max(0, start - AROUND):start].rjust(AROUND, "\0") + text[start:end].ljust(WINDOW, "\0")
+            + text[end:end + AROUND].ljust(AROUND, "\0"))
 
 
 # ------------------------------------------------------------------ labelled findings
@@ -92,22 +103,33 @@ def drawn(n: int, seed: int = 7) -> tuple[list[str], list[str]]:
     secret = [lambda: some(letters + digits + "+/", rng.choice([24, 32, 40, 44, 64])), lambda: "ghp_" + some(letters + digits, 36),
               lambda: "sk_live_" + some(letters + digits, 24), lambda: "AIza" + some(letters + digits + "_-", 35),
               lambda: "xoxb-" + some(digits, 12) + "-" + some(letters + digits, 24), lambda: some("0123456789abcdef", rng.choice([32, 40, 64])),
-              lambda: "eyJ" + some(letters + digits, 30) + "." + some(letters + digits + "_-", 40), lambda: some(letters + digits, rng.randint(20, 40))]
+              lambda: "eyJ" + some(letters + digits, 30) + "." + some(letters + digits + "_-", 40), lambda: some(letters + digits, rng.randint(20, 40)),
+              lambda: some(letters, rng.randint(28, 40))]
     plain = [lambda: "/".join(word() for _ in range(4)) + f"/{rng.randint(1, 999)}", lambda: f"{word()}.{word()}.example.{rng.choice(['com', 'org'])}/{rng.randint(1, 99)}",
              lambda: f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-{word()}-{word()}", lambda: some(digits, rng.randint(16, 24)),
              lambda: f"{word()}_{word()}_{word()}_v{rng.randint(1, 20)}", lambda: f"{word()}{word()}{word()}{rng.randint(1, 9999)}",
              lambda: "=" * rng.randint(15, 40) + str(rng.randint(0, 9)), lambda: "-".join(some(digits, 4) for _ in range(4)),
-             lambda: f"{word()}.{rng.randint(1, 99)}{'.' * 16}", lambda: f"{word()}-{word()}.{word()}.{rng.randint(1, 99)}.{rng.randint(1, 99)}"]
+             lambda: f"{word()}.{rng.randint(1, 99)}{'.' * 16}", lambda: f"{word()}-{word()}.{word()}.{rng.randint(1, 99)}.{rng.randint(1, 99)}",
+             lambda: "".join(word() for _ in range(4)) + word()[:4], lambda: "".join(word().title() for _ in range(4)), lambda: rng.choice("-_=.+/") * rng.randint(16, 80),
+             lambda: "_".join(word() for _ in range(4)), lambda: "-".join(word() for _ in range(4)), lambda: ".".join(word() for _ in range(5)),
+             lambda: "/".join(word() for _ in range(12)), lambda: "_".join(word().upper() for _ in range(4))]
     contexts = [lambda: " ".join(word() for _ in range(4)) + " ", lambda: f"{word()} = \"", lambda: f"{word()}: ", lambda: f"https://{word()}.", lambda: "\n"]
 
-    def make(forms):
+    def make(forms, inside):
         rows = []
         for i in range(n):
-            run, context = forms[i % len(forms)](), rng.choice(contexts)()
-            rows.append(window(context + run, len(context), len(context) + len(run)))
+            run, context, after = forms[i % len(forms)](), rng.choice(contexts)(), rng.choice(["", '"', "\n", " ", " " + word(), "'," + word()])
+            if inside and i % 3 == 0:  # a secret within a longer run, wherever a window lies over it
+                around = "/".join(word() for _ in range(8)) + "/"
+                text = context + around + run + "/" + around + after
+                start = len(context) + len(around) - rng.randint(0, max(0, WINDOW - len(run)))
+                rows.append(window(text, start, min(len(text) - len(after), start + WINDOW)))
+                continue
+            a, b = rng.choice(windows(len(context), len(context) + len(run)))
+            rows.append(window(context + run + after, a, b))
         return rows
 
-    return make(secret), make(plain)
+    return make(secret, True), make(plain, False)
 
 
 def labelled(docs: DataFrame, text: str = "text") -> tuple[list[str], list[str]]:
@@ -119,8 +141,9 @@ def labelled(docs: DataFrame, text: str = "text") -> tuple[list[str], list[str]]
             for source in batch.column(0).to_pylist():
                 if source:
                     for start, end, covered in candidates(source, base_spans(source)):
-                        w = window(source, start, end)
-                        kept[covered][w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) >> 1
+                        for a, b in windows(start, end):
+                            w = window(source, a, b)
+                            kept[covered][w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) >> 1
             for label, rows in kept.items():
                 if len(rows) > 4 * SAMPLE:
                     kept[label] = dict(sorted(rows.items(), key=lambda r: r[1])[:SAMPLE])
@@ -139,15 +162,16 @@ def labelled(docs: DataFrame, text: str = "text") -> tuple[list[str], list[str]]
 
 def encode(windows: list[str]) -> np.ndarray:
     """Character numbers: printable ASCII from 1, padding 0, everything else 96."""
-    width = BEFORE + 2 * HALF
+    width = WINDOW + 2 * AROUND
     raw = np.frombuffer("".join(windows).encode("utf-32-le", "replace"), np.uint32).reshape(-1, width)
     return np.where(raw == 0, 0, np.where((raw >= 32) & (raw < 127), raw - 31, 96)).astype(np.int64)
 
 
 class Network:
-    """Embedding, one convolution over the context and one over the run, largest and mean response, one dense layer."""
+    """Embedding, convolutions over the window and over the characters before and after it, their largest and mean responses, and
+    one dense layer."""
 
-    WIDTH, DIM, FILTERS, HIDDEN = 5, 8, 16, 16
+    WIDTH, DIM, FILTERS, HIDDEN = 5, 8, 24, 24
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -158,12 +182,13 @@ class Network:
         k = self.WIDTH * self.DIM
         self.w = {"e": normal(97, self.DIM, scale=0.5), "c0": normal(k, self.FILTERS, scale=k ** -0.5), "b0": np.zeros(self.FILTERS, np.float32),
                   "c1": normal(k, self.FILTERS, scale=k ** -0.5), "b1": np.zeros(self.FILTERS, np.float32),
-                  "h": normal(4 * self.FILTERS, self.HIDDEN, scale=0.2), "bh": np.zeros(self.HIDDEN, np.float32),
+                  "c2": normal(k, self.FILTERS, scale=k ** -0.5), "b2": np.zeros(self.FILTERS, np.float32),
+                  "h": normal(6 * self.FILTERS, self.HIDDEN, scale=0.2), "bh": np.zeros(self.HIDDEN, np.float32),
                   "o": normal(self.HIDDEN, scale=0.3), "bo": np.zeros(1, np.float32)}
         self.slope, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def _parts(self, x):
-        return ("0", x[:, :BEFORE]), ("1", x[:, BEFORE:])
+        return ("0", x[:, :AROUND]), ("1", x[:, AROUND:AROUND + WINDOW]), ("2", x[:, AROUND + WINDOW:])
 
     def forward(self, x: np.ndarray, keep: bool = False):
         w, pooled, memo = self.w, [], {}
@@ -206,12 +231,12 @@ class Network:
         return 1 / (1 + np.exp(-(self.slope * z + self.shift)))
 
 
-def fit(yes: list[str], no: list[str], epochs: int = 8, seed: int = 5) -> Network:
+def fit(yes: list[str], no: list[str], epochs: int = 16, seed: int = 5) -> Network:
     """Train, calibrate and set the threshold. Half of the secrets are also shown without context, so that the run itself is
     learned and not only the word before it."""
     rng = np.random.default_rng(seed)
     drawn_yes, drawn_no = drawn(DRAWN)
-    bare = ["\0" * BEFORE + w[BEFORE:] for w in yes[::2]]
+    bare = ["\0" * AROUND + w[AROUND:AROUND + WINDOW] + "\0" * AROUND for w in yes[::2]]
     x = encode(yes + bare + drawn_yes + no + drawn_no)
     y = np.concatenate([np.ones(len(yes) + len(bare) + len(drawn_yes)), np.zeros(len(no) + len(drawn_no))]).astype(np.float32)
     order = rng.permutation(len(y))
@@ -238,18 +263,38 @@ def fit(yes: list[str], no: list[str], epochs: int = 8, seed: int = 5) -> Networ
         a, b = a - np.clip((h11 * g0 - h01 * g1) / det, -1, 1), b - np.clip((h00 * g1 - h01 * g0) / det, -1, 1)
     net.slope, net.shift = max(a, 1e-3), b
     p = np.sort(1 / (1 + np.exp(-(net.slope * z[truth == 1] + net.shift))))
-    net.threshold = float(min(max(p[int((1 - RECALL) * len(p))], 0.5), 0.999999)) if len(p) else 0.5
+    net.threshold = float(min(p[int((1 - RECALL) / 2 * len(p))], 0.999999)) if len(p) else 0.5
     return net
 
 
 # ------------------------------------------------------------------ the scan
 
+def spans_of_all(texts: list[str], net: Network) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """For each text its base spans, and all spans with those that the network adds. All windows are scored together."""
+    out, where, read = [], [], []
+    for i, text in enumerate(texts):
+        base = base_spans(text)
+        out.append((base, list(base)))
+        for start, end, covered in candidates(text, base):
+            if not covered:
+                for a, b in windows(start, end):
+                    where.append((i, a, b))
+                    read.append(window(text, a, b))
+    hits = net.probability(read) >= net.threshold
+    last = None  # (text, start, end) of the span that may go on
+    for k in np.flatnonzero(hits).tolist():
+        i, a, b = where[k]
+        if last and last[0] == i and a < last[2]:
+            last = (i, last[1], b)
+            out[i][1][-1] = (last[1], 3, b)
+        else:
+            last = (i, a, b)
+            out[i][1].append((a, 3, b))
+    return [(base, sorted(every)) for base, every in out]
+
+
 def spans_of(text: str, net: Network) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans with those that the network adds."""
-    base = base_spans(text)
-    runs = [(a, b) for a, b, covered in candidates(text, base) if not covered]
-    p = net.probability([window(text, a, b) for a, b in runs])
-    return base, sorted(base + [(a, 3, b) for (a, b), x in zip(runs, p) if x >= net.threshold])
+    return spans_of_all([text], net)[0]
 
 
 def _said(spans) -> str:
@@ -267,8 +312,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", net: Network
     def run(batches):
         for batch in batches:
             rows = []
-            for source in batch.column(1).to_pylist():
-                base, every = spans_of(source or "", shared.value)
+            for base, every in spans_of_all([source or "" for source in batch.column(1).to_pylist()], shared.value):
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 rows.append((*n, hashlib.sha256(_said(base).encode()).hexdigest(), _said(every)))
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
@@ -282,8 +326,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", net: Network
 
 
 def masked(text: str, net: Network, mark: str = "[secret]") -> str:
+    return _masked(text, spans_of(text, net)[1], mark)
+
+
+def _masked(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]") -> str:
     out, at = [], 0
-    for a, _, b in spans_of(text, net)[1]:
+    for a, _, b in spans:
         if b <= at:
             continue
         if a >= at:
@@ -299,7 +347,9 @@ def redact(docs: DataFrame, text: str = "text", net: Network | None = None) -> D
 
     def run(batches):
         for batch in batches:
-            new = [None if s is None else masked(s, shared.value) for s in batch.column(place).to_pylist()]
+            texts = batch.column(place).to_pylist()
+            found = spans_of_all([t or "" for t in texts], shared.value)
+            new = [None if t is None else _masked(t, every) for t, (_, every) in zip(texts, found)]
             columns = [pa.array(new, batch.column(place).type) if i == place else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
