@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..session import materialise
 from .joins import join_on
@@ -65,11 +65,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Se
     placed = placed.withColumn("__before", _before(own.orderBy("__b"))).withColumn("__w", F.explode(F.array(*wanted)))
     found = _holding(placed, F.col("__w.rank"), [*names, F.col("__w.t").alias("__t"), "__total"])
     while True:
-        found = materialise(found)
         open_ = (F.col(LOW) < F.col(HIGH)) & (F.col("__c") > FEW)
-        wide = found.where(open_)
-        if wide.isEmpty():
+        seen = Observation()
+        found = materialise(found.observe(seen, F.count(F.when(open_, 1)).alias("n")))
+        if seen.get["n"] == 0:
             break
+        wide = found.where(open_)
         ranges = [*names, LOW, HIGH]
         inner = _buckets(_in_ranges(rows, wide, names), ranges, "__in_low", "__in_high")
         inner = inner.withColumn("__before", _before(Window.partitionBy(*ranges).orderBy("__b")))

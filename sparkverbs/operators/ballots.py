@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..session import materialise
 
@@ -49,9 +49,12 @@ def instant_runoff(votes: DataFrame, ballot: str, rank: str, candidate: str) ->
     papers = materialise(preference_lists(votes, ballot, rank, candidate))
     counts, gone, open_, number = [], [], [], 0
     while True:
-        now = materialise(_first_choices(papers, open_))
-        last = F.max_by("candidate", F.struct((-F.col("total")).alias("t"), "candidate"))
-        loser, alive, best, n = now.agg(last, F.sum("total"), F.max("total"), F.count(F.lit(1))).first()
+        seen = Observation()  # what the next round depends on comes with the job that writes the counts
+        last = F.max(F.struct((-F.col("total")).alias("t"), "candidate"))
+        now = materialise(_first_choices(papers, open_).observe(
+            seen, last.alias("last"), F.sum("total").alias("alive"), F.max("total").alias("best"), F.count(F.lit(1)).alias("n")))
+        got = seen.get
+        loser, alive, best, n = got["last"] and got["last"]["candidate"], got["alive"], got["best"], got["n"]
         counts.append(now.select(F.lit(number).alias("round"), "candidate", "total", F.lit(alive).cast("bigint").alias("__alive")))
         if n < 2 or (number > 0 and best * 2 > alive):
             break
