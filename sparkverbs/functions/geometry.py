@@ -50,7 +50,11 @@ def petal(value: Column, number: Column, n: int, gap: float = 0.2) -> Column:
     return F.struct(*[v.alias(k) for k, v in shape.items()])
 
 
-def link_ends(x0, y0, x1, y1, r0, r1, pad: float = 0.06, side: float = 0.05) -> Column:
+# Room around a node, and between the two directions of a link.
+PAD, SIDE = 0.06, 0.05
+
+
+def link_ends(x0, y0, x1, y1, r0, r1, pad: float = PAD, side: float = SIDE) -> Column:
     """End points of a directed link, moved off its nodes and to one side so that both directions show.
 
     Links that run left, or straight down, are handled with their ends swapped and stay in swapped order;
@@ -69,19 +73,23 @@ def link_ends(x0, y0, x1, y1, r0, r1, pad: float = 0.06, side: float = 0.05) ->
                     sign.cast("int").alias("direction"))
 
 
+# Half the height of a ribbon on the rank axis, and the room that a label of a length needs.
+HALF_HEIGHT, LABEL_POWER, LABEL_SCALE = 0.075, 0.95, 0.00825
+
+
 def ribbon_corners(rank, start, end, offset, ticks, ranks: int = 101, mirrored: bool = False) -> dict[str, Column]:
     """Corners of a ribbon from a rank axis (x1, x2) to a band axis (x3, x4)."""
     rank, start, end, offset, ticks = map(as_col, (rank, start, end, offset, ticks))
     side = -1.0 if mirrored else 1.0
-    return {"x1": offset * side, "y1": (rank - 0.075) * (-2 / ranks) + 1,
-            "x2": offset * side, "y2": (rank + 0.075) * (-2 / ranks) + 1,
+    return {"x1": offset * side, "y1": (rank - HALF_HEIGHT) * (-2 / ranks) + 1,
+            "x2": offset * side, "y2": (rank + HALF_HEIGHT) * (-2 / ranks) + 1,
             "x3": F.lit(side), "y3": start * 2 / ticks - 1,
             "x4": F.lit(side), "y4": end * 2 / ticks - 1}
 
 
 def label_offset(text: ColumnOrName) -> Column:
     """Room on the axis that a label of this length needs."""
-    return F.pow(F.char_length(as_col(text)) / 2, F.lit(0.95)) * 0.00825
+    return F.pow(F.char_length(as_col(text)) / 2, F.lit(LABEL_POWER)) * LABEL_SCALE
 
 
 def quadrant_offset(number: ColumnOrName, size: float = 0.25) -> Column:

@@ -56,7 +56,3 @@ def sqrt_scale(c: ColumnOrName, domain: tuple, target: tuple) -> Column:
     """Map the square root of ``domain`` onto ``target`` linearly."""
     d0, d1 = map(_num, domain)
     return linear_scale(F.sqrt(as_col(c)), (F.sqrt(d0), F.sqrt(d1)), target)
-
-
-def normal_density(z: Column) -> Column:
-    return F.exp(z * z / -2) / F.sqrt(F.lit(2.0) * F.pi())

@@ -66,10 +66,6 @@ def mutate(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
-def map_columns(df: DataFrame, f: Callable[[Column], Column], columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: f(F.col(c)) for c in columns})
-
-
 def summarise_columns(df: DataFrame, f: Callable[[Column], Column], columns: Sequence[str], keys: Sequence[str] = ()):
     return df.groupBy(*keys).agg(*[f(F.col(c)).alias(c) for c in columns])
 

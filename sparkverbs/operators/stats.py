@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numeric import clamp, divide
 from ..session import materialise
 from .joins import join_on
-from .windows import zscore
 
 
 def ols_fit(df: DataFrame, y: str, x: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.text import words
 from ..operators import ballots, cooccurrence, density, frames, graph, partition, rings, stats
 from ..operators.colours import with_hex, with_rgb, with_space
 from ..operators.aggregates import count_by, exact_quantiles, top_counts
-from ..operators.joins import expand_until, rows_in, rows_not_in
+from ..operators.joins import expand_until, rows_not_in
 from ..operators.ordered import number_rows
 from ..operators.reshape import longer, longer_sets, tokens, wider
 from ..operators.windows import bands, rescale01, scale_max

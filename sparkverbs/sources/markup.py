@@ -12,13 +12,6 @@ def extract_attribute(df: DataFrame, html: str, attribute: str, name: str | None
     return df.select(*[c for c in df.columns if c != html], F.posexplode(found).alias("position", name or attribute))
 
 
-def extract_elements(df: DataFrame, html: str, tag: str, name: str = "text") -> DataFrame:
-    """One row per element of the tag, with the text up to its end tag, inner tags removed."""
-    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-    rows = df.select(*[c for c in df.columns if c != html], F.posexplode(found).alias("position", name))
-    return rows.withColumn(name, F.trim(F.regexp_replace(name, r"<[^>]*>", "")))
-
-
 def with_tag(df: DataFrame, json: str, key: str, values: list, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Rows whose JSON property ``key`` is one of the values, inside the bounds of other columns."""
     test = F.get_json_object(F.col(json), f"$.{key}").isin([str(v) for v in values])
