@@ -195,19 +195,68 @@ def test_hits_against_sql(spark):
 
 
 def test_blocks_meet_within_the_radius(spark):
-    rng = random.Random(4)
-    rows = []
+    """Two fingerprints within the radius share a listed value, with the flips of one side only."""
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(14), []
     for _ in range(300):
-        a = rng.getrandbits(64)
-        b = a
+        a = b = rng.getrandbits(64)
         for bit in rng.sample(range(64), rng.randint(0, decontamination.RADIUS)):
             b ^= 1 << bit
         rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
     df = spark.createDataFrame(rows, "a bigint, b bigint")
+    same = F.arrays_overlap(decontamination.blocks(F.col("a")), decontamination.blocks(F.col("b"), decontamination.NEAR))
+    assert df.where(~same).count() == 0
+
+
+def near_copies(spark, docs):
+    """Items, documents with a copy changed at an edge or inside, and the pairs that some window reaches."""
+    rng = random.Random(15)
+    v = [f"w{i}" for i in range(50_000)]
+    items, rows = [], []
+    for i in range(400):
+        size = rng.choice([24, 34, 44, 59])
+        w = rng.choices(v, k=size)
+        items.append((i, " ".join(w)))
+        if i % 2:
+            changed = (size - 4) // 9
+            w[:changed] = rng.choices(v, k=changed)
+        elif size > 48:
+            w[rng.randrange(6, size - 6)] = "changed"
+        rows.append((i, " ".join(["before", *w, "after"]), "en", "s"))
+    want = {(i, i) for i, t, *_ in rows if 100 * best(t, items[i][1]) >= 80}
+    return docs(rows), spark.createDataFrame(items, "item_id bigint, text string"), want
+
+
+def test_recall_of_the_search(docs, spark):
+    rows, items, want = near_copies(spark, docs)
+    got = {(r.doc_id, r.item_id) for r in decontamination.hits(rows, items).collect()}
+    assert got <= want and len(want) > 300 and len(got) >= 0.99 * len(want)
+
+
+def test_fingerprints_decide(docs, spark, monkeypatch):
+    """With fingerprints that can't meet nothing is found."""
     from pyspark.sql import functions as F
 
-    same = F.arrays_overlap(decontamination.blocks(F.col("a")), decontamination.blocks(F.col("b")))
-    assert df.where(~same).count() == 0
+    rows, items, _ = near_copies(spark, docs)
+    monkeypatch.setattr(decontamination, "fingerprints", lambda df, w, k, name: df.withColumn(name, F.lit(0 if name == "bits" else -1).cast("long")))
+    assert decontamination.hits(rows, items).isEmpty()
+
+
+def test_sql_on_ends_repeats_and_missing_ids(docs, spark):
+    import duckdb
+
+    rng = random.Random(16)
+    w = rng.choices([f"w{i}" for i in range(900)], k=30)
+    rows = [(1, " ".join(w[2:]), "en", "s"), (2, " ".join(["x"] * 9 + w[:-2]), "en", "s"), (None, " ".join(w), "en", "s"), (None, " ".join(w), "en", "s"),
+            (3, " ".join(w + w), "en", "s"), (3, " ".join(w + w), "en", "s"), (4, None, "en", "s"), (5, "", "en", "s")]
+    items = [(1, " ".join(w)), (1, " ".join(w)), (2, None), (3, "one two"), (4, " ".join(["new", *w[:-1]]))]
+    tables = docs(rows), spark.createDataFrame(items, "item_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", tables[0].toArrow())
+    con.register("benchmark", tables[1].toArrow())
+    got = decontamination.hits(*tables).toArrow()
+    assert got.num_rows > 5 and differences(got, con.sql(decontamination.SQL).to_arrow_table()) == []
 
 
 def test_clean_keeps_the_rest(docs, spark):
