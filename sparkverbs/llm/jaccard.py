@@ -6,16 +6,18 @@ documents is at most the sum of the coordinate minima of their points.
 
 1. *Routing, the upper levels of the tree.* Sets in reach of each other differ in at most D shingles, where D follows from
    their size band. With P > D groups, at least P - D groups hold the same shingles in both. So a document goes to one leaf
-   for each of its groups, addressed by the group's number and a fingerprint of what it holds. Groups with fewer than
-   ``HEAVY`` shingles are passed over where the count of the others is enough for the guarantee; they would bring together
-   documents that share a phrase only. (A leaf's points agree exactly in one coordinate of the finer grid; the bounding box
+   for each of its groups, addressed by the group's number and a fingerprint of what it holds. Empty groups are passed over
+   where the count of the others is enough for the guarantee. (A leaf's points agree exactly in one coordinate of the finer grid; the bounding box
    of a plain R-tree over this many coordinates excludes next to nothing at its upper levels.)
 2. *Stars.* In a leaf, every document is paired with the leaf's first one, streaming over sorted rows: the pairs are as many
    as the rows, however large a group of copies is. Pairs are bounded by summed minima, then verified on the whole sets.
-3. *R-trees.* Leaves whose documents are not yet one component go on. Those with the same smallest component make one tree,
+3. *Crowded leaves.* Leaves whose documents are not yet one component go on. Of P - D leaves that two sets in reach share, one
+   is enough. Each set leaves as many of its most crowded leaves as that allows; leaves are ordered alike for all sets, so
+   the least crowded one that two sets share stays with both. A passage of many documents fills few leaves of each of them.
+4. *R-trees.* Leaves with the same smallest component make one tree,
    so a pair that meets in many leaves is tried about once: points are packed by size and coordinates into nodes with their
    upper corners, pairs of nodes are excluded by summed minima of the corners, by size, or if all of both lies in one
-   component, and what is left is bounded by the full points and verified like above.
+   component, and what is left is bounded by the full points, then by finer ones, and verified like above.
 
 Equal sets are one node throughout. Sets are compared by 64-bit hashes of shingles, and told apart by a 64-bit fingerprint.
 
@@ -32,7 +34,7 @@ from itertools import chain, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import slices, word_codes
@@ -40,12 +42,16 @@ from .common import stored
 from .components import components
 
 K, SIMILARITY = 4, Fraction(85, 100)
-#: Coordinates of a point in a tree, shingles that make a group worth a leaf, and the growth of size bands.
-GROUPS, HEAVY, GROWTH = 64, 3, 1.6
+#: Coordinates of a point in a tree, and the growth of size bands.
+GROUPS, GROWTH = 64, 1.6
 #: Shingles for each coordinate of a stored point, at most (but GROUPS coordinates at least).
 DENSITY = 4
+#: Bits of the number of coordinates of the finer points, at least, and their shingles for each coordinate, at most.
+FINE_BITS, FINE_DENSITY = 8, 1
 #: Points in a node of the tree.
 FANOUT = 32
+#: Partners of a point that are verified before all others.
+FEW = 8
 #: Pairs of points that are bounded at once.
 AT_ONCE = 1 << 16
 #: Rows up to which the ids of linked documents are sent to every executor; beyond, they are joined by shuffling.
@@ -95,10 +101,10 @@ def node_of(s: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def point(s: np.ndarray) -> np.ndarray:
+def point(s: np.ndarray, least: int = 6, density: int = DENSITY) -> np.ndarray:
     """Group counts; a larger set has more groups, in powers of two, so that its bound is as sharp. Groups are the leading
     bits of the hashes: adjacent ones add up to those of the next smaller number of groups."""
-    bits = max(6, int(np.ceil(np.log2(max(len(s), 1) / DENSITY))))
+    bits = max(least, int(np.ceil(np.log2(max(len(s), 1) / density))))
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int16)
 
 
@@ -113,8 +119,12 @@ def bands(largest: int, similarity: Fraction) -> list[tuple[int, int, int, int]]
     return out
 
 
-def leaf_keys(s: np.ndarray, band: int, differ: int, groups: int) -> np.ndarray:
-    """Addresses of the leaves of a set in a size band."""
+def leaf_keys(s: np.ndarray, band: int, differ: int, groups: int) -> tuple[np.ndarray, int]:
+    """Addresses of the leaves of a set in a size band, with the band in the lowest six bits, and how many of them it can leave.
+
+    Of ``groups - differ`` equal groups, those that are empty in one set are empty in the other. So a set with some empty groups,
+    passed over, shares at least ``groups - differ`` less these leaves with any set in reach.
+    """
     group = ((s * _ODD[3]) >> np.uint64(24)).astype(np.int64) % groups
     order = np.argsort(group, kind="stable")
     held = np.bincount(group, minlength=groups)
@@ -123,18 +133,19 @@ def leaf_keys(s: np.ndarray, band: int, differ: int, groups: int) -> np.ndarray:
     first = np.concatenate(([0], np.cumsum(held[filled])[:-1]))
     sums[filled] = np.add.reduceat(mix(s + _ODD[1])[order], first)
     address = mix(sums + mix(np.arange(groups, dtype=np.uint64) * _ODD[4] + np.array([band], np.uint64) * _ODD[5]))
-    heavy = held >= HEAVY
-    return address[heavy] if groups - heavy.sum() < groups - differ else address
+    address = address & ~np.uint64(63) | np.uint64(band)
+    spare = groups - differ - 1 - (groups - len(filled))
+    return (address[filled], spare) if spare >= 0 else (address, 0)
 
 
 def routed(docs: DataFrame, k: int, similarity: Fraction, text: str) -> DataFrame:
-    """(leaf, node) for every document and leaf."""
+    """(leaf, node, spare) for every document and leaf; spare is the number of leaves in the leaf's band that the node can leave."""
 
     def run(batches):
         table = bands(1 << 40, similarity)
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                leaves, nodes = [], []
+                leaves, nodes, spares = [], [], []
                 for s in shingle_sets(texts, k):
                     if not len(s):
                         continue
@@ -143,34 +154,37 @@ def routed(docs: DataFrame, k: int, similarity: Fraction, text: str) -> DataFram
                         if low * similarity > len(s):
                             break
                         if len(s) <= high and differ:  # where nothing may differ, equal sets are one node already
-                            leaves.append(leaf_keys(s, i, differ, groups))
-                            nodes.append(np.full(len(leaves[-1]), node))
+                            address, spare = leaf_keys(s, i, differ, groups)
+                            leaves.append(address)
+                            nodes.append(np.full(len(address), node))
+                            spares.append(np.full(len(address), spare))
                 if leaves:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves).view(np.int64)), pa.array(np.concatenate(nodes))],
-                                                     names=["leaf", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves).view(np.int64)), pa.array(np.concatenate(nodes)),
+                                                      pa.array(np.concatenate(spares))], names=["leaf", "node", "spare"])
 
-    return docs.select(docs[text].alias("text")).mapInArrow(run, "leaf bigint, node bigint")
+    return docs.select(docs[text].alias("text")).mapInArrow(run, "leaf bigint, node bigint, spare bigint")
 
 
 def _stars(batches):
-    """(leaf, head, node) from rows sorted by leaf and node: the head is the leaf's first node."""
-    leaf = head = last = None
+    """(leaf, head, node, spare, head_spare) from rows sorted by leaf and node: the head is the leaf's first node."""
+    leaf = head = last = head_spare = None
     for b in batches:
-        leaves, nodes = (b.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "node"))
+        leaves, nodes, spares = (b.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "node", "spare"))
         if not len(leaves):
             continue
         new = np.concatenate(([leaf is None or leaves[0] != leaf], leaves[1:] != leaves[:-1]))
         start = np.where(new, np.arange(len(leaves)), 0)
         np.maximum.accumulate(start, out=start)
-        heads = nodes[start]
+        heads, firsts = nodes[start], spares[start]
         if not new[0]:
             run = int(np.argmax(new)) if new.any() else len(new)
-            heads[:run] = head
+            heads[:run], firsts[:run] = head, head_spare
         before = np.concatenate(([nodes[0] - 1 if last is None or new[0] else last], nodes[:-1]))
         keep = ~new & (nodes != heads) & (nodes != before)
-        leaf, head, last = leaves[-1], heads[-1], nodes[-1]
+        leaf, head, last, head_spare = leaves[-1], heads[-1], nodes[-1], firsts[-1]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(leaves[keep]), pa.array(heads[keep]), pa.array(nodes[keep])], names=["leaf", "head", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (leaves, heads, nodes, spares, firsts)],
+                                             names=["leaf", "head", "node", "spare", "head_spare"])
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, rows: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -305,8 +319,18 @@ class Full:
         return keep
 
 
-def tree_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b) that the trees leave, from (root, node, size, point, component).
+def places(x: np.ndarray) -> np.ndarray:
+    """How often each entry has occurred before."""
+    order = np.argsort(x, kind="stable")
+    new = np.concatenate(([True], x[order][1:] != x[order][:-1]))
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+    return out
+
+
+def tree_pairs(rows: DataFrame, similarity: Fraction, few: int | None = None) -> DataFrame:
+    """(a, b) that the trees leave, from (root, node, size, point, component); with ``few``, only pairs of which one has been given
+    fewer partners than these, so that pairs are linear in the points.
 
     The points of a tree are held together, some hundred bytes each; they have been brought down to documents whose leaves
     the stars did not make one component.
@@ -318,10 +342,15 @@ def tree_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
         def flush():
             node, size, part, points = (list(chain(*c)) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*held))
             coarse = np.stack([fold(x, GROUPS) for x in points])
-            full = Full(points, size)
+            full, given = Full(points, size), np.zeros(len(size), np.int64)
             for i, j in Tree(size, coarse, part).pairs(similarity):
                 keep = full.within(i, j, similarity)
                 i, j = i[keep], j[keep]
+                if few and len(i):
+                    first, second = (given[x] + places(x) < few for x in (i, j))
+                    np.add.at(given, i[first], 1)
+                    np.add.at(given, j[second], 1)
+                    i, j = i[first | second], j[first | second]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
         for b in batches:
@@ -345,6 +374,20 @@ def tree_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
         run, "a bigint, b bigint").distinct()
 
 
+def mixed(rows: DataFrame) -> DataFrame:
+    """(leaf, root, n) of the leaves, from (leaf, node, component), that hold several components; of two nodes, the star has tried the
+    only pair. The root is the smallest component."""
+    out = rows.groupBy("leaf").agg(F.min("component").alias("root"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return out.where("root <> hi").select("leaf", "root", "n")
+
+
+def uncrowded(rows: DataFrame) -> DataFrame:
+    """(leaf, node, component) without the ``spare`` most crowded leaves of each node in each band, from (leaf, node, spare, component,
+    n). A pair of different components that the stars have not tried has all its leaves here."""
+    order = Window.partitionBy("node", F.col("leaf").bitwiseAND(F.lit(63))).orderBy(F.desc("n"), "leaf")
+    return rows.where("n > 2").withColumn("place", F.row_number().over(order)).where("place > spare").select("leaf", "node")
+
+
 # ------------------------------------------------------------------ the join
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -355,15 +398,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s
     def measure(batches):
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                got = [(len(s), node_of(s), point(s)) if len(s) else (0, None, None) for s in shingle_sets(texts, k)]
-                kinds = pa.int64(), pa.int64(), pa.list_(pa.int16())
+                got = [(len(s), node_of(s), point(s), point(s, FINE_BITS, FINE_DENSITY)) if len(s) else (0, None, None, None) for s in shingle_sets(texts, k)]
+                kinds = pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int16())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*got), kinds))],
-                                                 names=["id", "n_shingles", "node", "point"])
+                                                 names=["id", "n_shingles", "node", "point", "fine"])
 
     rows = stored(docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(
-        measure, f"id {kind}, n_shingles bigint, node bigint, point array<smallint>"), "nodes")
+        measure, f"id {kind}, n_shingles bigint, node bigint, point array<smallint>, fine array<smallint>"), "nodes")
     leaves = stored(routed(docs, k, similarity, text).repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(
-        _stars, "leaf bigint, head bigint, node bigint"), "leaves")
+        _stars, "leaf bigint, head bigint, node bigint, spare bigint, head_spare bigint"), "leaves")
     pairs = stored(leaves.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     points = stored(rows.select("node", F.col("n_shingles").alias("size"), "point").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "points")
@@ -371,15 +414,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s
     edges = stored(verified(near, stored(sets_of(docs, near, rows, k, key, text), "sets"), similarity), "links")
     found = stored(components(edges, "a", "b"), "labels")
 
-    every = leaves.select("leaf", "node").unionByName(leaves.select("leaf", F.col("head").alias("node")).distinct())
+    every = leaves.select("leaf", "node", "spare").unionByName(leaves.select("leaf", F.col("head").alias("node"), F.col("head_spare").alias("spare")).distinct())
     labelled = every.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("leaf").agg(F.min("component").alias("root"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("root <> hi and n > 2").select("leaf", "root")  # of two, the star has tried the only pair
-    open_rows = labelled.join(mixed, "leaf").select("root", "node", "component").distinct().join(points, "node")
-    more = stored(tree_pairs(open_rows, similarity).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
-    if not more.isEmpty():
-        late = stored(verified(more, stored(sets_of(docs, more, rows, k, key, text), "late-sets"), similarity), "late-links")
-        found = stored(components(edges.unionByName(late), "a", "b"), "labels")
+    kept = stored(uncrowded(labelled.join(mixed(labelled), "leaf")), "open-leaves")
+    # first a few partners for each point, which make one component of a near clique, then all that lie in different ones
+    for few in (FEW, None):
+        labelled = kept.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_rows = labelled.join(mixed(labelled), "leaf").select("root", "node", "component").distinct()
+        fine = rows.select("node", F.col("n_shingles").alias("size"), F.col("fine").alias("point")).join(
+            open_rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        more = stored(tree_pairs(open_rows.join(fine, "node"), similarity, few).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
+        if not more.isEmpty():
+            late = stored(verified(more, stored(sets_of(docs, more, rows, k, key, text), "late-sets"), similarity), "late-links")
+            edges, pairs = edges.unionByName(late), pairs.unionByName(more)
+            found = stored(components(edges, "a", "b"), "labels")
 
     found = found.withColumnRenamed("node", "__node")
     placed = rows.join(found, F.col("node") == F.col("__node"), "left").select(
