@@ -330,7 +330,7 @@ def places(x: np.ndarray) -> np.ndarray:
 
 def tree_pairs(rows: DataFrame, similarity: Fraction, few: int | None = None) -> DataFrame:
     """(a, b) that the trees leave, from (root, node, size, point, component); with ``few``, only pairs of which one has been given
-    fewer partners than these, so that pairs are linear in the points.
+    fewer partners than these, counted for both sides of a pair apart within a block, so at most twice as many pairs for each point.
 
     The points of a tree are held together, some hundred bytes each; they have been brought down to documents whose leaves
     the stars did not make one component.

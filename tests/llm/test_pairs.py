@@ -99,6 +99,38 @@ def test_tree_finds_all_pairs_within_the_bound():
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_few_partners_are_linear(spark):
+    rows = [(1, i, 64, [1] * 64, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "root bigint, node bigint, size bigint, point array<smallint>, component bigint")
+    got = [tuple(r) for r in jaccard.tree_pairs(df, Fraction(85, 100), 8).collect()]
+    assert len(got) <= 2 * 8 * 300 and {x for p in got for x in p} == set(range(300))
+    assert jaccard.tree_pairs(df, Fraction(85, 100)).count() == 300 * 299 // 2
+
+
+def test_near_copies_in_crowded_leaves(docs, spark):
+    """Documents that share a long passage fill the same leaves; copies with a word changed are linked all the same."""
+    rng = random.Random(21)
+    v = [f"w{i}" for i in range(20_000)]
+    passage, rows = rng.choices(v, k=70), []
+    for i in range(150):
+        own = rng.choices(v, k=70)
+        rows.append((i, " ".join(own[:35] + passage + own[35:]), "en", "s"))
+        if i % 3 == 0:
+            for j in range(1, 4):
+                words = rows[-1][1].split() if j == 1 else words
+                words = [*words]
+                words[rng.randrange(len(words))] = f"changed{i}x{j}"
+                rows.append((1000 * j + i, " ".join(words), "en", "s"))
+    sets = {i: {tuple(t.split()[x:x + 4]) for x in range(len(t.split()) - 3)} for i, t, *_ in rows}
+    edges = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = {i: i for i in sets}
+    for _ in range(10):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs(rows)).collect()}
+    assert len(edges) > 100 and got == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(5, 5), (300, 301), (301, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
