@@ -91,19 +91,66 @@ def test_sweep_equals_serial_best_fit():
 def test_scores_against_plain_loops(docs):
     rng = random.Random(2)
     rows = ODD + [(100 + i, " ".join(rng.choices(["The", "the", "cat", "sat", "on", f"r{i}", "mät"], k=30)), "en", "s") for i in range(40)]
+    rows += [(200 + i, " ".join(f"w{rng.randint(0, 40) ** 2}" for _ in range(200)), "en", "s") for i in range(20)]
+    rows.append((300, " ".join(f"x{i}" for i in range(30_000)), "en", "s"))  # a very long text; the order of its words is tied
     frame = docs(rows)
+
+    def split(text):
+        return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+    def lower(word):
+        return re.sub("[A-Z]", lambda m: m[0].lower(), word)
+
     model = language_model.train(frame)
 
     def naive(text):
-        words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        words = [lower(w) for w in split(text)]
         s = [0] + [model.symbols.of.get(w) or 1 + language_model.TOP + zlib.crc32(w.encode()) % language_model.BUCKETS for w in words] + [0]
-        return len(words), sum(float(model.table[s[i - 1], s[i], s[i + 1]]) for i in range(1, len(s) - 1))
+        return len(words), sum(float(model.table[s[i], s[i + 1], s[i + 2]]) + share(w) for i, w in enumerate(words))
+
+    slots, types, buckets = Counter(), Counter(), Counter()
+    for w, n in Counter(lower(w) for _, t, *_ in rows for w in split(t)).items():
+        if w not in model.symbols.of:
+            slots[zlib.crc32(w.encode()) % language_model.SLOTS] += n
+            types[zlib.crc32(w.encode()) % language_model.SLOTS] += 1
+            buckets[zlib.crc32(w.encode()) % language_model.BUCKETS] += n
+
+    def share(w):
+        if w in model.symbols.of:
+            return 0.0
+        h = zlib.crc32(w.encode())
+        slot, bucket = h % language_model.SLOTS, h % language_model.BUCKETS
+        assert slots[slot]  # every word is one of the corpus here
+        return math.log(slots[slot] / types[slot] / (buckets[bucket] + 1))
 
     got = sorted((str(r[0]), r[1], round(r[2], 4), r[3] is None) for r in language_model.score(frame, model=model).collect())
     assert got == sorted((str(i), naive(t)[0], round(naive(t)[1], 4), naive(t)[0] == 0) for i, t, *_ in rows)
     assert language_model.score(docs([])).count() == 0
 
 
+def test_shares_add_up_and_follow_frequency(docs):
+    """Over all slots of a bucket the parts add up to one; a frequent word is worth more than a rare one, an unknown one less."""
+    lm = language_model
+    rng = np.random.default_rng(5)
+    slot = rng.choice(lm.SLOTS, 500, replace=False)
+    n, types = rng.integers(1, 1000, 500), rng.integers(1, 3, 500)
+    share = lm.shares(slot, n, types)
+    words = np.ones(lm.SLOTS)
+    words[slot] = types
+    assert share[lm.SLOTS] == 0
+    assert np.allclose((np.exp(share[:-1].astype(float)) * words).reshape(-1, lm.BUCKETS).sum(0), 1, atol=1e-3)
+    none = lm.shares(*[np.zeros(0, np.int64)] * 3)
+    assert np.allclose(np.exp(none[:-1].astype(float)).reshape(-1, lm.BUCKETS).sum(0), 1, atol=1e-3)
+
+    top = [f"t{i} " * 5000 for i in range(lm.TOP)]  # the words that are symbols of their own
+    model = lm.train(docs([(1, "".join(top) + "often " * 900 + "seldom " * 3, "en", "s")]))
+    assert "often" not in model.symbols.of
+    often, seldom, never = (float(model.share[zlib.crc32(w) % lm.SLOTS]) for w in (b"often", b"seldom", b"never"))
+    assert zlib.crc32(b"often") % lm.BUCKETS == zlib.crc32(b"seldom") % lm.BUCKETS or often == pytest.approx(math.log(900 / 901))
+    assert zlib.crc32(b"often") % lm.BUCKETS == zlib.crc32(b"seldom") % lm.BUCKETS or seldom == pytest.approx(math.log(3 / 4))
+    assert never < seldom <= often
+
+
 def test_counts_are_those_of_all_texts(docs):
     frame = docs(ODD)
     words = {r.word: r.n for r in language_model.vocabulary(frame).collect()}
