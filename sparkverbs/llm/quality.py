@@ -154,15 +154,15 @@ w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
 b as (select *, case when len(w) < 3 then [] else list_transform(range(1, len(w) - 1),
         lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end as g from w),
-id as (select row_number() over () as r, * from b),
+id as materialized (select row_number() over () as r, * from b),
 g as (select r, unnest(g) as g, unnest(range(1, len(g) + 1)) as i from id),
 dup as (select r, i from (select r, i, count(*) over (partition by r, g) as c from g) where c > 1),
 rep as (select r, count(distinct i + k.k) as n from dup, (values (0), (1), (2)) k(k) group by r),
-m as (select doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+m as (select r, doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
         len(l) as nl, length(regexp_replace(t, '[^A-Z]+', '', 'g')) as up from id left join rep using (r)),
-f as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed,
+f as materialized (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed,
         map {{'m_symbols': (1000 * n_symbols) // greatest(n_words, 1), 'm_word': (1000 * word_chars) // greatest(n_words, 1),
         'm_repeat': (1000 * n_repeat_words) // greatest(n_words, 1), 'm_lines': (1000 * n_dup_lines) // greatest(nl, 1),
         'm_upper': (1000 * up) // greatest(word_chars, 1)}} as v from m),
@@ -181,8 +181,8 @@ th as (select o.lang, o.source, p.measure, p.lower,
         trunc((o.total * (o.q1 - {REACH} * greatest(o.q3 - o.q1, least)) + {PRIOR} * (g.q1 - {REACH} * greatest(g.q3 - g.q1, least))) / (o.total + {PRIOR})) as low,
         trunc((o.total * (o.q3 + {REACH} * greatest(o.q3 - o.q1, least)) + {PRIOR} * (g.q3 + {REACH} * greatest(g.q3 - g.q1, least))) / (o.total + {PRIOR})) as high
         from own o join lg g on o.lang is not distinct from g.lang and o.measure = g.measure join lim p on p.measure = o.measure),
-bad as (select f.doc_id from f join th on th.lang is not distinct from f.lang and th.source is not distinct from f.source
+bad as (select f.r from f join th on th.lang is not distinct from f.lang and th.source is not distinct from f.source
         where f.v[th.measure] > th.high or (th.lower and f.v[th.measure] < th.low))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        not base_failed and doc_id not in (select doc_id from bad) as kept from f
+        not base_failed and r not in (select r from bad) as kept from f
 """

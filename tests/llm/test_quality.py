@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import duckdb
 import pytest
 
 from sparkverbs.llm import licences, quality, sharding
@@ -67,6 +68,21 @@ def test_against_sql(spark, name, operator):
     assert differences(got, connect(FOLDER).sql(sql).to_arrow_table()) == []
 
 
+def test_repeated_and_null_ids_against_sql(docs):
+    """A verdict belongs to a row: of two rows with one id (or none) the one may go and the other stay."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
+    clean = [(i, " ".join(rng.sample(words, 120)), "en", "s") for i in range(200)]
+    junk = [(i, " ".join(w + "$$$" for w in rng.sample(words, 120)), "en", "s") for i in (0, 1, None)]
+    frame = docs(ODD + clean + junk + [(None, clean[5][1], "en", "s"), clean[6]])
+    got = quality.quality_report(frame).toArrow()
+    con = duckdb.connect()
+    con.register("documents", frame.toArrow())
+    assert differences(got, con.sql(quality.SQL).to_arrow_table()) == []
+    kept = collections.Counter((r["doc_id"], r["kept"]) for r in got.to_pylist())
+    assert kept[0, True] == kept[0, False] == 1 and kept[None, True] == 1 and kept[6, True] == 2
+
+
 def test_licence_rules(docs):
     mit = ("MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this"
            " software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without"
