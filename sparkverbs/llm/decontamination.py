@@ -1,9 +1,11 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, Hamming search by several indexes, exact check.
 
-1. *Windows.* A window has as many words as a benchmark item, or is the whole text if that has fewer. Windows are made where a
-   text shares a shingle with an item, so that it lies at the same place in both; where the item would hang over an end of
-   the text, the window is the first or the last of the text. A window without a common shingle has similarity 0. Windows are
-   addressed by size and start only, whatever the number of items that share the shingle.
+1. *Windows.* A window has as many words as a benchmark item, or is the whole text if that has fewer. It is in place where a
+   text shares a shingle with an item that lies at the same place in both; where the item would hang over an end of the text,
+   the window is the first or the last of the text. All other positions are looked at too: a window whose similarity suffices
+   shares so many of its shingles with items of its size (``least_shared``) that a count of these, taken along the text for
+   every start, leaves out none; so an item is found whose parts have changed places. Windows are addressed by size and start
+   only, whatever the number of items that share the shingle.
 2. *Fingerprints.* 64 bits, each the sign of a sum over the weighted shingles of the window, that is its shingles numbered by
    occurrence. So the similarity of the check is that of two plain sets, and similar windows agree in at least 2s / (1 + s) of
    their shingles, wherever words were changed.
@@ -14,6 +16,8 @@
    the radius go on.
 4. *Check.* Weighted shingle similarity, sum of the least over sum of the largest counts of ``K``-word shingles (an item of
    fewer words is one shingle), of the window and the item, at least ``SIMILARITY``.
+5. *Hits.* Every window in place is stated, and every other window, unless it overlaps one in place that reproduces the same
+   item: that is the same copy, read a few words too early or too late.
 
 Everything is built from DataFrame functions. Words are split at space and the controls 9 to 13, and lower-cased. The
 benchmark's shingles and the ids of documents with windows are broadcast only below ``SMALL`` rows, which is counted first;
@@ -22,7 +26,7 @@ beyond, Spark joins by shuffling.
 Null or empty text or items have no words and no hits. Repeated rows and ids: hits are stated once for each id, and rows without
 id share the null one. Empty tables give no rows; further columns aren't read by ``hits``, and ``clean`` keeps them.
 
-The SQL text makes the same windows and compares each with all items of its size, without fingerprints.
+The SQL text makes the windows in place only and compares each with all items of its size, without fingerprints.
 """
 
 from __future__ import annotations
@@ -115,9 +119,28 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def least_shared(size: str, k: int) -> Column:
+    """Shingles that two windows of ``size`` words share at least if they reach ``SIMILARITY``: they have equally many."""
+    p, q = SIMILARITY
+    return F.expr(f"int((2 * {p} * ({size} - {k - 1}) + {p + q - 1}) div {p + q})")
+
+
+def moved(shared: DataFrame, k: int) -> DataFrame:
+    """(id, of, size, start) of all windows with at least ``least_shared`` shingles of items of their size, from (id, of, n, size, p):
+    the places p of these shingles in a text of n words."""
+    at = shared.where("n >= size").withColumn("least", least_shared("size", k))
+    at = at.groupBy("id", "of", "n", "size", "least").agg(F.sort_array(F.collect_set("p")).alias("at")).where(F.size("at") >= F.col("least"))
+    # the i-th place and the least - 1 that follow lie in one window: it starts at the first of them at the latest
+    ends = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), lambda i: F.struct(
+        F.greatest(F.get("at", i + F.col("least") - 1) - F.col("size") + k, F.lit(0)).alias("low"),
+        F.least(F.get("at", i), F.col("n") - F.col("size")).alias("high")))
+    ranges = at.select("id", "of", "size", F.explode(ends).alias("x")).where("x.low <= x.high")
+    return ranges.select("id", "of", "size", F.explode(F.sequence("x.low", "x.high")).alias("start")).distinct()
+
+
 def windows(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, of, size, start, w), the windows of the documents for items of a size, see above. ``of`` is a hash of the text, which
-    tells rows of the same id or without id apart."""
+    """(id, of, size, start, placed, w), the windows of the documents for items of a size, see above. ``of`` is a hash of the text,
+    which tells rows of the same id or without id apart; ``placed`` says that the window is in place."""
     found = None
     for k in sorted(r[0] for r in items.select("k").distinct().collect()):  # at most K values
         grams = items.where(F.col("k") == k).select("size", F.posexplode(shingle_hashes(F.col("w"), k)).alias("q", "h")).distinct()
@@ -125,23 +148,24 @@ def windows(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame
         rows = docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("of"), words(F.lower(docs[text])).alias("w"))
         rows = rows.select("id", "of", F.size("w").alias("n"), shingle_hashes(F.col("w"), k).alias("hs"))
         hit = rows.select("id", "of", "n", F.posexplode("hs").alias("p", "h")).join(grams, "h")
-        hit = hit.select("id", "of", "size", F.expr("greatest(0, least(p - q, n - size))").alias("start")).distinct()
+        hit = stored(hit.select("id", "of", "n", "size", "p", F.expr("greatest(0, least(p - q, n - size))").alias("start")).distinct(), "shared")
+        hit = hit.select("id", "of", "size", "start", F.lit(True).alias("placed")).unionByName(moved(hit, k).withColumn("placed", F.lit(False)))
         found = hit if found is None else found.unionByName(hit)
-    found = stored(found, "windows")
-    ids = found.groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_set(F.struct("size", "start")).alias("at"))
+    found = stored(found.groupBy("id", "of", "size", "start").agg(F.max("placed").alias("placed")), "windows")
+    ids = found.groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_set(F.struct("size", "start", "placed")).alias("at"))
     ids = _checked(stored(ids, "window-ids"))
     rows = docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("of"), docs[text].alias("t"))
     rows = rows.join(ids, F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")))
     rows = rows.select("id", "of", words(F.lower("t")).alias("w"), "at")
     rows = rows.select("id", "of", F.explode(F.transform("at", lambda x: F.struct(
-        x["size"].alias("size"), x["start"].alias("start"), F.slice("w", x["start"] + 1, x["size"]).alias("w")))).alias("x"))
+        x["size"].alias("size"), x["start"].alias("start"), x["placed"].alias("placed"), F.slice("w", x["start"] + 1, x["size"]).alias("w")))).alias("x"))
     return rows.select("id", "of", "x.*").distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
          item_text: str = "text") -> DataFrame:
-    """(key, item, start, n_words, similarity) of every window that reproduces an item; similarity in thousandths, rounded
-    down, start counted in words from 0."""
+    """(key, item, start, n_words, similarity) of every window that reproduces an item, but for those beside one in place, see
+    above; similarity in thousandths, rounded down, start counted in words from 0."""
     items = benchmark.select(benchmark[item_key].alias("item"), words(F.lower(benchmark[item_text])).alias("w")).distinct()
     items = items.where(F.size("w") > 0).select("item", "w", F.size("w").alias("size"), F.least(F.size("w"), F.lit(K)).alias("k"),
                                                 F.xxhash64("w").alias("item_of"))
@@ -156,11 +180,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     near = left.join(right, ["size", "block", "value"]).where(F.bit_count(F.col("bits").bitwiseXOR(F.col("item_bits"))) <= RADIUS)
     near = stored(near.select("id", "of", "start", "size", "item_of").distinct(), "near")
     pair = near.join(found, near["id"].eqNullSafe(found["id"]) & (near["of"] == found["of"]) & (near["start"] == found["start"])
-                     & (near["size"] == found["size"])).select(near["id"], near["start"], F.size("w").alias("size"), "item_of", "w")
+                     & (near["size"] == found["size"])).select(
+        near["id"], near["of"], near["start"], F.size("w").alias("size"), "placed", "item_of", "w")
     pair = pair.join(known.select("item", "item_of", "item_w", "k"), "item_of")
     # stored before the filter, which would otherwise work out the shingles anew for each of its parts
-    pair = stored(pair.select("id", "start", "size", "item", similarity("w", "item_w", "k").alias("s")), "compared")
-    pair = pair.select("id", "start", "size", "item", "s.*").where(SIMILARITY[1] * F.col("low") >= SIMILARITY[0] * F.col("high")).distinct()
+    pair = stored(pair.select("id", "of", "start", "size", "item", "placed", similarity("w", "item_w", "k").alias("s")), "compared")
+    pair = stored(pair.select("id", "of", "start", "size", "item", "placed", "s.*").where(
+        SIMILARITY[1] * F.col("low") >= SIMILARITY[0] * F.col("high")).distinct(), "reproduced")
+    other = pair.where("placed").select(*[F.col(c).alias(f"__{c}") for c in ("id", "of", "start", "size", "item")])
+    beside = pair["id"].eqNullSafe(F.col("__id")) & (pair["of"] == F.col("__of")) & pair["item"].eqNullSafe(F.col("__item"))
+    beside = beside & (pair["start"] < F.col("__start") + F.col("__size")) & (F.col("__start") < pair["start"] + pair["size"])
+    alone = pair.where("not placed").join(other, beside, "left_anti")
+    pair = pair.where("placed").unionByName(alone).drop("of", "placed").distinct()
     return pair.select(F.col("id").alias(key), F.col("item").alias(item_key), F.col("start").cast("long").alias("start"),
                        F.col("size").cast("long").alias("n_words"), F.expr("1000L * low div high").alias("similarity"))
 

@@ -291,6 +291,27 @@ def test_sql_on_ends_repeats_and_missing_ids(docs, spark):
     assert got.num_rows > 5 and differences(got, con.sql(decontamination.SQL).to_arrow_table()) == []
 
 
+def test_items_whose_parts_changed_places(docs, spark):
+    """Copies with halves or a head and a tail swapped: no window that lies in place is similar enough, others are."""
+    rng = random.Random(21)
+    v = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(v, k=n))) for i, n in enumerate([60, 80, 110, 300])]
+    rows, filler = [], rng.choices(v, k=50)
+    for i, t in items:
+        w = t.split()
+        for j, cut in enumerate((len(w) // 2, len(w) // 3, 20)):
+            swapped = w[cut:] + w[:cut]
+            rows += [(10 * i + j, " ".join(filler + swapped + filler), "en", "s"), (100 + 10 * i + j, " ".join(swapped), "en", "s")]
+    rows.append((900, " ".join(filler + items[0][1].split() + filler), "en", "s"))
+    got = decontamination.hits(docs(rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {(doc, i) for doc, text, *_ in rows for i, t in items if 100 * best(text, t) >= 80}
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) >= 20
+    assert [(r.start, r.similarity) for r in got if r.doc_id == 900] == [(50, 1000)]  # the windows beside it are the same copy
+    text = rows[0][1].split()
+    near = {s: best(" ".join(text[s:s + 60]), items[0][1]) for s in range(len(text) - 59)}
+    assert {(r.start, r.similarity) for r in got if r.doc_id == 0} == {(s, 1000 * x.numerator // x.denominator) for s, x in near.items() if 100 * x >= 80}
+
+
 def test_clean_keeps_the_rest(docs, spark):
     item = " ".join(f"i{i}" for i in range(20))
     rows = [(1, f"before {item} after", "en", "s"), (2, "clean text", "en", "s"), (None, item, "en", "s"), (3, None, "en", "s")]
