@@ -6,10 +6,11 @@ the right neighbour ends in a softmax over the symbols. The model needs nothing
 token, right) occurs, so these are counted over every word of every document, summed by Spark, and the network is fitted in
 numpy to the sums: all of the corpus trains it, and what reaches the driver is bounded by the cube of the symbols.
 
-A word inside a bucket has its share by frequency. The bucket's words lie in the slots of a hashed table (``SLOTS`` in all, a
-slot belongs to one bucket) that Spark fills from the counts of all words: a slot's share is its count among the bucket's, its
-different words have equal parts of that, and one more count is dealt equally among the bucket's empty slots, where words
-lie that the corpus doesn't hold. So the probabilities of all words add up to one, and frequent words score above rare ones.
+A word inside a bucket has its share by frequency, its count among the bucket's, whatever the number of words. Tasks hold the
+shares of the ``COMMON`` most frequent words; all others are looked up in the table of all words, by a join on the word, and
+their shares are added to the scores. One more count of each bucket is for words that the corpus doesn't hold: words are hashed
+to ``SLOTS`` slots, a slot belongs to one bucket, and that count is dealt equally among the bucket's slots without words.
+So the probabilities add up to one, and frequent words score above rare ones.
 
 A document's score is the sum of the conditional log-probabilities of its tokens, each masked in its turn. Null or empty
 text has no tokens, score 0 and no mean. Repeated rows are counted and scored each; further columns aren't read. On an
@@ -22,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ TOP, BUCKETS = 64, 32
 SYMBOLS = 1 + TOP + BUCKETS
 #: A multiple of ``BUCKETS``. The table of shares takes eight bytes a slot.
 SLOTS = 1 << 20
+#: Words at most whose shares every task holds.
+COMMON = 1 << 17
 HIDDEN, STEPS = 32, 150
 
 
@@ -54,16 +58,12 @@ class Symbols:
     def __init__(self, top: list[str]):
         self.of = {w: 1 + i for i, w in enumerate(top)}
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of all texts with an end symbol before, between and after them, the slot of every word (``SLOTS`` for
-        top words), and the number of words of each text."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Symbols of all texts with an end symbol before, between and after them, the code of every word, the words that the
+        codes number, and the number of words of each text."""
         codes, words, counts = word_codes(texts, lower=True)
-        words = words.to_pylist()
-        top = np.array([self.of.get(w, 0) for w in words], np.int64)
-        slots = np.array([zlib.crc32(w.encode()) % SLOTS for w in words], np.int64)
-        symbols = np.where(top > 0, top, 1 + TOP + slots % BUCKETS)
-        slots[top > 0] = SLOTS
-        return np.insert(symbols[codes], np.concatenate(([0], np.cumsum(counts))), 0), slots[codes], counts
+        symbols = np.array([self.of.get(w) or 1 + TOP + zlib.crc32(w.encode()) % BUCKETS for w in words.to_pylist()], np.int64)
+        return np.insert(symbols[codes], np.concatenate(([0], np.cumsum(counts))), 0), codes, words, counts
 
 
 def contexts(docs: DataFrame, symbols: Symbols, text: str = "text") -> DataFrame:
@@ -73,7 +73,7 @@ def contexts(docs: DataFrame, symbols: Symbols, text: str = "text") -> DataFrame
         total = np.zeros(SYMBOLS ** 3, np.int64)
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                s, _, _ = symbols.encode(texts)
+                s = symbols.encode(texts)[0]
                 cell = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
                 total += np.bincount(cell[s[1:-1] > 0], minlength=len(total))
         cell = np.flatnonzero(total)
@@ -132,8 +132,8 @@ class Network:
 
 
 def shares(slot: np.ndarray, n: np.ndarray, types: np.ndarray) -> np.ndarray:
-    """Log share of a word in its bucket, by slot, from the count and the different words of every slot that has any; 0
-    for the slot after the last, which stands for top words."""
+    """Log share in its bucket of a word in the mean, by slot, from the count and the different words of every slot that has any;
+    0 for the slot after the last, which stands for top words. Only the empty slots' are used for words, see ``Model``."""
     seen = np.zeros(SLOTS, np.int64)
     seen[slot] = n
     words = np.ones(SLOTS, np.int64)
@@ -144,47 +144,104 @@ def shares(slot: np.ndarray, n: np.ndarray, types: np.ndarray) -> np.ndarray:
     return np.append(np.log(mass.ravel() / words), 0)
 
 
-class Model:
-    """Symbols, the log-probability of a symbol by [left, symbol, right], and a word's log share in its symbol by slot."""
+class Scorer:
+    """What a task needs of a model: symbols, the log-probability of a symbol by [left, symbol, right], log shares of the most
+    frequent words, and those of a word that the corpus doesn't hold by bucket. ``all_words``: no other word has been counted."""
+
+    def __init__(self, symbols: Symbols, table: np.ndarray, common: dict[str, float], unseen: np.ndarray, all_words: bool):
+        self.symbols, self.table, self.common, self.unseen, self.all_words = symbols, table, common, unseen, all_words
 
-    def __init__(self, symbols: Symbols, table: np.ndarray, share: np.ndarray):
-        self.symbols, self.table, self.share = symbols, table, share
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Words and score of every text, without the shares of words that must be looked up; these words by text, with how
+        often they occur there (text, word, n)."""
+        s, codes, words, counts = self.symbols.encode(texts)
+        text, names = np.repeat(np.arange(len(counts)), counts), words.to_pylist()
+        share = np.array([self.common.get(w, np.nan) for w in names], float)
+        other = np.flatnonzero(np.isnan(share))
+        share[other] = [self.unseen[zlib.crc32(names[i].encode()) % BUCKETS] if self.all_words else 0 for i in other.tolist()]
+        each = self.table[s[:-2], s[1:-1], s[2:]][s[1:-1] > 0].astype(np.float64) + share[codes]
+        asked = np.zeros(len(names) + 1, bool)
+        asked[other] = not self.all_words
+        at = np.flatnonzero(asked[codes])
+        pair, n = np.unique(text[at] * len(names) + codes[at], return_counts=True)
+        return counts, np.bincount(text, weights=each, minlength=len(counts)), pair // max(len(names), 1), words.take(pa.array(pair % max(len(names), 1))), n
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        s, slots, counts = self.symbols.encode(texts)
-        here = s[1:-1] > 0
-        each = self.table[s[:-2], s[1:-1], s[2:]][here].astype(np.float64) + self.share[slots]
-        return counts, np.bincount(np.repeat(np.arange(len(counts)), counts), weights=each, minlength=len(counts))
+
+class Model:
+    """A scorer, the (word, share) of all words it doesn't hold, or None, and the log shares by slot."""
+
+    def __init__(self, scorer: Scorer, rest: DataFrame | None, share: np.ndarray):
+        self.scorer, self.rest, self.share = scorer, rest, share
+        self.symbols, self.table = scorer.symbols, scorer.table
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Model of all texts of ``docs``."""
     words = stored(vocabulary(docs, text), "vocabulary")
     top = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(TOP).collect()]
-    rest = words.where(~F.col("word").isin(top)) if top else words
-    slots = rest.groupBy("slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).toArrow()  # at most SLOTS rows
+    other = words.where(~F.col("word").isin(top)) if top else words
+    slots = other.groupBy("slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).toArrow()  # at most SLOTS rows
+    slot, n, types = (slots[c].to_numpy() for c in ("slot", "n", "types"))
     symbols = Symbols(top)
     cells = contexts(docs, symbols, text).toArrow()  # at most SYMBOLS ** 3 rows
     counts = np.zeros(SYMBOLS ** 3, np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     net = Network()
     net.fit(counts.reshape((SYMBOLS,) * 3)[:, 1:, :].transpose(0, 2, 1))
-    return Model(symbols, net.table(), shares(*[slots[c].to_numpy() for c in ("slot", "n", "types")]))
+
+    share, total = shares(slot, n, types), np.bincount(slot % BUCKETS, weights=n, minlength=BUCKETS)
+    unseen = np.minimum(share[:-1].reshape(-1, BUCKETS).min(0), -np.log(total + 1))  # the share of an empty slot is the least
+    least = common_from(other)
+    common = other.where(F.col("n") >= least).select("word", "n", (F.col("slot") % BUCKETS).alias("bucket")).toArrow()  # at most COMMON rows
+    logs = np.log(common["n"].to_numpy()) - np.log(total + 1)[common["bucket"].to_numpy()]
+    known = dict(zip(common["word"].to_pylist(), logs.tolist())) | dict.fromkeys(top, 0.0)
+    rest = other.where(F.col("n") < least).select("word", (F.log("n") - F.get(F.array(*[F.lit(float(x)) for x in np.log(total + 1)]), (
+        F.col("slot") % BUCKETS).cast("int"))).alias("share")) if types.sum() > common.num_rows else None
+    return Model(Scorer(symbols, net.table(), known, unseen, rest is None), rest, share)
+
+
+def common_from(words: DataFrame) -> int:
+    """A count that at most ``COMMON`` words reach; counts are told apart by their leading six bits."""
+    cut = "greatest(length(bin(n)) - 6, 0)"
+    sizes = words.groupBy(F.expr(f"shiftleft(shiftright(n, {cut}), {cut})").alias("least")).agg(F.count(F.lit(1)).alias("words"))
+    least, held = 1 << 62, 0
+    for r in sizes.orderBy(F.desc("least")).collect():
+        held += r["words"]
+        if held > COMMON:
+            break
+        least = r["least"]
+    return least
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(key, n_tokens, log_prob, mean_log_prob) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text))
+    model = model or train(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast(model.scorer)
+    asks = model.rest is not None
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for rows, texts in slices(batch, "text"):
-                n, total = shared.value.score(texts)
-                mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(total), mean], names=names)
-
-    names = ["key", "n_tokens", "log_prob", "mean_log_prob"]
-    kind = docs.schema[key].dataType.simpleString()
+                counts, total, of, words, n = shared.value.score(texts)
+                columns = [rows.column(0), pa.array(counts.astype(np.int64)), pa.array(total)]
+                if asks:
+                    edges = pa.array(np.searchsorted(of, np.arange(len(counts) + 1)).astype(np.int32))
+                    columns += [pa.array(row + np.arange(len(counts))), pa.ListArray.from_arrays(edges, words),
+                                pa.ListArray.from_arrays(edges, pa.array(n.astype(np.int32)))]
+                    row += len(counts)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["key", "n_tokens", "log_prob"] + ["row", "words", "times"] * asks
+    schema = f"key {docs.schema[key].dataType.simpleString()}, n_tokens bigint, log_prob double"
     out = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(
-        run, f"key {kind}, n_tokens bigint, log_prob double, mean_log_prob double")
-    return out.withColumnRenamed("key", key)
+        run, schema + ", row bigint, words array<string>, times array<int>" * asks)
+    if asks:
+        out = stored(out, "scored")  # rows keep their numbers
+        asked = out.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times")
+        unseen = F.get(F.array(*[F.lit(float(x)) for x in model.scorer.unseen]), (F.crc32(F.encode("word", "UTF-8")) % BUCKETS).cast("int"))
+        found = asked.join(model.rest, "word", "left").groupBy(F.col("row").alias("__row")).agg(
+            F.sum(F.col("times") * F.coalesce("share", unseen)).alias("more"))
+        out = out.join(found, F.col("row") == F.col("__row"), "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return out.select(F.col("key").alias(key), "n_tokens", "log_prob", mean.alias("mean_log_prob"))

@@ -151,6 +151,36 @@ def test_shares_add_up_and_follow_frequency(docs):
     assert never < seldom <= often
 
 
+def test_words_of_one_slot_have_their_own_shares(docs, monkeypatch):
+    """Two words that are hashed alike, one frequent and one rare, each with its own count; also if the tasks hold few words."""
+    lm = language_model
+    met, i = {}, 0
+    while True:
+        w = f"v{i}"
+        slot, i = zlib.crc32(w.encode()) % lm.SLOTS, i + 1
+        if slot in met:
+            often, seldom = met[slot], w
+            break
+        met[slot] = w
+    top = " ".join(f"t{i} " * 3000 for i in range(lm.TOP))
+    rows = [(1, top, "en", "s"), (2, f"{often} " * 900, "en", "s"), (3, f"{seldom} " * 3, "en", "s"), (3, seldom, "en", "s"), (None, None, "en", "s")]
+    rows.append((4, " ".join(f"u{i} " * 2 for i in range(50)), "en", "s"))
+    other = [*rows[1:], (9, "nowhere else", "en", "s")]
+    bucket = zlib.crc32(often.encode()) % lm.BUCKETS
+    total = 904 + sum(2 for i in range(50) if zlib.crc32(f"u{i}".encode()) % lm.BUCKETS == bucket)
+    symbol, got = 1 + lm.TOP + bucket, []
+    for common in (lm.COMMON, 10, 0):
+        monkeypatch.setattr(lm, "COMMON", common)
+        model = lm.train(docs(rows))
+        assert (model.rest is None) == (common > 10) and len(model.scorer.common) <= lm.TOP + common
+        got.append(sorted((str(r.doc_id), r.n_tokens, round(r.log_prob, 6), r.mean_log_prob is None) for r in lm.score(docs(other), model=model).collect()))
+        one = {r.n_tokens: r.log_prob for r in lm.score(docs(rows), model=model).collect()}
+        assert one[1] == pytest.approx(float(model.table[0, symbol, 0]) + math.log(4 / (total + 1)), abs=1e-4)
+        inside = float(model.table[0, symbol, symbol]) + float(model.table[symbol, symbol, 0]) + 898 * float(model.table[symbol, symbol, symbol])
+        assert one[900] == pytest.approx(inside + 900 * math.log(900 / (total + 1)), rel=1e-4)
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(other)
+
+
 def test_counts_are_those_of_all_texts(docs):
     frame = docs(ODD)
     words = {r.word: r.n for r in language_model.vocabulary(frame).collect()}
