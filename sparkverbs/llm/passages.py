@@ -61,6 +61,11 @@ def home(ids, n: int):
     return np.mod(ids ^ (ids >> 17) ^ (ids >> 34), n)
 
 
+def dealt(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """Each place in a partition of its own, sorted by place: a hash of the place would put several into some tasks."""
+    return rows.repartitionById(n, F.col("place")).sortWithinPartitions("place", *order)
+
+
 # ------------------------------------------------------------------ places
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -217,9 +222,10 @@ def slice_contexts(data: np.ndarray, at: np.ndarray, found: np.ndarray) -> tuple
     row = np.searchsorted(at, found, "right") - 1
     before = np.minimum(BEFORE, found - at[row])
     after = np.minimum(LENGTH, at[row + 1] - found)
-    step = np.arange(-BEFORE, LENGTH)
-    text = data[np.clip(found[:, None] + step, 0, len(data) - 1)]
-    text = np.where((step >= -before[:, None]) & (step < after[:, None]), text, 0).astype(np.uint8)
+    step = np.arange(-BEFORE, LENGTH, dtype=np.int8)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(data, (BEFORE, LENGTH)), BEFORE + LENGTH)
+    text = around[found]
+    text[(step < -before[:, None].astype(np.int8)) | (step >= after[:, None].astype(np.int8))] = 0
     return text, before, after
 
 
@@ -549,7 +555,7 @@ def _listed(rows: DataFrame, n: int) -> DataFrame:
         for _, held in _by_place(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.frombuffer(r["ids"], "<i8") for r in held])))], names=["id"])
 
-    packed = rows.select("place", "ids").mapInArrow(fewer, "place int, ids binary").repartition(n, "place").sortWithinPartitions("place")
+    packed = dealt(rows.select("place", "ids").mapInArrow(fewer, "place int, ids binary"), n)
     return stored(packed.mapInArrow(each, "id bigint"), "ids")
 
 
@@ -557,7 +563,7 @@ def _beside(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """Packed rows (kind 0) and the texts of documents (kind 1), by partition of the document."""
     texts = docs.select(home(F.coalesce("id", F.lit(0).cast("bigint")), n).alias("place"), F.lit(1).cast("tinyint").alias("kind"), "key", "id", "text")
     both = rows.withColumn("kind", F.lit(0).cast("tinyint")).unionByName(texts, allowMissingColumns=True)
-    return both.repartition(n, "place").sortWithinPartitions("place", "kind")
+    return dealt(both, n, "kind")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -569,11 +575,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PARTITION + 1)
     long = docs.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
 
-    marks = long.select("id", "text").mapInArrow(_marks(n), _MARKS).repartition(n, "place").sortWithinPartitions("place")
+    marks = dealt(long.select("id", "text").mapInArrow(_marks(n), _MARKS), n)
     wanted = stored(marks.mapInArrow(_answers(n), _WANTED), "wanted")
     some, _ = _narrowed(long, _listed(wanted, n))
     contexts = _beside(some, wanted, n).select("place", "kind", "hashes", "ids", "id", "text").mapInArrow(_contexts(n), _CONTEXTS)
-    contexts = contexts.repartition(n, "place").sortWithinPartitions("place")
+    contexts = dealt(contexts, n)
     spans = stored(contexts.mapInArrow(_repeats(n), _PLACED), "repeats")
 
     cut, whole = _narrowed(docs, _listed(spans, n))

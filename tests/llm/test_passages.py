@@ -114,3 +114,31 @@ def test_sql(spark):
     folder = "/root/testdata/sf0.001"
     got = passages.report(spark.read.parquet(f"{folder}/documents.parquet")).toArrow()
     assert differences(got, connect(folder).sql(passages.SQL).to_arrow_table()) == []
+
+
+def test_one_place_for_each_partition(spark):
+    """A task gets the rows of one place; dealt by a hash, some got four or five and others none."""
+    from pyspark.sql import functions as F
+
+    rows = passages.dealt(spark.range(400).select((F.col("id") % 40).cast("int").alias("place"), F.lit(1).cast("tinyint").alias("kind")), 40, "kind")
+    held = rows.select("place", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().collect()
+    assert len(held) == 40 and all(r["count"] == 1 for r in held)
+
+
+def test_contexts_take_little_more_than_their_bytes():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    data, at = rng.integers(32, 127, 1 << 20, dtype=np.uint8), np.array([0, 10, 500_000, 500_000, 1 << 20])
+    found = np.sort(rng.choice(len(data), 100_000, replace=False))
+    tracemalloc.start()
+    text, before, after = passages.slice_contexts(data, at, found)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * text.nbytes
+    for i in [0, 1, 2, 50_000, len(found) - 1]:
+        a, b = max(p for p in at if p <= found[i]), min(p for p in at if p > found[i])
+        first, last = max(a, found[i] - passages.BEFORE), min(b, found[i] + passages.LENGTH)
+        want = np.zeros(passages.BEFORE + passages.LENGTH, np.uint8)
+        want[first - found[i] + passages.BEFORE:last - found[i] + passages.BEFORE] = data[first:last]
+        assert (text[i] == want).all() and (before[i], after[i]) == (found[i] - first, last - found[i])
