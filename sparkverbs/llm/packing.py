@@ -39,6 +39,8 @@ SIZE = 2048
 END = 0
 #: Stretches of text that each half of a worker's cache holds.
 CACHED = 100_000
+#: Stretches of text that the tokenizer gets as one string.
+JOINED = 16
 
 #: ASCII letters, and the visible ASCII characters that are neither letters nor digits.
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -58,7 +60,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        #: Number and text of a special token that takes nothing from the text beside it.
+        self.between = next(((i, t.content) for i, t in added.items() if t.special and not (
+            t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
         self.new, self.old = {}, {}
 
     @classmethod
@@ -80,12 +86,24 @@ class Encoder:
                 found[i] = self.new[stretches[i]] = x
         for k in range(0, len(missing), 4096):
             some = missing[k:k + 4096]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([stretches[i] for i in some], add_special_tokens=False)):
-                found[i] = self.new[stretches[i]] = array("I", e.ids).tobytes()
+            for i, x in zip(some, self._encoded([stretches[i] for i in some])):
+                found[i] = self.new[stretches[i]] = x
         if len(self.new) > CACHED:
             self.old, self.new = self.new, {}
         return found
 
+    def _encoded(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches that aren't known. They are handed over ``JOINED`` at a time with a special token between them, where
+        the tokenizer cuts before all else; stretches that hold special tokens themselves are handed over one by one."""
+        whole = "".join(stretches)
+        if self.between is None or any(s in whole for s in self.special):
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
+        number, mark = self.between
+        joined = [mark.join(stretches[k:k + JOINED]) + mark for k in range(0, len(stretches), JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends, flat = (4 * np.flatnonzero(ids == number)).tolist(), ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each."""
         data, at = raw(texts)

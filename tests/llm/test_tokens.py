@@ -78,6 +78,26 @@ def test_sequences_hold_the_ids(docs):
     assert packing.pack(docs([])).count() == 0
 
 
+def test_the_tokenizer_gets_many_stretches_at_once():
+    """Unknown stretches are handed over joined, with the ids that each has by itself; also where a special token is in one."""
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            given.append(len(texts))
+            return TOKENIZER.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Counting()
+    some = [f" word{i}" for i in range(500)] + ["\n\n", "  ", "a", "'s", " ä\u00a0", "<|", "|>", " <|endoftext", "", "x y\t"] + ["\x00", " 😀", "don", "'t"] * 5
+    want = [np.array(TOKENIZER.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in some]
+    assert encoder._encoded(some) == want and given[-1] <= len(some) / 10
+    some.append("a <|endoftext|> b")
+    assert encoder._encoded(some) == [*want, np.array(TOKENIZER.encode(some[-1], add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_sweep_equals_serial_best_fit():
     rng = random.Random(5)
     for size in (10, 64, 100):
